@@ -73,12 +73,45 @@ select 'REP-' || o_orderkey::varchar as report_id, 'HSE-' || (o_custkey % 20)::v
   case o_orderkey % 3 when 0 then 'confirmed' when 1 then 'corrected' else 'rejected' end as decision,
   case when o_orderkey % 3 = 1 then case when o_orderpriority in ('1-URGENT','2-HIGH') then 'HIGH'
     when o_orderpriority = '3-MEDIUM' then 'MEDIUM' else 'LOW' end end as corrected_priority,
+  case when o_orderkey % 3 = 1 and o_orderkey % 4 = 0 then 'Hot Work' end as corrected_activity,
+  case when o_orderkey % 3 = 1 and o_orderkey % 5 = 0 then 'Struck-By' end as corrected_hazard,
+  case when o_orderkey % 3 = 1 and o_orderkey % 7 = 0 then 'PPE' end as corrected_barrier,
+  case when o_orderkey % 2 = 0 then 'checked on site' end as comments,
   o_orderdate + interval '2' day as reviewed_at
 from orders where o_orderstatus = 'F'
 union all
-select 'REP-' || o_orderkey::varchar, 'HSE-LEAD', 'confirmed', null, o_orderdate + interval '5' day
+select 'REP-' || o_orderkey::varchar, 'HSE-LEAD', 'confirmed', null, null, null, null, null,
+  o_orderdate + interval '5' day
 from orders where o_orderstatus = 'F' and o_orderkey % 10 = 0"""
 
+CTE["feedback"] = """
+select 'FB-' || event_id::varchar as feedback_id, 'REP-' || (event_id * 2)::varchar as report_id,
+  case when user_id % 2 = 0 then 'U-' || user_id::varchar end as user_id,
+  case event_type when 'error' then 'false_positive' when 'purchase' then 'false_negative'
+    when 'click' then 'label_correction' else 'general_feedback' end as feedback_type,
+  case when event_type = 'error' then 'LOW' end as user_suggested_priority, props as notes, ts as created_at
+from events"""
+CTE["arrivals"] = """
+select 'REP-' || (user_id * 100)::varchar as report_id, event_type || ' noted in step ' || event_id::varchar as report_text,
+  'Unit ' || (event_id % 9)::varchar as location, 'near_miss' as report_type, ts as created_at, event_id as seq
+from events"""
+CTE["action_events"] = """
+select 'ACT-REP-' || user_id::varchar as action_id, event_id as seq,
+  case event_type when 'click' then 'Assigned' when 'signup' then 'In Progress' when 'purchase' then 'Verification'
+    when 'error' then 'Closed' else 'Open' end as status,
+  case when event_type = 'click' then 'HSE-' || (event_id % 20)::varchar end as assigned_to
+from events"""
+CTE["labelled"] = """
+select 'DOC-' || d.doc_id::varchar as report_id, d.text as report_text, l.quality::int as sif_precursor,
+  'Inspection & Audit' as activity, case when d.doc_id % 3 != 0 then 'Fire / Explosion' end as hazard, 'PPE' as barrier,
+  d.lang as location, case d.doc_id % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'severe' end as severity,
+  d.source as source
+from documents d join labels l using (doc_id)"""
+CTE["predicted"] = """
+select doc_id, quality::int as y_true, ((doc_id * 37) % 101) / 100.0::double as y_prob,
+  (((doc_id * 37) % 101) / 100.0::double >= 0.5)::int as y_pred
+from labels"""
+
 CTE["texts"] = "select distinct report_text as t, lower(report_text) as lt from reports"
 
 _ranked = sorted(enumerate(DEFAULT_RULES), key=lambda r: (-r[1].severity, r[0]))
@@ -391,6 +424,49 @@ from (select *, 'Priority: ' || priority || chr(10) || chr(10) || 'Why:' || chr(
 CTE["explained"] = explained()
 CTE["decided"] = "select r.*, x.* exclude (t) from reports r join explained x on x.t = r.report_text"
 
+
+# The list view and what hangs on it.
+CTE["latest_review"] = """
+select * exclude (rn) from (
+  select *, row_number() over (partition by report_id order by reviewed_at desc, reviewer_id desc) as rn from reviews)
+where rn = 1"""
+CTE["routed"] = """
+select d.*, location as extracted_location,
+  case priority when 'HIGH' then 'HSE_REVIEW_REQUIRED' when 'MEDIUM' then 'ROUTINE_MONITORING' else 'CONTROLLED' end as status0,
+  coalesce(location, 'Unknown') as site
+from decided d"""
+CTE["resolved"] = """
+select r.*, v.decision, v.reviewer_id, v.reviewed_at, v.comments, v.corrected_priority, v.corrected_activity,
+  v.corrected_hazard, v.corrected_barrier,
+  case when v.decision is null then status0 else 'REVIEWED_' || upper(v.decision) end as workflow_status,
+  case when v.decision = 'rejected' then 'LOW' when v.decision = 'corrected' then coalesce(v.corrected_priority, priority)
+    else priority end as final_priority
+from routed r left join latest_review v using (report_id)"""
+CTE["summary"] = """
+select report_id, report_text, report_type, created_at, pos, final_priority, priority_score, sif_probability,
+  coalesce(corrected_activity, activity) as final_activity, coalesce(corrected_hazard, hazard) as final_hazard,
+  coalesce(corrected_barrier, barrier) as final_barrier, barrier_status, site as location, n_rules,
+  decision is not null as hse_reviewed, decision as review_decision, reviewer_id, priority as ai_priority,
+  activity as ai_activity, hazard as ai_hazard, barrier as ai_barrier, workflow_status,
+  priority = 'HIGH' and decision is null as in_review_queue, workflow_status = 'HSE_REVIEW_REQUIRED' as alert_triggered,
+  explanation,
+  row_number() over (order by created_at desc, priority_score desc, report_id) as seq
+from resolved"""
+CTE["alerts"] = f"""
+select 'ALT-' || report_id as alert_id, report_id, {q(W.ALERT_TITLE)} as title, 'HIGH' as severity,
+  {say(W.ALERT_MESSAGE, report='report_id', pct="printf('%.1f%%', sif_probability * 100)",
+       hazard="coalesce(hazard, 'Unspecified')", barrier="coalesce(barrier, 'Unspecified')",
+       status="coalesce(barrier_status, 'Unknown')")} as message,
+  case when decision is null then 'HSE_REVIEW_REQUIRED' else workflow_status end as workflow_status,
+  decision is not null as acknowledged, created_at
+from resolved where priority = 'HIGH'"""
+CTE["actions"] = f"""
+select 'ACT-' || report_id as action_id, report_id,
+  {say(W.ACTION_TITLE, barrier="coalesce(corrected_barrier, barrier, 'critical controls')",
+       hazard="coalesce(corrected_hazard, hazard, 'identified hazard')")} as title,
+  final_priority as priority, 'Open' as status, site as site_location, reviewed_at as created_at
+from resolved where decision in ('confirmed', 'corrected') and final_priority = 'HIGH'"""
+
 RECURSIVE = {"greedy", "folded"}
 
 

@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, in the shared folder the cluster names where it names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if shared:
+        return f"{shared.rstrip('/')}/riskloom-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="riskloom-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

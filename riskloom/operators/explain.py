@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import text as tx
+from riskloom.functions.plan import settled
 from riskloom.functions.wording import fill
 from riskloom.packs import wording as W
 from riskloom.packs.rules import FLAG_SEVERITY
@@ -159,7 +160,7 @@ def explain(scored: DataFrame) -> DataFrame:
         F.when(has_evidence, fill(W.EVIDENCE_LINE, evidence=F.array_join(F.slice(evidence, 1, 4), ", "))),
         F.lit(W.CLOSING_LINE),
     )
-    return staged.withColumns(
+    told = staged.withColumns(
         {
             "explanation": full,
             "structured_explanation": F.struct(
@@ -177,6 +178,7 @@ def explain(scored: DataFrame) -> DataFrame:
             ),
         }
     ).drop("__pct", "__recurrence", "__signals", "__bullets", "__why", "__drivers", "__reason", "__headline")
+    return settled(scored, told)
 
 
 def violations(explained: DataFrame, key: str = "report_id") -> DataFrame:

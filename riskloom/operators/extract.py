@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import text as tx
+from riskloom.functions.plan import settled
 from riskloom.packs import patterns as P
 from riskloom.packs.gazetteer import (
     DEFAULT_GAZETTEERS,
@@ -388,7 +389,7 @@ def extract(
     else:
         staged = staged.withColumn("entities", F.col("gazetteer_entities"))
     staged = resolve_primary(staged, "__text", pack)
-    return staged.withColumn("extraction_summary", context_summary()).drop("__text")
+    return settled(reports, staged.withColumn("extraction_summary", context_summary()).drop("__text"))
 
 
 def entity_rows(extracted: DataFrame, column: str = "entities", key: str = "report_id") -> DataFrame:
@@ -408,3 +409,24 @@ def gazetteer_table(spark: SparkSession, gazetteers: Sequence[Gazetteer] = DEFAU
     return spark.createDataFrame(
         rows, "kind string, alias_pos int, canonical string, category string, alias string"
     )
+
+
+def alias_hits(reports: DataFrame, key: str = "report_id", text: str = "report_text",
+               gazetteers: Sequence[Gazetteer] = DEFAULT_GAZETTEERS) -> DataFrame:
+    """How often every alias stands in a report, overlaps included: (key, kind, alias_pos, canonical, alias, hits).
+
+    A plain substring test picks the aliases worth counting; only those become rows.
+    """
+    entries = ", ".join(
+        f"named_struct('kind', {tx.sql_text(g.kind)}, 'alias_pos', {i}, 'canonical', {tx.sql_text(t.canonical)}, 'alias', {tx.sql_text(a)})"
+        for g in gazetteers
+        for i, (t, a) in enumerate((t, a) for t in g.terms for a in t.aliases)
+    )
+    staged = reports.select(key, F.col(text).alias("__text"), tx.folded(F.col(text)).alias("__folded"))
+    near = F.expr(f"filter(array({entries}), a -> contains(__folded, a.alias))")
+    begin, end = F.lit(f"(?iu)(?<!{tx._WORD})\\Q"), F.lit(f"\\E(?!{tx._WORD})")
+    counted = F.regexp_count("__text", F.concat(begin, F.col("a.alias"), end))
+    return (
+        staged.select(key, "__text", F.explode(near).alias("a")).select(key, "a.*", counted.alias("hits"))
+        .filter(F.col("hits") > 0)
+    )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import text as tx
+from riskloom.functions.plan import settled
 from riskloom.packs.rules import (
     BLANK_SUMMARY,
     DEFAULT_RULES,
@@ -65,13 +66,14 @@ def match_rules(reports: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text:
     severity = F.greatest(
         F.lit(0), F.lit(0), *[F.when(F.size(_column(r)) > 0, r.severity).otherwise(0) for r in ordered]
     )
-    return staged.withColumns(
+    done = staged.withColumns(
         {
             # Null text has no lowered form and no signals; it fires nothing.
             "matched_rules": F.array_compact(F.array(*fired)),
             "overall_severity": severity,
         }
     ).drop("__lowered", "__hits", *[_column(r) for r in ordered])
+    return settled(reports, done)
 
 
 def severity_label(severity: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions import text as tx
+from riskloom.functions.plan import settled
 from riskloom.packs import scoring as S
 from riskloom.packs import wording as W
 from riskloom.functions.wording import fill
@@ -99,7 +100,7 @@ def score(
     staged = staged.withColumn(
         "factor_scores", F.struct(*[F.round(c, 4).alias(k) for k, c in named.items()])
     ).drop(*[f"__f_{k}" for k in parts])
-    return prioritise(staged, pack)
+    return settled(analysed, prioritise(staged, pack))
 
 
 def prioritise(scored: DataFrame, pack: S.ScoringPack = S.DEFAULT_SCORING) -> DataFrame:

@@ -9,6 +9,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt out over all of them; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # Sentence parts by order number; their counts (9, 7, 11) share no factor, so all combinations occur.
 TASKS = (
     "Pump maintenance began", "A welder started hot work", "Crew performed a vessel entry",
@@ -39,7 +45,7 @@ def _report_id():
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """One safety report per order."""
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         _report_id().alias("report_id"),
         F.col("o_orderkey").alias("pos"),
         F.concat(F.concat_ws(" ", _part(TASKS), _part(PLACES), _part(STATES)), F.lit(".")).alias("report_text"),
@@ -62,13 +68,90 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("HSE-"), (F.col("o_custkey") % 20).cast("string")).alias("reviewer_id"),
         F.when(key % 3 == 0, "confirmed").when(key % 3 == 1, "corrected").otherwise("rejected").alias("decision"),
         F.when(key % 3 == 1, urgency).alias("corrected_priority"),
+        F.when((key % 3 == 1) & (key % 4 == 0), "Hot Work").alias("corrected_activity"),
+        F.when((key % 3 == 1) & (key % 5 == 0), "Struck-By").alias("corrected_hazard"),
+        F.when((key % 3 == 1) & (key % 7 == 0), "PPE").alias("corrected_barrier"),
+        F.when(key % 2 == 0, "checked on site").alias("comments"),
         (F.col("o_orderdate") + F.expr("interval 2 days")).alias("reviewed_at"),
     )
     second = F.struct(
         F.lit("HSE-LEAD").alias("reviewer_id"),
         F.lit("confirmed").alias("decision"),
-        F.lit(None).cast("string").alias("corrected_priority"),
+        *[F.lit(None).cast("string").alias(f"corrected_{c}") for c in ("priority", "activity", "hazard", "barrier")],
+        F.lit(None).cast("string").alias("comments"),
         (F.col("o_orderdate") + F.expr("interval 5 days")).alias("reviewed_at"),
     )
     both = F.when(key % 10 == 0, F.array(first, second)).otherwise(F.array(first))
     return done.select(_report_id().alias("report_id"), F.explode(both).alias("r")).select("report_id", "r.*")
+
+
+FEEDBACK_TYPES = {"error": "false_positive", "purchase": "false_negative", "click": "label_correction"}
+
+
+def feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """One feedback entry per event, on every second report; later events name reports that do not exist."""
+    kind = F.lit("general_feedback")
+    for event, name in FEEDBACK_TYPES.items():
+        kind = F.when(F.col("event_type") == event, name).otherwise(kind)
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("FB-"), F.col("event_id").cast("string")).alias("feedback_id"),
+        F.concat(F.lit("REP-"), (F.col("event_id") * 2).cast("string")).alias("report_id"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("U-"), F.col("user_id").cast("string"))).alias("user_id"),
+        kind.alias("feedback_type"),
+        F.when(F.col("event_type") == "error", "LOW").alias("user_suggested_priority"),
+        F.col("props").alias("notes"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Arriving report texts, several per id, for known and for new ids."""
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("REP-"), (F.col("user_id") * 100).cast("string")).alias("report_id"),
+        F.concat(F.col("event_type"), F.lit(" noted in step "), F.col("event_id").cast("string")).alias("report_text"),
+        F.concat(F.lit("Unit "), (F.col("event_id") % 9).cast("string")).alias("location"),
+        F.lit("near_miss").alias("report_type"),
+        F.col("ts").alias("created_at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+ACTION_STATES = {"view": "Open", "click": "Assigned", "signup": "In Progress", "purchase": "Verification", "error": "Closed"}
+
+
+def action_events(spark: SparkSession, folder: str) -> DataFrame:
+    """State changes of actions; only an assignment names an assignee."""
+    state = F.lit("Open")
+    for event, name in ACTION_STATES.items():
+        state = F.when(F.col("event_type") == event, name).otherwise(state)
+    return table(spark, folder, "events").select(
+        F.concat(F.lit("ACT-REP-"), F.col("user_id").cast("string")).alias("action_id"),
+        F.col("event_id").alias("seq"),
+        state.alias("status"),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("HSE-"), (F.col("event_id") % 20).cast("string"))).alias("assigned_to"),
+    )
+
+
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their quality label, as labelled reports."""
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return documents.join(labels.select("doc_id", "quality"), "doc_id").select(
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("report_id"),
+        F.col("text").alias("report_text"),
+        F.col("quality").cast("int").alias("sif_precursor"),
+        F.lit("Inspection & Audit").alias("activity"),
+        F.when(F.col("doc_id") % 3 != 0, "Fire / Explosion").alias("hazard"),
+        F.lit("PPE").alias("barrier"),
+        F.col("lang").alias("location"),
+        F.get(F.array(*[F.lit(s) for s in ("low", "medium", "high", "severe")]), (F.col("doc_id") % 4).cast("int")).alias("severity"),
+        F.col("source").alias("source"),
+    )
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Label, probability and prediction per labelled document."""
+    probability = (F.col("doc_id") * 37) % 101 / F.lit(100.0)
+    return table(spark, folder, "labels").select(
+        "doc_id", F.col("quality").cast("int").alias("y_true"), probability.alias("y_prob"),
+        (probability >= 0.5).cast("int").alias("y_pred"),
+    )

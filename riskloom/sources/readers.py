@@ -89,7 +89,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     texts = small.select(
         clean_name(F.col("path")).alias("source_file_name"),
         # Bytes that are no UTF-8 become replacement characters.
-        tx.strip(F.expr("decode(content, 'UTF-8')") if _lenient(spark) else F.col("content").cast("string")).alias("report_text"),
+        tx.strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("report_text"),
     )
     empty = texts.filter(F.col("report_text") == "").select("source_file_name", F.lit("no text").alias("error"))
     large = files.filter(F.col("length") > MAX_FILE_BYTES).select(
@@ -98,11 +98,6 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return texts.filter(F.col("report_text") != ""), large.unionByName(empty)
 
 
-def _lenient(spark: SparkSession) -> bool:
-    """Whether decode() replaces malformed bytes (the older behaviour) instead of failing."""
-    return spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true"
-
-
 # Limits on what is taken in.
 TEXT_LENGTH = (10, 10_000)
 ID_LENGTH = 50

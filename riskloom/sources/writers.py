@@ -36,7 +36,11 @@ def decision_columns(decided: DataFrame, keep: list[str]) -> DataFrame:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header, one file per task."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    (
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+        # Texts are written as they are, blanks at their ends included.
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def write_splits(split_rows: DataFrame, path: str) -> None:
