@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # Dimensions, buckets per word, bucket stride, and norms that count as zero.
 DIMENSIONS = 384
@@ -40,7 +41,7 @@ def _embed(text: str | None) -> np.ndarray:
     return vector
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """Unit vector of a text from its words' digests; all zeros for blank text. Arrow batches, never rows."""
     return pd.Series([_embed(t) for t in texts])
