@@ -55,13 +55,19 @@ def import_tabular(spark, folder):
 
 
 @query("import_text_docs", """
-select count(*) filter (trim(text) <> '')::bigint as documents, sum(length(text)) filter (trim(text) <> '')::bigint as chars
-from (select string_agg(text, chr(10)) as text from conversations)""".replace("string_agg(text, chr(10)) as text from conversations", "text from conversations"))
+select count(*)::bigint as documents, sum(length(body))::bigint as chars, 0::bigint as rejects
+from (select conv_id, trim(string_agg(text, ' ' order by turn)) as body from conversations group by 1)""")
 def import_text_docs(spark, folder):
-    """Conversation turns written as text files, one per turn's line, and read back as documents."""
-    rows = C.table(spark, folder, "conversations").select("text")
-    return rows.filter(~tx.is_blank(F.col("text"))).agg(
-        F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+    """Conversations written as text files, one file each, and read back as documents."""
+    turns = C.table(spark, folder, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    path = f"{scratch(spark)}/texts"
+    body = F.array_join(F.transform("turns", lambda t: t["text"]), " ")
+    turns.select("conv_id", body.alias("value")).write.partitionBy("conv_id").mode("overwrite").text(path)
+    documents, rejects = RD.read_documents(spark, f"{path}/*/*.txt")
+    good = documents.agg(F.count("*").alias("documents"), F.sum(F.length("report_text")).alias("chars"))
+    bad = rejects.agg(F.count("*").alias("rejects"))
+    return good.withColumn("k", F.lit(1)).join(bad.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 # ------------------------------------------------------------------ quality
@@ -196,8 +202,9 @@ def stratified_split(spark, folder):
 
 @query("split_manifest", sql("""
 select split, facet, value, count(*) as rows, round(count(*) * 100.0::double / sum(count(*)) over (partition by facet), 2) as pct
-from (select split, unnest([{'facet': 'total', 'value': ''}, {'facet': 'class', 'value': quality::varchar}, {'facet': 'source', 'value': source}], recursive := true) from parts)
-group by all""", _SPLIT))
+from facets group by split, facet, value""", _SPLIT | {"facets": """
+select split, 'total' as facet, '' as value from parts union all select split, 'class', quality::varchar from parts
+union all select split, 'source', source from parts"""}))
 def split_manifest(spark, folder):
     return SP.manifest(_split(spark, folder), "quality", "source")
 
@@ -235,7 +242,6 @@ def roc_auc(spark, folder):
 
 
 @query("class_report", sql("""
-with_classes as""".replace("with_classes as", "") + """
 select label, round(p, 4) as precision, round(r, 4) as recall, round(f, 4) as f1_score, s::bigint as support from (
   select label, p, r, f, s from classes
   union all select 'macro avg', avg(p), avg(r), avg(f), sum(s) from classes

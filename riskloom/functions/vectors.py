@@ -47,6 +47,16 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return pd.Series([_embed(t) for t in texts])
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def unit(vectors: pd.Series) -> pd.Series:
+    """Vectors scaled to length one; zero vectors stay as they are."""
+    if vectors.empty:
+        return vectors
+    m = np.array(vectors.tolist(), dtype=np.float64)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return pd.Series(list(m / np.where(norms < TINY, 1.0, norms)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two array columns, clamped and rounded to four decimals; 0 when either is a zero vector."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from riskloom.functions import vectors as VX
 from riskloom.functions.lineage import checkpointed
 from riskloom.functions.wording import fill
 from riskloom.operators import similar as SIM
@@ -58,7 +59,8 @@ def text_clusters(reports: DataFrame, threshold: float = 0.60, min_size: int = 2
                   order: str = "pos", embedding: Column | None = None,
                   block_rows: int = SIM.BLOCK_ROWS) -> DataFrame:
     """Distinct texts with their vector and the group they belong to; groups of fewer reports drop out."""
-    texts = checkpointed(SIM.embedded(SIM.distinct_texts(reports, text, order=order), embedding))
+    embedded = SIM.embedded(SIM.distinct_texts(reports, text, order=order), embedding)
+    texts = checkpointed(embedded.withColumn("vec", VX.unit("vec")))
     # A zero vector is similar to nothing, not even to its copies.
     real = texts.filter(F.exists("vec", lambda x: x != 0))
     groups = components(SIM.edges(real.select("vid", "vec", "first"), threshold, block_rows))
@@ -86,26 +88,23 @@ def cohesion(clustered: DataFrame) -> DataFrame:
     With unit vectors the sum of all pairwise cosines is the squared length of the vector sum, and a
     text's sum of cosines is its product with that sum: no pair is ever formed.
     """
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = clustered.withColumn("unit", F.transform("vec", lambda x: x / norm))
-    parts = unit.select("cluster", "copies", F.posexplode("unit").alias("dim", "x")).filter(F.col("x") != 0)
+    parts = clustered.select("cluster", "vid", "first", "copies", F.posexplode("vec").alias("dim", "x")).filter(F.col("x") != 0)
     sums = parts.groupBy("cluster", "dim").agg(F.sum(F.col("x") * F.col("copies")).alias("s"))
-    # At most one entry per dimension.
-    totals = sums.groupBy("cluster").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "s"))).alias("sums"), F.sum(F.col("s") * F.col("s")).alias("square")
-    )
-    scored = unit.join(totals, "cluster").withColumn(
-        "closeness",
-        F.round(F.aggregate(
-            F.transform("unit", lambda x, i: x * F.coalesce(F.element_at("sums", i), F.lit(0.0))),
-            F.lit(0.0), lambda acc, v: acc + v,
-        ), 9),
-    )
-    n = F.max("size")
-    mean = (F.max("square") - n) / (n * (n - 1))
-    return scored.groupBy("cluster").agg(
-        F.max_by("text", F.struct(F.col("closeness"), -F.col("first"))).alias("representative_text"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, mean).otherwise(1.0))), 4).alias("average_similarity"),
+    squares = sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    closeness = (
+        parts.join(sums, ["cluster", "dim"]).groupBy("cluster", "vid", "first")
+        .agg(F.round(F.sum(F.col("x") * F.col("s")), 9).alias("closeness"))
+    )
+    medoids = closeness.groupBy("cluster").agg(F.max_by("vid", F.struct(F.col("closeness"), -F.col("first"))).alias("vid"))
+    n = F.col("size")
+    mean = (F.col("square") - n) / (n * (n - 1))
+    return (
+        clustered.select("cluster", "vid", "size", F.col("text").alias("representative_text"))
+        .join(medoids, ["cluster", "vid"]).join(squares, "cluster")
+        .select(
+            "cluster", "representative_text",
+            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, mean).otherwise(1.0))), 4).alias("average_similarity"),
+        )
     )
 
 
@@ -127,22 +126,23 @@ def trend(rows: DataFrame, group: str = "cluster", at: str = "created_at") -> Da
     The direction compares the two halves of the span, the midpoint counting to the first. Groups of at
     most two rows, or of less than a day, are isolated.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    ends = rows.groupBy(group).agg(
-        F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(at).alias("dated")
-    )
-    span = F.floor((F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(F.col("first_seen").cast("timestamp"))) / 86400000000)
-    ends = ends.withColumn("span_days", F.coalesce(span, F.lit(0)))
-    # Days per group, so the second pass joins counts and not rows.
-    times = rows.filter(F.col(at).isNotNull()).groupBy(group, micros.alias("us")).agg(F.count("*").alias("n"))
-    mid = (F.unix_micros(F.col("first_seen").cast("timestamp")) + F.unix_micros(F.col("last_seen").cast("timestamp"))) / 2
-    halves = times.join(ends.select(group, mid.alias("mid")), group).groupBy(group).agg(
+    # Counts per moment, written once: every figure below comes from them and not from the reports.
+    times = checkpointed(
+        rows.groupBy(group, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).agg(F.count("*").alias("n"))
+    )
+    dated = times.filter(F.col("us").isNotNull())
+    ends = times.groupBy(group).agg(
+        F.min("us").alias("lo"), F.max("us").alias("hi"), F.coalesce(F.sum(F.when(F.col("us").isNotNull(), F.col("n"))), F.lit(0)).alias("dated")
+    ).withColumn("span_days", F.coalesce(F.floor((F.col("hi") - F.col("lo")) / 86400000000), F.lit(0)))
+    mid = (F.col("lo") + F.col("hi")) / 2
+    halves = dated.join(ends.select(group, mid.alias("mid")), group).groupBy(group).agg(
         F.coalesce(F.sum(F.when(F.col("us") <= F.col("mid"), F.col("n"))), F.lit(0)).alias("first_half"),
         F.coalesce(F.sum(F.when(F.col("us") > F.col("mid"), F.col("n"))), F.lit(0)).alias("second_half"),
     )
-    days = rows.filter(F.col(at).isNotNull()).groupBy(group, F.date_format(at, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    days = dated.groupBy(group, F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("day")).agg(F.sum("n").alias("n"))
     # One entry per calendar day: bounded by the days of the span.
     per_day = days.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("day", "n")))).alias("date_counts"))
+    ends = ends.withColumns({"first_seen": F.timestamp_micros("lo"), "last_seen": F.timestamp_micros("hi")})
     direction = (
         F.when(F.col("dated") == 0, "stable")
         .when((F.col("dated") <= 2) | (F.col("span_days") == 0), "isolated")
@@ -200,7 +200,11 @@ def semantic_patterns(reports: DataFrame, threshold: float = 0.60, min_size: int
         F.col("barrier").isNotNull(),
         F.concat("barrier", F.lit(" ("), F.coalesce("barrier_status", F.lit(W.COMMON_DEFAULTS["status"])), F.lit(")")),
     )
-    rows = members(reports, clustered).withColumn("barrier_failure", failure)
+    # Written once: the figures below read it several times.
+    rows = checkpointed(
+        members(reports, clustered)
+        .select("cluster", "report_id", "pos", "created_at", "activity", "hazard", failure.alias("barrier_failure"))
+    )
     base = clustered.groupBy("cluster").agg(F.max("size").alias("number_of_reports"), F.min("first").alias("first"))
     stats = (
         base.join(cohesion(clustered), "cluster")
