@@ -30,6 +30,8 @@ def gazetteer_spans(text: str) -> list[tuple]:
     for g in DEFAULT_GAZETTEERS:
         for term in g.terms:
             for alias in term.aliases:
+                if alias not in text.lower():
+                    continue
                 for m in re.finditer(rf"\b{re.escape(alias)}\b", text, re.I):
                     found.append((g.kind, m.start(), m.end(), term.canonical))
     found.sort(key=lambda s: (s[0], s[1], s[1] - s[2]))
@@ -48,18 +50,32 @@ def pattern_spans(text: str) -> list[tuple]:
         out += [("equipment", m.start(1), m.end(1), m.group(1).strip().lower(), None) for m in re.finditer(pattern, text, re.I)]
     for _, pattern in P.LOCATION_PATTERNS:
         out += [("location", m.start(1), m.end(1), m.group(1).strip().title(), None) for m in re.finditer(pattern, text, re.I)]
-    spaced = lambda w: r"\s+".join(re.escape(x) for x in w.split())
-    filler = "(?:" + "|".join(rf"{f}\s+" for f in P.PREFIX_FILLERS) + ")?"
-    verb = "(?:" + "|".join(rf"{spaced(v)}\s+" for v in P.POSTFIX_VERBS) + ")?"
+    for barrier, status, regex in STATE_PATTERNS:
+        out += [("barrier", m.start(), m.end(), barrier, status) for m in regex.finditer(text)]
+    return out
+
+
+def _state_patterns() -> list[tuple]:
+    """Every state wording with every barrier, before and after it: compiled once, in pattern order."""
+    out = []
     for status, words in P.STATUS_WORDS:
         for word in words:
             for barrier, nouns in P.BARRIER_NOUNS:
                 noun = "|".join(rf"\b{spaced(n)}\b" for n in nouns)
-                for regex in (rf"\b({spaced(word)})\s+{filler}({noun})", rf"\b({noun})\s+{verb}({spaced(word)})\b"):
-                    out += [("barrier", m.start(), m.end(), barrier, status) for m in re.finditer(regex, text, re.I)]
+                for regex in (rf"\b({spaced(word)})\s+{FILLER}({noun})", rf"\b({noun})\s+{VERB}({spaced(word)})\b"):
+                    out.append((barrier, status, re.compile(regex, re.I)))
     return out
 
 
+def spaced(words: str) -> str:
+    return r"\s+".join(re.escape(x) for x in words.split())
+
+
+FILLER = "(?:" + "|".join(rf"{f}\s+" for f in P.PREFIX_FILLERS) + ")?"
+VERB = "(?:" + "|".join(rf"{spaced(v)}\s+" for v in P.POSTFIX_VERBS) + ")?"
+STATE_PATTERNS = _state_patterns()
+
+
 def merged_spans(text: str) -> list[tuple]:
     base, extra = gazetteer_spans(text), pattern_spans(text)
     out = []
@@ -75,7 +91,7 @@ def merged_spans(text: str) -> list[tuple]:
 
 
 def test_spans_equal_brute_force_and_slice_back(spark):
-    samples = texts(400)
+    samples = texts(300)
     rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(samples)], "report_id string, report_text string")
     got = {r.report_id: r for r in X.extract(rows).select("report_id", "gazetteer_entities", "entities").collect()}
     for i, text in enumerate(samples):

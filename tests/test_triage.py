@@ -91,7 +91,8 @@ def reviewed(spark, *rows):
 
 
 def routed(spark, *texts):
-    return WF.route(triage(reports(spark, *texts), explained=False)).withColumn("location", F.lit("Yard"))
+    rows = WF.route(triage(reports(spark, *texts), explained=False))
+    return rows.withColumns({"location": F.lit("Yard"), "report_type": F.lit("near_miss")})
 
 
 def test_reviewed_priority_decides_on_actions(spark):
