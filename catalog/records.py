@@ -165,7 +165,7 @@ def _imports(spark, folder):
 
 
 _AUDIT = {
-    "applied": f"select v.*, d.priority as p0, d.activity as a0, d.hazard as h0, d.barrier as b0, d.sif_probability as s0, {_FINAL} as p1 from reviews v join decided d using (report_id)",
+    "review_facts": f"select v.*, d.priority as p0, d.activity as a0, d.hazard as h0, d.barrier as b0, d.sif_probability as s0, {_FINAL} as p1 from reviews v join decided d using (report_id)",
     "audit": f"""
 select 'ANALYZE_REPORT' as action, 'report' as entity_type, report_id as entity_id, 'system' as actor_id,
   to_json({{'priority': priority, 'sif_probability': sif_probability, 'rules_fired': n_rules}})::varchar as details, created_at from decided
@@ -180,7 +180,7 @@ select 'HSE_REVIEW', 'hse_review', report_id, reviewer_id, to_json({{'decision':
   'final_determination': {{'priority': p1, 'activity': coalesce(corrected_activity, a0), 'hazard': coalesce(corrected_hazard, h0),
     'barrier': coalesce(corrected_barrier, b0)}},
   'corrected_values': case when decision = 'corrected' then {{'priority': p1, 'activity': corrected_activity, 'hazard': corrected_hazard,
-    'barrier': corrected_barrier}} end, 'comments': comments}})::varchar, reviewed_at from applied
+    'barrier': corrected_barrier}} end, 'comments': comments}})::varchar, reviewed_at from review_facts
 union all
 select 'WORKFLOW_TRANSITION', 'report', report_id, reviewer_id, to_json({{'previous_status': status0, 'new_status': workflow_status,
   'decision': upper(decision), 'reviewer_id': reviewer_id, 'comments': coalesce(comments, '')}})::varchar, reviewed_at from resolved where decision is not null
