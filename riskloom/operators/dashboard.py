@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from riskloom.functions.lineage import checkpointed
 from riskloom.functions.wording import fill
 from riskloom.packs import wording as W
 from riskloom.packs.scoring import COMPROMISED
@@ -126,7 +127,12 @@ def recurring_clusters(rows: DataFrame, clusters: int = 4, samples: int = 6) ->
     The top gaps are at most ``clusters`` rows, so they are sent to the reports. The rank filter keeps
     ``samples`` rows per gap in every task before the shuffle, so no gap is gathered whole.
     """
-    top = barrier_gaps(rows, clusters)
+    # The few columns needed are written once; ranking and sampling both read them.
+    rows = checkpointed(
+        rows.select("ai_barrier", "barrier_status", "report_id", "created_at", "priority_score")
+        .filter(F.col("ai_barrier").isNotNull() & F.col("barrier_status").isin(*COMPROMISED))
+    )
+    top = checkpointed(barrier_gaps(rows, clusters))
     order = Win.partitionBy("barrier", "barrier_status").orderBy(
         F.desc("created_at"), F.desc("priority_score"), F.asc("report_id")
     )
@@ -153,7 +159,10 @@ def recurring_clusters(rows: DataFrame, clusters: int = 4, samples: int = 6) ->
 
 def pattern_summary(rows: DataFrame) -> DataFrame:
     """One sentence on the leading hazard and barrier gap, with stand-ins when there are none."""
-    # Each side is one row.
+    # The few columns needed are written once; each side below is then one row.
+    rows = checkpointed(
+        rows.select("ai_hazard", "ai_barrier", "barrier_status", "report_id", "created_at", "priority_score")
+    )
     totals = rows.agg(F.count("*").alias("total"))
     hazard = top_values(rows, "ai_hazard", "hazard", 1).agg(F.max("hazard").alias("hazard"))
     barrier = barrier_gaps(rows, 1).agg(F.max("barrier").alias("barrier"))
