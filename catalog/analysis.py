@@ -172,7 +172,7 @@ def primary_entities(spark, folder):
 
 @query("status_window", sql("""
 select report_id, barrier, barrier_status from (
-  select t, normalized_value as barrier, case {} else 'Unknown' end as barrier_status
+  select t, canonical as barrier, case {} else 'Unknown' end as barrier_status
   from (select *, lower(substring(t, greatest(0, s - 40) + 1, e + 40 - greatest(0, s - 40))) as win
     from (select *, row_number() over (partition by t order by s, e desc) as rn from gaz where kind = 'barrier') where rn = 1))
 join reports on report_text = t""".format(__import__("oracles.base", fromlist=["x"])._window_cases)))
