@@ -1,29 +1,51 @@
-"""Cutting long lineages so that lost executors can be replaced."""
+"""Cutting long lineages so that lost executors can be replaced, and shared storage for intermediate tables."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables, in the shared folder the cluster names where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if shared:
-        return f"{shared.rstrip('/')}/riskloom-{uuid.uuid4().hex}"
+@functools.cache
+def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="riskloom-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The data written to the session's checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where it does not, as in tests,
-    is a folder made.
+    Where it is unset, a local session (as in tests) gets a folder of its own, made once; on a cluster
+    a folder of the driver's machine would lose data, so there it is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _own_folder()
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate tables in the shared folder."""
+    return f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The data written to the session's checkpoint folder and read back."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to a Parquet table in the shared folder and read back with their schema.
+
+    Unlike a checkpoint it keeps columns apart, so later steps read only those they need.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
