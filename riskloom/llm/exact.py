@@ -14,6 +14,7 @@ from pyspark.sql.types import (
 )
 
 from riskloom.functions.lineage import stored
+from riskloom.llm.batches import own
 
 # The characters that do not count when texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -37,8 +38,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             equal[0] = opening == last
         last = normal[-1].as_py()
-        ids.append(batch.column("report_id"))
-        digests.append(batch.column("text_sha256"))
+        ids.append(own(batch.column("report_id")))
+        digests.append(own(batch.column("text_sha256")))
         same.append(equal)
     if not ids:
         return

@@ -14,6 +14,7 @@ from pyspark.sql.types import (
 )
 
 from riskloom.functions.lineage import stored
+from riskloom.llm.batches import parts
 
 #: Labelled reports from which the text model is fitted, about: they are drawn by a hash of their id.
 SAMPLE = 8_000
@@ -70,7 +71,7 @@ def fit(labelled: DataFrame, languages: Sequence[str], sample: int = SAMPLE) ->
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {name: np.zeros(BUCKETS, dtype=np.int64) for name in languages}
-        for batch in batches:
+        for batch in parts(batches):
             for text, name in zip(batch.column("report_text").to_pylist(), batch.column("lang").to_pylist()):
                 for code in trigrams(visible(text)[0]):
                     counts[name] += np.bincount(code, minlength=BUCKETS)
@@ -92,7 +93,7 @@ def fit(labelled: DataFrame, languages: Sequence[str], sample: int = SAMPLE) ->
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
-        for batch in batches:
+        for batch in parts(batches):
             scores, counts, declared = [], [], []
             for text in batch.column("report_text").to_pylist():
                 plain, said = visible(text or "")

@@ -15,6 +15,7 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
+from riskloom.llm.batches import parts
 from riskloom.llm.signatures import CONFIDENCE, WORD, Rule, rules
 
 #: Phrases that always count, wherever their words stand one after the other, and their labels.
@@ -114,7 +115,7 @@ def _scanner(base: dict[str, str]):
     ]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             results = [detect(text, base) for text in batch.column("report_text").to_pylist()]
             missed = [1.0] * len(results)
             for k, (_, found) in enumerate(results):

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from riskloom.llm.batches import own, parts
+
 LENGTH = 1024
 END = 2
 #: A packing group holds about so many reports and so many bytes of text: what one task packs.
@@ -47,7 +49,7 @@ def _tokenised(path: str, end: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coding, special = encoder(path)
         last = np.array([end], dtype=width).tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             out = [
                 coding.encode_to_numpy(text, allowed_special=special, disallowed_special=()).astype(width).tobytes() + last
                 if text else last
@@ -58,20 +60,20 @@ def _tokenised(path: str, end: int, width: str):
     return run
 
 
-def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bin and an offset for each size, taken from large to small.
+def place(sizes: np.ndarray, capacity: int, order: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """A bin for each size, and the number of bins; sizes are taken in ``order``, or from large to small.
 
     A size goes where the sum over all gaps of the squared number of open bins with that gap becomes
     smallest: into an open bin or a new one. Full bins count nowhere. Ties go to the smallest gap.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap; those of gap 0 are full
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, offsets, opened = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
+    bins, opened = np.empty(len(sizes), np.int64), 0
     never = np.iinfo(np.int64).max
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for i in (np.argsort(-sizes, kind="stable") if order is None else order).tolist():
         s = int(sizes[i])
         if s == capacity:
-            bins[i], offsets[i], opened = opened, 0, opened + 1
+            bins[i], opened = opened, opened + 1
             continue
         before, after = count[s:], count[: capacity - s + 1]
         cost = np.where(before > 0, 2 * (after - before) + 2, never)
@@ -84,18 +86,47 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             target = stacks[gap].pop()
             count[gap] -= 1
-        bins[i], offsets[i] = target, capacity - gap
+        bins[i] = target
         if gap > s:
             stacks[gap - s].append(target)
             count[gap - s] += 1
+    return bins, opened
+
+
+def arranged(sizes: np.ndarray, capacity: int, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """A bin and an offset for each size.
+
+    The rule leaves gaps in the bins that were open at the end. So the sizes in bins emptier than usual are
+    placed anew by the same rule, in turn mixed up and from large to small, as long as that saves bins.
+    """
+    bins, opened = place(sizes, capacity)
+    for turn in range(rounds if opened else 0):
+        gaps = capacity - np.bincount(bins, weights=sizes, minlength=opened)
+        loose = gaps > gaps.mean() / 2
+        again = np.flatnonzero(loose[bins])
+        if not len(again):
+            break
+        part = sizes[again]
+        anew, used = place(part, capacity, np.random.default_rng(turn).permutation(len(part)) if turn % 2 == 0 else None)
+        if used < loose.sum():
+            firm = opened - int(loose.sum())
+            bins = (np.cumsum(~loose) - 1)[bins]
+            bins[again] = firm + anew
+            opened = firm + used
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(sizes[order])
+    first = np.flatnonzero(np.r_[True, np.diff(bins[order]) > 0][: len(order)])
+    base = np.repeat((ends - sizes[order])[first], np.diff(np.r_[first, len(order)]))
+    offsets = np.empty_like(bins)
+    offsets[order] = ends - sizes[order] - base
     return bins, offsets
 
 
 def _packer(capacity: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, texts = [], []
-        for batch in batches:
-            owners.append(batch.column("report_id"))
+        for batch in parts(batches):
+            owners.append(own(batch.column("report_id")))
             texts += batch.column("ids").to_pylist()
         if not texts:
             return
@@ -110,11 +141,11 @@ def _packer(capacity: int, width: str):
         opening = lengths - (pieces - 1) * capacity  # of a cut text, the first piece is the shorter one
         size = np.where(piece == 0, opening[row], capacity)
         start = np.where(piece == 0, 0, opening[row] + (piece - 1) * capacity)
-        bins, offsets = place(size, capacity)
+        bins, offsets = arranged(size, capacity)
         sequence = bins + (TaskContext.get().partitionId() << 40)
         index = np.array(order, dtype=np.int64)
-        for at in range(0, len(row), 2000):
-            part = slice(at, at + 2000)
+        for at in range(0, len(row), 1000):
+            part = slice(at, at + 1000)
             tokens = [
                 np.frombuffer(texts[index[r]], width, count=n, offset=s * unit).astype("<u4").tobytes()
                 for r, s, n in zip(row[part], start[part], size[part])
@@ -139,7 +170,7 @@ def pack_reports(
     ``tokenizer`` is the path of a byte-level BPE file that every executor can open. A report is the ids of its
     ``report_text`` (null: none) and then ``end``. Only longer ones are cut, into pieces of ``length``, the first
     of which may be shorter. Reports are dealt by hash into groups of about ``group_rows`` reports and
-    ``group_bytes`` of text, whichever gives more groups; a task packs its group from large to small pieces.
+    ``group_bytes`` of text, whichever gives more groups; a task packs its group (see ``arranged``).
 
     Returns a row per piece: report_id, piece (from 0), start (tokens of the report before it), length,
     token_bytes (unsigned little-endian 32-bit ids, the form that training loaders map into memory),

@@ -15,7 +15,7 @@ _GAP = "[^%s]+" % WORD.decode("latin-1")
 _VERSION = r"(?: (?:version |v)?(\d+(?: \d+)*))?(?: or (?:any )?later(?: version)?)?"
 
 #: Priorities: the smaller one wins where one detection lies within another.
-IDENTIFIER, GRANT, LINK, BODY, NOTICE, NAME = 1, 2, 3, 4, 5, 6
+IDENTIFIER, GRANT, LINK, BODY, NAME, NOTICE = 1, 2, 3, 4, 5, 6
 CONFIDENCE = {IDENTIFIER: 1.0, GRANT: 0.95, LINK: 0.9, BODY: 0.85, NOTICE: 0.6, NAME: 0.7}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.functions.lineage import stored
+from riskloom.llm.batches import parts
 from riskloom.llm.components import components
 
 WORDS = 3
@@ -40,7 +41,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         values = np.array([fingerprint(t) for t in batch.column("report_text").to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("report_id"), pa.array(values.view(np.int64))], names=["report_id", "fingerprint"]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from riskloom.functions.lineage import stored
+from riskloom.llm.batches import ROWS, parts
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
@@ -74,7 +75,7 @@ def _writer(folder: str, level: int):
         written = f"{root}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         rows = 0
         with system.open_output_stream(written) as out:
-            for batch in batches:
+            for batch in parts(batches):
                 columns = [batch.column(c).to_pylist() for c in ("report_id", "source_file_path", "report_text", "digest", "refers_to")]
                 for report_id, address, text, digest, refers_to in zip(*columns):
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -195,7 +196,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with system.open_input_file(place) as file:
                 for at, content in members(_Bytes(file, length), start, end):
                     rows.append((*parsed(content), path, at))
-                    if len(rows) == 500:
+                    if len(rows) == ROWS:
                         yield out(rows)
                         rows = []
             if rows:
