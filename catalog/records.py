@@ -75,14 +75,13 @@ def workflow_resolved(spark, folder):
 
 @query("workflow_status", sql(f"""
 select report_id, final_priority as priority, workflow_status, {pick('workflow_status', W.BADGES)} as display_badge,
-  coalesce(a.n, 0) as recent_alerts, 1 + (priority = 'HIGH')::bigint as audit_entries
-from resolved left join (select report_id, count(*) as n from (select * from alerts order by created_at desc, alert_id limit 100) group by 1) a
+  coalesce(a.n, 0) as alerts, 1 + (priority = 'HIGH')::bigint as audit_entries
+from resolved left join (select report_id, count(*) as n from alerts group by 1) a
 using (report_id)"""))
 def workflow_status(spark, folder):
-    routed = S.routed(spark, folder)
-    audit = P.audit_of_analysis(routed)
-    rows = V.workflow_status(S.resolved(spark, folder), S.alerts(spark, folder), audit)
-    return rows.drop("in_review_queue")
+    routed, reviews = S.routed_once(spark, folder), C.reviews(spark, folder)
+    alerts = WF.resolve_alerts(WF.alerts(routed), reviews)
+    return V.workflow_status(WF.resolve(routed, reviews), alerts, P.audit_of_analysis(routed)).drop("in_review_queue")
 
 
 @query("actions_created", sql("select action_id, report_id, title, priority, status, site_location from actions"))
@@ -100,10 +99,9 @@ def action_state(spark, folder):
 
 
 @query("actions_list", sql("""
-select action_id, status, priority, site_location from (select * from actions order by created_at desc, action_id limit 200)
-where lower(status) = 'open' and priority = 'HIGH'"""))
+select action_id, status, priority, site_location from actions where lower(status) = 'open' and priority = 'HIGH'"""))
 def actions_list(spark, folder):
-    rows = V.actions_list(S.actions(spark, folder), 200, "OPEN", "HIGH")
+    rows = V.actions_list(S.actions(spark, folder), "OPEN", "HIGH")
     return rows.select("action_id", "status", "priority", "site_location")
 
 
@@ -142,14 +140,15 @@ def feedback_list(spark, folder):
 # ------------------------------------------------------------------ audit
 
 
-def _audit(spark, folder):
-    routed = S.routed(spark, folder)
-    reviews = C.reviews(spark, folder)
+def _audit(spark, folder, report_id=None):
+    """Entries of all kinds, or those of one report; the triage is written once for the three that read it."""
+    routed = S.routed_once(spark, folder, report_id)
+    reviews = C.reviews(spark, folder, report_id)
     return P.audit_log(
         P.audit_of_analysis(routed),
         P.audit_of_reviews(WF.apply_reviews(routed, reviews)),
         P.audit_of_transitions(WF.resolve(routed, reviews)),
-        P.audit_of_feedback(C.feedback(spark, folder)),
+        P.audit_of_feedback(C.feedback(spark, folder, report_id)),
         P.audit_of_imports(_imports(spark, folder)),
     )
 
@@ -200,8 +199,8 @@ def audit_log(spark, folder):
 
 @query("audit_trail", sql(f"select action, actor_id, {_TIME.format('created_at')} as created_at from audit where entity_id = 'REP-100'", _AUDIT))
 def audit_trail(spark, folder):
-    """One report's trail, oldest first; the id test reaches every scan."""
-    rows = _audit(spark, folder).filter(F.col("entity_id") == "REP-100").orderBy("created_at", "action")
+    """One report's trail, oldest first; the id is looked up in the scans of orders and events, before any triage."""
+    rows = _audit(spark, folder, "REP-100").filter(F.col("entity_id") == "REP-100").orderBy("created_at", "action")
     return rows.select("action", "actor_id", S.stamp("created_at").alias("created_at"))
 
 
@@ -234,11 +233,12 @@ union all select report_id, priority, priority_score from again where report_id
     {"again": scored_sql("select * from reports join context on t = report_text join rollup using (t)", FALLBACK, "1.0::double")}))
 def replace_analysis(spark, folder):
     """Reviewed reports are analysed again with a recurrence signal."""
-    reports = C.reports(spark, folder)
-    reviewed = reports.join(C.reviews(spark, folder).select("report_id"), "report_id", "left_semi")
-    columns = ("report_id", "priority", "priority_score")
-    fresh = triage(reviewed, recurrence=F.lit(1.0), explained=False).select(*columns)
-    return P.replace_analysis(S.decided(spark, folder).select(*columns), fresh)
+    again = C.reviews(spark, folder).select("report_id").distinct()
+    return P.reanalysed(
+        C.reports(spark, folder), again,
+        stored=lambda rows: triage(rows, explained=False).select("report_id", "priority", "priority_score"),
+        fresh=lambda rows: triage(rows, recurrence=F.lit(1.0), explained=False).select("report_id", "priority", "priority_score"),
+    )
 
 
 @query("purge_cohort", sql(" union all ".join(

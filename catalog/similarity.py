@@ -13,6 +13,7 @@ from riskloom.operators import patterns as PT
 from riskloom.operators import similar as SIM
 from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
+from riskloom.streaming import triage_stream as TS
 
 _HASH = {
     "tokens": "select t, unnest(list_filter(string_split(replace(replace(lt, ',', ' '), '.', ' '), ' '), lambda x: x <> '')) as w from texts",
@@ -175,17 +176,49 @@ def recommendations(spark, folder):
     return rows.withColumn("recommended_action", PT.recommendation(F.col("hazard"), F.col("barrier_failure"), F.col("activity")))
 
 
-@query("stream_triage", sql("select report_id, priority, priority_score, status0 as workflow_status from routed"))
-def stream_triage(spark, folder):
-    """All reports arriving as files, triaged by a stream until none is left, and read back."""
-    from riskloom.streaming import triage_stream as TS
-
+def _streamed(spark, rows):
+    """The folder of a stream's tables after all ``rows`` have arrived, as files in any order of date in one batch."""
     base = scratch(spark)
-    rows = C.reports(spark, folder).select(
-        "report_id", "report_text", F.lit(None).cast("string").alias("location"),
-        F.lit(None).cast("double").alias("recurring_risk_signal"), F.col("created_at").cast("timestamp").alias("created_at"))
     rows.write.mode("overwrite").parquet(f"{base}/in")
-    # Reports come in any order of date, so the lateness spans all of them.
-    stream = TS.arriving(spark, f"{base}/in", late="3650 days")
-    TS.start(stream, f"{base}/decisions", f"{base}/alerts", f"{base}/progress", once=True).awaitTermination()
+    stream = TS.arriving(spark, f"{base}/in", late="1 day", files_per_trigger=1_000_000)
+    TS.start(stream, f"{base}/decisions", f"{base}/alerts", f"{base}/rejects", f"{base}/progress", once=True).awaitTermination()
+    return base
+
+
+def _arriving_reports(spark, folder):
+    """Reports, every seventh too short and every eleventh too long to be taken in."""
+    text = (
+        F.when(F.col("pos") % 7 == 0, F.substring("report_text", 1, 9))
+        .when(F.col("pos") % 11 == 0, F.repeat("report_text", 200)).otherwise(F.col("report_text"))
+    )
+    return C.reports(spark, folder).select(
+        "report_id", text.alias("report_text"), F.lit(None).cast("string").alias("location"),
+        F.lit(None).cast("double").alias("recurring_risk_signal"), F.col("created_at").cast("timestamp").alias("created_at"))
+
+
+@query("stream_triage", sql("select report_id, priority, priority_score, status0 as workflow_status from routed where pos % 7 <> 0 and pos % 11 <> 0"))
+def stream_triage(spark, folder):
+    """Reports of every length arriving as files, triaged by a stream until none is left, and read back."""
+    base = _streamed(spark, _arriving_reports(spark, folder))
     return spark.read.parquet(f"{base}/decisions").select("report_id", "priority", "priority_score", "workflow_status")
+
+
+@query("stream_rejects", sql("""
+select report_id, case when pos % 7 = 0 then 9 else 200 * length(report_text) end::int as n_chars, 'report_text' as violations
+from reports where pos % 7 = 0 or pos % 11 = 0"""))
+def stream_rejects(spark, folder):
+    """The reports that the same stream does not take in, whole, with the limits they break."""
+    base = _streamed(spark, _arriving_reports(spark, folder))
+    return spark.read.parquet(f"{base}/rejects").select(
+        "report_id", F.length("report_text").alias("n_chars"), S.joined("violations").alias("violations"))
+
+
+@query("stream_daily", sql("""
+select strftime(created_at, '%Y-%m-%d') as day, priority, count(*) as reports from routed where pos % 7 <> 0 and pos % 11 <> 0 group by all"""))
+def stream_daily(spark, folder):
+    """Daily counts kept by a second stream that reads the decisions of the first."""
+    base = _streamed(spark, _arriving_reports(spark, folder))
+    shape = spark.read.parquet(f"{base}/decisions").schema
+    decided = spark.readStream.schema(shape).parquet(f"{base}/decisions")
+    TS.start_daily(decided, f"{base}/daily", f"{base}/daily-progress", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/daily").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "priority", "reports")

@@ -9,10 +9,12 @@ from catalog import shared as S
 from oracles.base import q, say, sql
 from riskloom.operators import dashboard as D
 from riskloom.operators import persist as P
+from riskloom.functions.lineage import scratch
 from riskloom.operators import views as V
 from riskloom.operators import workflow as WF
 from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
+from riskloom.sources import writers as WR
 
 _LIST = ("report_id", "created_at", "priority_score", "final_priority", "final_hazard", "final_activity")
 _LIST_SQL = ("report_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at, priority_score, final_priority, "
@@ -91,10 +93,10 @@ def needs_attention(spark, folder):
 
 @query("list_page", sql(f"select {_LIST_SQL}, (select count(*) from summary) as total from summary order by seq limit 50 offset 100"))
 def list_page(spark, folder):
-    """The third page, with the number of rows before paging beside it (one row, sent to the page)."""
-    rows = S.summary(spark, folder)
-    page = _listed(V.page(rows, 50, 100)).withColumn("one", F.lit(1))
-    return page.join(F.broadcast(V.total(rows).withColumn("one", F.lit(1))), "one").drop("one")
+    """The third page, with the number of rows before paging beside it: a count of reports, which needs no triage."""
+    page = _listed(V.page(S.summary(spark, folder), 50, 100)).withColumn("one", F.lit(1))
+    total = V.total(C.table(spark, folder, "orders")).withColumn("one", F.lit(1))
+    return page.join(F.broadcast(total), "one").drop("one")
 
 
 @query("list_page_by_score", sql(f"select {_LIST_SQL} from summary order by summary.priority_score desc, summary.created_at desc, report_id limit 50"))
@@ -104,8 +106,8 @@ def list_page_by_score(spark, folder):
 
 @query("report_by_id", sql(f"select {_LIST_SQL}, report_text from summary where report_id = 'REP-1234'"))
 def report_by_id(spark, folder):
-    """A point lookup; the id test reaches the scan of both sides."""
-    rows = S.summary(spark, folder).filter(F.col("report_id") == "REP-1234")
+    """A point lookup: the id reaches the scans of reports and of reviews, below the triage."""
+    rows = S.summary(spark, folder, report_id="REP-1234")
     return rows.select("report_id", S.stamp("created_at").alias("created_at"), *_LIST[2:], "report_text")
 
 
@@ -190,10 +192,7 @@ def dashboard_kpis(spark, folder):
 select 'final' as basis, round({_PRECURSOR.format('final_priority')} / count(*) * 100, 1) as sif_precursor_rate from summary
 union all select 'ai', round({_PRECURSOR.format('ai_priority')} / count(*) * 100, 1) from summary"""))
 def precursor_rate(spark, folder):
-    rows = S.summary(spark, folder)
-    return D.precursor_rate(rows).select(F.lit("final").alias("basis"), "sif_precursor_rate").union(
-        D.precursor_rate(rows, "ai_priority").select(F.lit("ai"), "sif_precursor_rate")
-    )
+    return D.precursor_rates(S.summary(spark, folder), {"final": "final_priority", "ai": "ai_priority"})
 
 
 @query("ai_vs_final", sql("""
@@ -297,14 +296,22 @@ def cohort_status(spark, folder):
 
 
 _REGISTER_SQL = """
-select report_id, 'N/A' as source_file, report_type, location, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as created_at,
+select report_id, coalesce(source_file_name, 'N/A') as source_file, report_type, location, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as created_at,
   coalesce(final_activity, '') as activity, coalesce(final_hazard, '') as hazard, coalesce(final_barrier, '') as barrier,
   coalesce(barrier_status, '') as barrier_status, final_priority as priority, priority_score, sif_probability,
   n_rules::varchar || ' rules' as triggered_rules, hse_reviewed, coalesce(review_decision, '') as hse_decision, workflow_status
-from summary"""
+from summary join (select report_id, source_file_name from reports) using (report_id)"""
 
 
 @query("export_register", sql(_REGISTER_SQL))
 def export_register(spark, folder):
-    reports = C.reports(spark, folder).withColumn("source_file_name", F.lit(None).cast("string"))
-    return P.export_register(S.summary(spark, folder), reports)
+    return P.export_register(S.summary(spark, folder))
+
+
+@query("export_register_csv", sql(_REGISTER_SQL + " where final_priority = 'HIGH' and contains(lower(final_hazard), 'fall')"))
+def export_register_csv(spark, folder):
+    """The register of high-risk falls, written as CSV and read back."""
+    path = f"{scratch(spark)}/register"
+    rows = P.export_register(S.summary(spark, folder), priority="HIGH", hazard="fall")
+    WR.write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path).na.fill("")

@@ -65,7 +65,8 @@ CTE: dict[str, str] = {}
 CTE["reports"] = f"""
 select 'REP-' || o_orderkey::varchar as report_id, o_orderkey as pos,
   ({part(TASKS)}) || ' ' || ({part(PLACES)}) || ' ' || ({part(STATES)}) || '.' as report_text,
-  'near_miss' as report_type, o_orderdate as created_at
+  'near_miss' as report_type, o_orderdate as created_at,
+  case when o_orderkey % 5 = 0 then 'box-' || (o_orderkey % 100)::varchar || '.txt' end as source_file_name
 from orders"""
 
 CTE["reviews"] = """

@@ -5,6 +5,8 @@ Everything is a partial aggregate: rows shrink to a handful of groups before any
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from riskloom.functions.lineage import checkpointed
@@ -45,12 +47,17 @@ def kpis(rows: DataFrame) -> DataFrame:
     )
 
 
-def precursor_rate(rows: DataFrame, on: str = "final_priority") -> DataFrame:
-    """Share of reports with probability of at least one half or HIGH priority (final, or AI by option)."""
-    hit = F.count_if((F.col("sif_probability") >= 0.5) | (F.col(on) == "HIGH"))
-    return rows.agg(
-        F.when(F.count("*") > 0, _percent_of(hit, F.count("*"))).otherwise(0.0).alias("sif_precursor_rate")
-    )
+def precursor_rates(rows: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    """(basis, sif_precursor_rate): share of reports with probability of at least one half or HIGH priority.
+
+    ``on`` names the priority column of each basis; all are counted in one pass.
+    """
+    rates = F.array(*[
+        F.struct(F.lit(basis).alias("basis"), F.when(F.count("*") > 0, _percent_of(
+            F.count_if((F.col("sif_probability") >= 0.5) | (F.col(column) == "HIGH")), F.count("*"))).otherwise(0.0).alias("sif_precursor_rate"))
+        for basis, column in on.items()
+    ])
+    return rows.agg(rates.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def _comparison() -> list[Column]:

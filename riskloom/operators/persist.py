@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators import workflow as WF
+from riskloom.operators.views import list_filter
 from riskloom.packs import wording as W
 
 
@@ -34,9 +37,21 @@ def upsert_reports(stored: DataFrame, incoming: DataFrame, order: str) -> DataFr
     ).select(*columns)
 
 
-def replace_analysis(stored: DataFrame, fresh: DataFrame, key: str = "report_id") -> DataFrame:
-    """Rows of re-analysed reports give way to the fresh rows; the rest stay."""
-    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def replace_analysis(stored: DataFrame, fresh: DataFrame, key: str = "report_id", keys: DataFrame | None = None) -> DataFrame:
+    """Rows of re-analysed reports give way to the fresh rows; the rest stay.
+
+    ``keys`` names the re-analysed reports where they are known without computing ``fresh``.
+    """
+    gone = (fresh if keys is None else keys).select(key).distinct()
+    return stored.join(gone, key, "left_anti").unionByName(fresh)
+
+
+def reanalysed(
+    reports: DataFrame, keys: DataFrame, stored: Callable[[DataFrame], DataFrame], fresh: Callable[[DataFrame], DataFrame], key: str = "report_id",
+) -> DataFrame:
+    """Analyses of all reports, those in ``keys`` done anew. The keys decide before either analysis, so each report has one."""
+    gone = keys.select(key)
+    return stored(reports.join(gone, key, "left_anti")).unionByName(fresh(reports.join(gone, key, "left_semi")))
 
 
 def remove_cohort(tables: dict[str, DataFrame], prefix: str) -> dict[str, DataFrame]:
@@ -144,20 +159,21 @@ def audit_log(*parts: DataFrame) -> DataFrame:
     return out.select(*AUDIT_COLUMNS)
 
 
-def export_register(summary: DataFrame, reports: DataFrame, limit: int | None = None) -> DataFrame:
-    """The sixteen-column register: final value, else AI value, else empty; newest first when limited.
+def export_register(
+    summary: DataFrame, limit: int | None = None, priority: str | None = None, hazard: str | None = None, activity: str | None = None,
+) -> DataFrame:
+    """The sixteen-column register: final value, else AI value, else empty; filtered as the list view, newest first when limited.
 
     No cap by default: the caller may ask for the usual 1,000 or 10,000 rows.
     """
-    rows = summary
+    rows = list_filter(summary, priority, hazard, activity)
     if limit is not None:
         rows = rows.orderBy(F.desc("created_at"), F.desc("priority_score"), F.asc("report_id")).limit(limit)
-    source = reports.select("report_id", "source_file_name")
 
     def text(*columns: str) -> Column:
         return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
 
-    return rows.join(source, "report_id", "left").select(
+    return rows.select(
         "report_id",
         F.coalesce(F.nullif("source_file_name", F.lit("")), F.lit("N/A")).alias("source_file"),
         F.coalesce("report_type", F.lit("near_miss")).alias("report_type"),

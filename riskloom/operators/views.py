@@ -51,6 +51,8 @@ def summary(routed: DataFrame, reviews: DataFrame) -> DataFrame:
         "queue_entered_at": F.col("queue_entered_at"),
         "alert_triggered": F.col("workflow_status") == W.REVIEW_REQUIRED,
     }
+    if "source_file_name" in routed.columns:
+        columns["source_file_name"] = F.col("source_file_name")
     if "explanation" in routed.columns:
         columns["explanation_snippet"] = F.coalesce(tx.clip(F.col("explanation"), SNIPPET), F.lit(""))
     return s.select(*[c.alias(n) for n, c in columns.items()])
@@ -188,27 +190,30 @@ def newest(rows: DataFrame, key: str, limit: int = 50, ascending: bool = False)
     return rows.orderBy(when, F.asc(key)).limit(limit)
 
 
-def actions_list(rows: DataFrame, limit: int = 50, status: str | None = None, priority: str | None = None) -> DataFrame:
-    """The newest actions, then filtered by status (any case) and priority: the limit comes first."""
-    out = newest(rows, "action_id", limit)
+def actions_list(
+    rows: DataFrame, status: str | None = None, priority: str | None = None, limit: int | None = None, window: int | None = None,
+) -> DataFrame:
+    """Actions of a status (any case) and priority; all of them, or the newest ``limit``.
+
+    ``window``, if given, looks at that many newest actions only, before the filters.
+    """
+    out = rows if window is None else newest(rows, "action_id", window)
     if status:
         out = out.filter(F.lower("status") == status.lower())
     if priority:
         out = out.filter(F.col("priority") == priority)
-    return out
+    return out if limit is None else newest(out, "action_id", limit)
 
 
-def workflow_status(resolved: DataFrame, alert_rows: DataFrame, audit: DataFrame, recent: int = 100) -> DataFrame:
-    """State, badge, alerts (among the most recent ones) and number of audit entries per report."""
-    shown = newest(alert_rows, "alert_id", recent).groupBy("report_id").agg(
-        F.count("*").alias("recent_alerts")
-    )
+def workflow_status(resolved: DataFrame, alert_rows: DataFrame, audit: DataFrame, recent: int | None = None) -> DataFrame:
+    """State, badge, alerts and number of audit entries per report; ``recent`` counts among so many newest alerts only."""
+    seen = alert_rows if recent is None else newest(alert_rows, "alert_id", recent)
+    shown = seen.groupBy("report_id").agg(F.count("*").alias("alerts"))
     entries = audit.groupBy(F.col("entity_id").alias("report_id")).agg(F.count("*").alias("audit_entries"))
     return (
         resolved.select("report_id", F.col("final_priority").alias("priority"), "workflow_status", "in_review_queue",
                         WF.badge(F.col("workflow_status")).alias("display_badge"))
-        # At most `recent` rows: always small enough to send to every task.
-        .join(F.broadcast(shown), "report_id", "left")
+        .join(shown, "report_id", "left")
         .join(entries, "report_id", "left")
-        .fillna(0, ["recent_alerts", "audit_entries"])
+        .fillna(0, ["alerts", "audit_entries"])
     )

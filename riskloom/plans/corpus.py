@@ -9,10 +9,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer files than there are cores, dealt out over all of them; large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def dealt(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt out evenly before work that costs far more a row than their shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def order_key(report_id: str) -> int | None:
+    """The order behind a report id, so that a test on the id reaches the scan; None if there is none."""
+    number = report_id.removeprefix("REP-")
+    return int(number) if report_id.startswith("REP-") and number.isdigit() else None
+
+
+def _of_order(orders: DataFrame, report_id: str | None) -> DataFrame:
+    return orders if report_id is None else orders.filter(F.col("o_orderkey") == F.lit(order_key(report_id)))
 
 
 # Sentence parts by order number; their counts (9, 7, 11) share no factor, so all combinations occur.
@@ -43,20 +52,22 @@ def _report_id():
     return F.concat(F.lit("REP-"), F.col("o_orderkey").cast("string"))
 
 
-def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """One safety report per order."""
-    return spread(table(spark, folder, "orders")).select(
+def reports(spark: SparkSession, folder: str, report_id: str | None = None) -> DataFrame:
+    """One safety report per order, or the one of an id."""
+    orders = _of_order(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), report_id)
+    return dealt(orders).select(
         _report_id().alias("report_id"),
         F.col("o_orderkey").alias("pos"),
         F.concat(F.concat_ws(" ", _part(TASKS), _part(PLACES), _part(STATES)), F.lit(".")).alias("report_text"),
         F.lit("near_miss").alias("report_type"),
         F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("box-"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".txt"))).alias("source_file_name"),
     )
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
+def reviews(spark: SparkSession, folder: str, report_id: str | None = None) -> DataFrame:
     """Reviews of finished orders; every tenth gets a second, later one."""
-    done = table(spark, folder, "orders").filter(F.col("o_orderstatus") == "F")
+    done = _of_order(table(spark, folder, "orders"), report_id).filter(F.col("o_orderstatus") == "F")
     key = F.col("o_orderkey")
     urgency = (
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "HIGH")
@@ -88,12 +99,16 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 FEEDBACK_TYPES = {"error": "false_positive", "purchase": "false_negative", "click": "label_correction"}
 
 
-def feedback(spark: SparkSession, folder: str) -> DataFrame:
+def feedback(spark: SparkSession, folder: str, report_id: str | None = None) -> DataFrame:
     """One feedback entry per event, on every second report; later events name reports that do not exist."""
+    events = table(spark, folder, "events")
+    if report_id is not None:
+        key = order_key(report_id)
+        events = events.filter(F.col("event_id") == F.lit(None if key is None or key % 2 else key // 2))
     kind = F.lit("general_feedback")
     for event, name in FEEDBACK_TYPES.items():
         kind = F.when(F.col("event_type") == event, name).otherwise(kind)
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("FB-"), F.col("event_id").cast("string")).alias("feedback_id"),
         F.concat(F.lit("REP-"), (F.col("event_id") * 2).cast("string")).alias("report_id"),
         F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("U-"), F.col("user_id").cast("string"))).alias("user_id"),
