@@ -15,6 +15,9 @@ from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
 from riskloom.streaming import triage_stream as TS
 
+# Small blocks, so that small tables are many groups too.
+BLOCK = 64
+
 _HASH = {
     "tokens": "select t, unnest(list_filter(string_split(replace(replace(lt, ',', ' '), '.', ' '), ' '), lambda x: x <> '')) as w from texts",
     "hashed": "select t, ('0x' || substring(md5(w), 1, 8))::bigint as h from tokens",
@@ -57,12 +60,12 @@ where rank <= 5""",
 
 @query("similar_topk", sql("select report_id, similar_id, similarity, rank::int as rank from neighbours", _TOPK))
 def similar_topk(spark, folder):
-    return SIM.similar_reports(C.reports(spark, folder))
+    return SIM.similar_reports(C.reports(spark, folder), block_rows=BLOCK)
 
 
 @query("mean_similarity", sql("select report_id, round(avg(similarity), 4) as mean_similarity, count(*) as neighbours from neighbours group by 1", _TOPK))
 def mean_similarity(spark, folder):
-    return SIM.mean_similarity(SIM.similar_reports(C.reports(spark, folder)))
+    return SIM.mean_similarity(SIM.similar_reports(C.reports(spark, folder), block_rows=BLOCK))
 
 
 @query("similar_vectors", """
@@ -73,23 +76,19 @@ select vec_id, other, similarity, rank::int as rank from (
 def similar_vectors(spark, folder):
     """Neighbours among vectors that come from elsewhere."""
     rows = C.table(spark, folder, "embeddings").select(F.col("vec_id").alias("vid"), F.col("embedding").alias("vec"), F.col("vec_id").alias("first"))
-    return SIM.nearest(rows, 5, 0.35).select(F.col("vid").alias("vec_id"), "other", "similarity", "rank")
+    return SIM.nearest(rows, 5, 0.35, BLOCK).select(F.col("vid").alias("vec_id"), "other", "similarity", "rank")
 
 
 @query("recurrence_signal", sql("""
 select report_id, m as max_similarity, case when m >= 0.7::double then 1.0::double when m >= 0.35::double then round((m - 0.35::double) / 0.35::double, 3) else 0.0::double end as recurrence_signal
-from (select r.report_id, greatest(0, coalesce(max(s.sim), 0)) as m from reports r
-  left join (select * from sims where u in (select report_text from top_high)) s on s.t = r.report_text
-    and s.u in (select report_text from top_high) and exists (select 1 from top_high h where h.report_text = s.u and h.report_id <> r.report_id)
-  group by 1)""".replace("and s.u in (select report_text from top_high) and exists (select 1 from top_high h where h.report_text = s.u and h.report_id <> r.report_id)",
-  "and not (s.u = r.report_text and (select count(*) from top_high h where h.report_text = s.u) = 1 and r.report_id in (select report_id from top_high))"),
-    _SIMS | {"top_high": "select report_id, report_text from decided where priority = 'HIGH' order by priority_score desc, report_id limit 50"}))
+from (select r.report_id, case when h.n > 1 or (h.n = 1 and h.one <> r.report_id) then 1.0::double else coalesce(b.sim, 0) end as m
+  from reports r left join high h on h.u = r.report_text
+  left join (select t, max(sim) as sim from sims where u in (select u from high) and u <> t and sim >= 0.35 group by 1) b on b.t = r.report_text)""",
+    _SIMS | {"high": "select report_text as u, count(*) as n, min(report_id) as one from decided where priority = 'HIGH' group by 1"}))
 def recurrence_signal(spark, folder):
-    """Against the 50 leading high-risk reports."""
-    from riskloom.operators import views as V
-
-    high = S.decided(spark, folder).filter(F.col("priority") == "HIGH").orderBy(F.desc("priority_score"), "report_id").limit(50)
-    return SIM.recurrence(C.reports(spark, folder), high).select("report_id", "max_similarity", "recurrence_signal")
+    """Against all other high-risk reports; similarities below .35, whose signal is 0, are not told apart."""
+    high = S.decided(spark, folder).filter(F.col("priority") == "HIGH").select("report_id", "report_text")
+    return SIM.recurrence(C.reports(spark, folder), high, block_rows=BLOCK).select("report_id", "max_similarity", "recurrence_signal")
 
 
 _CLUSTER = _SIMS | {
@@ -104,7 +103,7 @@ _CLUSTER = _SIMS | {
 @query("semantic_clusters", sql("select report_id, root as cluster_first, size::bigint as size from members", _CLUSTER, ("reach",)))
 def semantic_clusters(spark, folder):
     rows = C.reports(spark, folder)
-    return PT.members(rows, PT.text_clusters(rows)).select("report_id", "cluster_first", "size")
+    return PT.members(rows, PT.text_clusters(rows, block_rows=BLOCK)).select("report_id", "cluster_first", "size")
 
 
 def _analysed(spark, folder):
@@ -119,7 +118,7 @@ _CLOSE = _CLUSTER | {
 
 @query("cluster_medoid", sql("select root as cluster_first, representative_text, average_similarity from cohesion", _CLOSE, ("reach",)))
 def cluster_medoid(spark, folder):
-    clustered = PT.text_clusters(C.reports(spark, folder))
+    clustered = PT.text_clusters(C.reports(spark, folder), block_rows=BLOCK)
     firsts = clustered.groupBy("cluster").agg(F.min("first").alias("cluster_first"))
     return PT.cohesion(clustered).join(firsts, "cluster").select("cluster_first", "representative_text", "average_similarity")
 
@@ -142,7 +141,7 @@ from (select root, count(*) as number_of_reports, {_mode('activity', W.COMMON_DE
     {_mode('hazard', W.COMMON_DEFAULTS['hazard'])} as hazard_, {_mode('failure', W.COMMON_DEFAULTS['barrier'])} as failure_
   from members m group by root) join cohesion using (root)""", _CLOSE, ("reach",)))
 def semantic_patterns(spark, folder):
-    patterns, _ = PT.semantic_patterns(_analysed(spark, folder))
+    patterns, _ = PT.semantic_patterns(_analysed(spark, folder), block_rows=BLOCK)
     return patterns.select("pattern_id", "number_of_reports", "common_activity", "common_hazard", "common_barrier_failure",
                            "recommended_action", "representative_text", "average_similarity")
 

@@ -2,57 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from riskloom.functions import graph
 from riskloom.functions import vectors as VX
-from riskloom.functions.lineage import checkpointed
+from riskloom.functions.lineage import checkpointed, stored
 from riskloom.functions.wording import fill
 from riskloom.operators import similar as SIM
 from riskloom.packs import wording as W
 
+# Vector sums (3 KB each) that a task holds, or that are sent to every task.
+SUMS = 2_000
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest id reachable from each id that has an edge.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) connect every id to the smallest
-    one in its group in a logarithmic number of rounds, each a grouped minimum and a join. Every round is
-    written to the checkpoint folder.
-    """
-
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        side = both if large else both.filter(F.col("v") < F.col("u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = side.join(least, "u")
-        moved = (
-            joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            if large
-            else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-                least.select("u", F.col("m").alias("v"))
-            )
-        )
-        return moved.filter(F.col("u") != F.col("v")).distinct()
-
-    links = checkpointed(
-        edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .filter(F.col("u") != F.col("v")).distinct()
-    )
-
-    def fingerprint(df: DataFrame):
-        return df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
 
-    state = fingerprint(links)
-    for _ in range(max_rounds):
-        links = checkpointed(star(star(links, True), False))
-        after = fingerprint(links)
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        links.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    ).distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable from each id that has an edge to another."""
+    rooted = stored(graph.components(edges, "src", "dst"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
+    return rooted.join(least, "root").select(F.col("node").alias("id"), "component")
 
 
 def text_clusters(reports: DataFrame, threshold: float = 0.60, min_size: int = 2, text: str = "report_text",
@@ -82,29 +53,48 @@ def members(reports: DataFrame, clustered: DataFrame, text: str = "report_text",
     return keyed.join(spread, ["vid", "salt"]).drop("vid", "salt")
 
 
+def _vector_sums(clustered: DataFrame) -> DataFrame:
+    """(cluster, total): the sum of a cluster's vectors, counted with their copies. Each task sums up its own rows first."""
+    kind = clustered.schema["cluster"].dataType.simpleString()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for cluster, vec, copies in zip(pdf["cluster"], pdf["vec"], pdf["copies"]):
+                part = np.asarray(vec, dtype=np.float64) * copies
+                sums[cluster] = sums[cluster] + part if cluster in sums else part
+            if len(sums) > SUMS:
+                yield pd.DataFrame({"cluster": list(sums), "part": list(sums.values())})
+                sums = {}
+        if sums:
+            yield pd.DataFrame({"cluster": list(sums), "part": list(sums.values())})
+
+    parts = clustered.select("cluster", "vec", "copies").mapInPandas(add, f"cluster {kind}, part array<double>")
+    dims = parts.select("cluster", F.posexplode("part").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("s"))
+    # One entry per dimension.
+    return dims.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda d: d["s"]).alias("total"))
+
+
 def cohesion(clustered: DataFrame) -> DataFrame:
     """Per cluster: mean cosine over all pairs of its reports, and the text closest to all of them.
 
     With unit vectors the sum of all pairwise cosines is the squared length of the vector sum, and a
     text's sum of cosines is its product with that sum: no pair is ever formed.
     """
-    parts = clustered.select("cluster", "vid", "first", "copies", F.posexplode("vec").alias("dim", "x")).filter(F.col("x") != 0)
-    sums = parts.groupBy("cluster", "dim").agg(F.sum(F.col("x") * F.col("copies")).alias("s"))
-    squares = sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
-    closeness = (
-        parts.join(sums, ["cluster", "dim"]).groupBy("cluster", "vid", "first")
-        .agg(F.round(F.sum(F.col("x") * F.col("s")), 9).alias("closeness"))
-    )
-    medoids = closeness.groupBy("cluster").agg(F.max_by("vid", F.struct(F.col("closeness"), -F.col("first"))).alias("vid"))
-    n = F.col("size")
-    mean = (F.col("square") - n) / (n * (n - 1))
-    return (
-        clustered.select("cluster", "vid", "size", F.col("text").alias("representative_text"))
-        .join(medoids, ["cluster", "vid"]).join(squares, "cluster")
-        .select(
-            "cluster", "representative_text",
-            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, mean).otherwise(1.0))), 4).alias("average_similarity"),
-        )
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+
+    sums = stored(_vector_sums(clustered))
+    # One vector a cluster; a cluster with very many texts is split by the join itself where sums are too many to send around.
+    small = sums.count() <= SUMS
+    close = clustered.join(F.broadcast(sums) if small else sums, "cluster").select(
+        "cluster", "vid", "first", "size", "text", F.round(dot(F.col("vec"), F.col("total")), 9).alias("closeness"), dot(F.col("total"), F.col("total")).alias("square"))
+    best = F.max_by(F.struct("text", "size", "square"), F.struct(F.col("closeness"), -F.col("first"))).alias("m")
+    n = F.col("m.size")
+    mean = (F.col("m.square") - n) / (n * (n - 1))
+    return close.groupBy("cluster").agg(best).select(
+        "cluster", F.col("m.text").alias("representative_text"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, mean).otherwise(1.0))), 4).alias("average_similarity"),
     )
 
 

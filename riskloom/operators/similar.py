@@ -1,8 +1,10 @@
 """Similarity over vectors: exact neighbours, recurrence against known high-risk reports, exact edges.
 
-All pairs of vectors are compared, exactly, as blocked matrix products. Equal texts are compared once.
-What leaves a task is small by construction: a few neighbours per row and block, or a spanning forest of
-the similar pairs, never the pairs themselves.
+Every pair that can reach the threshold is compared, exactly, and no other need be: vectors are placed with
+the nearest of a few pivots, and by the triangle inequality on angles a vector can only be similar to members of
+those blocks whose pivot is within the block's radius and the threshold's angle of it. Equal texts are compared
+once. What leaves a task is small by construction: a few neighbours per row, or a spanning forest of the similar
+pairs, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from riskloom.functions import text as tx
 from riskloom.functions import vectors as V
+from riskloom.functions.lineage import stored
 
 # Rows per block: two blocks of 384 doubles are some 25 MB.
 BLOCK_ROWS = 4096
+# Pivots at most: their vectors (1.5 MB) and radii go to every task.
+PIVOTS = 512
 # Rows of the product held at a time.
 SLICE_ROWS = 512
+# Angles are widened by this much, so that rounding loses no pair.
+SLACK = 1e-6
 
 
 def distinct_texts(reports: DataFrame, text: str = "report_text", key: str = "report_id", order: str = "pos") -> DataFrame:
@@ -35,22 +42,6 @@ def embedded(texts: DataFrame, embedding: Column | None = None) -> DataFrame:
     return texts.withColumn("vec", V.hash_embedding("text") if embedding is None else embedding)
 
 
-def _blocks(vectors: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    rows = vectors.count()
-    blocks = max(1, -(-rows // block_rows))
-    return vectors.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(blocks)).cast("int")), blocks
-
-
-def _paired(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """Every block beside every other one, once: rows tagged with the block pairs they take part in."""
-    tagged, blocks = _blocks(vectors, block_rows)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    return tagged.select("*", other).select(
-        "vid", "vec", "first", "block",
-        F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-    )
-
-
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
     m = np.array(pdf["vec"].tolist(), dtype=np.float64)
     if m.ndim != 2:
@@ -60,6 +51,59 @@ def _unit(pdf: pd.DataFrame) -> np.ndarray:
     return m / np.where(norms < V.TINY, 1.0, norms)
 
 
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _paired(vectors: DataFrame, threshold: float, block_rows: int, only: str | None = None) -> DataFrame:
+    """Rows beside all those they can be similar to: tagged with the group in which they meet them.
+
+    A row is ``home`` in the groups of its own block and a column (``beside``) in every group it may be similar to a member of;
+    for each home row the columns of its groups hold all that can reach the threshold, each once. ``only`` names a
+    boolean column: just those rows become columns. Blocks of more than ``block_rows`` rows are cut on both sides.
+    Zero vectors, which are similar to nothing, drop out. The pivots are the rows that come first by hash.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold above 0 is needed to leave pairs out")
+    real = vectors.filter(F.exists("vec", lambda x: x != 0))
+    n = real.count()
+    first = real.select("vec").orderBy(F.xxhash64("vid")).limit(min(PIVOTS, max(1, -(-n // block_rows))))
+    pivots = _unit(first.toPandas())
+    reach = float(np.arccos(min(1.0, threshold - 1e-4))) + SLACK  # thresholds are tested after rounding to four decimals
+    kept = [c for c in ("vid", "vec", "first", only) if c]
+    shape = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                angle = _angles(_unit(pdf), pivots)
+                yield pdf.assign(block=angle.argmin(axis=1).astype("int32"), angle=angle.min(axis=1))
+
+    placed = stored(real.select(*kept).mapInPandas(place, f"{shape}, block int, angle double"))
+    # A row per pivot.
+    sizes = {r["block"]: r for r in placed.groupBy("block").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    radius = np.array([sizes[b]["radius"] if b in sizes else -np.inf for b in range(len(pivots))])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                near = _angles(_unit(pdf), pivots) <= radius + reach + SLACK
+                yield pdf.assign(visited=[np.flatnonzero(row).astype("int32") for row in near])
+
+    met = placed.select(*kept, "block").mapInPandas(visit, f"{shape}, block int, visited array<int>")
+    parts = F.element_at(F.array(*[F.lit(-(-sizes[b]["n"] // block_rows) if b in sizes else 1) for b in range(len(pivots))]), F.col("at") + 1)
+    hashed = F.pmod(F.xxhash64("vid"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    homes = met.withColumn("at", F.col("block")).select(
+        *kept, "at", F.lit(True).alias("home"), hashed.alias("row_part"), F.explode(every).alias("column_part"))
+    columns = (met.filter(only) if only else met).select(*kept, F.explode("visited").alias("at")).select(
+        *kept, "at", F.lit(False).alias("home"), hashed.alias("column_part"), F.explode(every).alias("row_part"))
+    return homes.unionByName(columns)
+
+
+_GROUP = ("at", "row_part", "column_part")
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     for at in range(0, len(a), SLICE_ROWS):
         yield at, np.clip(a[at : at + SLICE_ROWS] @ b.T, -1.0, 1.0)
@@ -70,20 +114,19 @@ def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(np.abs(x) * scale + 0.5) * np.sign(x) / scale
 
 
-def nearest(vectors: DataFrame, k: int, threshold: float, block_rows: int = BLOCK_ROWS, with_self: bool = False) -> DataFrame:
+def nearest(
+    vectors: DataFrame, k: int, threshold: float, block_rows: int = BLOCK_ROWS, with_self: bool = False, only: str | None = None,
+) -> DataFrame:
     """Per vector (vid, vec, first) its k most similar ones: (vid, other, other_first, similarity).
 
-    Cosines are rounded to four decimals before the threshold; equal ones are ordered by ``first``.
+    Cosines are rounded to four decimals before the threshold; equal ones are ordered by ``first``. With ``only``, a
+    boolean column, just the rows where it is true count as neighbours.
     """
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-        a, b = pdf[pdf["block"] == left], pdf[pdf["block"] == right]
+        rows, cols = pdf[pdf["home"]], pdf[~pdf["home"]].sort_values("first", kind="stable")
         out = []
-        for rows, cols in ((a, b),) if left == right else ((a, b), (b, a)):
-            if rows.empty or cols.empty:
-                continue
-            cols = cols.sort_values("first", kind="stable")
+        if len(rows) and len(cols):
             ids, col_ids, firsts = rows["vid"].to_numpy(), cols["vid"].to_numpy(), cols["first"].to_numpy()
             for at, product in _products(_unit(rows), _unit(cols)):
                 sims = _half_up(product, 4)
@@ -99,7 +142,7 @@ def nearest(vectors: DataFrame, k: int, threshold: float, block_rows: int = BLOC
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
     vid = vectors.schema["vid"].dataType.simpleString()
-    found = _paired(vectors, block_rows).groupBy("left", "right").applyInPandas(
+    found = _paired(vectors, threshold, block_rows, only).groupBy(*_GROUP).applyInPandas(
         top, f"vid {vid}, other {vid}, other_first bigint, similarity double"
     )
     order = Win.partitionBy("vid").orderBy(F.desc("similarity"), "other_first")
@@ -154,41 +197,28 @@ def mean_similarity(neighbours: DataFrame, key: str = "report_id") -> DataFrame:
 
 def recurrence(
     reports: DataFrame, high_risk: DataFrame, text: str = "report_text", key: str = "report_id", order: str = "pos",
-    embedding: Column | None = None, high_limit: int = 50, salts: int = 16,
+    embedding: Column | None = None, least: float = 0.35, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Recurrence signal of each report against the leading high-risk reports, its own id left out.
+    """Recurrence signal of each report against all high-risk reports, its own id left out.
 
-    Those are at most ``high_limit`` rows; their vectors travel with the function.
+    ``high_risk`` names them by ``key`` and has their text. Below ``least`` the signal is 0 and so is the similarity shown. Works on
+    distinct texts: the best other high-risk text, and the text itself if another high-risk report has it.
     """
-    known = embedded(high_risk.limit(high_limit).select(F.col(key).alias("id"), F.col(text).alias("text")), embedding)
-    rows = known.select("id", "vec").collect()
-    ids = np.array([r["id"] for r in rows], dtype=object)
-    matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    if len(rows):
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norms < V.TINY, 1.0, norms)
-
-    @F.pandas_udf("array<struct<id:string,similarity:double>>")
-    def two_best(vecs: pd.Series) -> pd.Series:
-        out = []
-        for vec in vecs:
-            if not len(ids):
-                out.append([])
-                continue
-            v = np.asarray(vec, dtype=np.float64)
-            norm = np.linalg.norm(v)
-            sims = _half_up(np.clip(matrix @ (v / norm if norm >= V.TINY else v), -1.0, 1.0), 4)
-            out.append([{"id": ids[j], "similarity": float(sims[j])} for j in np.argsort(-sims, kind="stable")[:2]])
-        return pd.Series(out)
-
-    texts = embedded(distinct_texts(reports, text, key, order), embedding).select("vid", two_best("vec").alias("best"))
-    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = reports.withColumns(
-        {"vid": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")}
-    )
-    top = F.get(F.filter("best", lambda b: b["id"] != F.col(key)), F.lit(0))["similarity"]
-    joined = asked.join(salted, ["vid", "salt"]).withColumn("max_similarity", F.greatest(F.lit(0.0), F.coalesce(top, F.lit(0.0))))
-    return joined.withColumn("recurrence_signal", rescale(F.col("max_similarity"))).drop("vid", "salt", "best")
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("vid")
+    high = stored(high_risk.select(digest, F.col(key).alias("high_id")))
+    known = high.groupBy("vid").agg(F.count("*").alias("known"), F.min("high_id").alias("one"))
+    texts = embedded(distinct_texts(reports, text, key, order), embedding).join(known, "vid", "left")
+    # A zero vector is not even similar to its own copies.
+    flagged = stored(texts.select("vid", "vec", "first", "known", "one", F.col("known").isNotNull().alias("high"), F.exists("vec", lambda x: x != 0).alias("real")))
+    best = nearest(flagged.select("vid", "vec", "first", "high"), 1, least, block_rows, only="high")
+    signals = stored(flagged.filter("real").join(best.select("vid", "similarity"), "vid", "left").filter("similarity is not null or known is not null").select(
+        "vid", F.coalesce("similarity", F.lit(0.0)).alias("elsewhere"), F.coalesce("known", F.lit(0)).alias("known"), "one"))
+    asked = reports.withColumn("vid", digest)
+    # Another report with this text is high-risk: there are two, or the only one is another report.
+    again = (F.col("known") > 1) | ((F.col("known") == 1) & (F.col("one") != F.col(key)))
+    similarity = F.when(again, F.lit(1.0)).otherwise(F.coalesce("elsewhere", F.lit(0.0)))
+    joined = asked.join(signals, "vid", "left").withColumn("max_similarity", similarity)
+    return joined.withColumn("recurrence_signal", rescale(F.col("max_similarity"))).drop("vid", "elsewhere", "known", "one")
 
 
 def rescale(similarity: Column) -> Column:
@@ -203,29 +233,30 @@ def rescale(similarity: Column) -> Column:
 def edges(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges that connect exactly what the pairs with cosine >= threshold connect.
 
-    Each block pair returns a spanning forest of its own similar pairs: fewer edges than rows, however
+    Each group returns a spanning forest of its own similar pairs: fewer edges than rows, however
     many pairs there are. The union of the forests has the same components as all pairs together.
     """
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = int(pdf["left"].iloc[0]), int(pdf["right"].iloc[0])
-        a, b = pdf[pdf["block"] == left], pdf[pdf["block"] == right]
-        ids = np.concatenate([a["vid"].to_numpy(), b["vid"].to_numpy()])
-        shift = 0 if left == right else len(a)
+        a, b = pdf[pdf["home"]], pdf[~pdf["home"]]
+        # A row may stand on both sides: it is one vertex.
+        ids, vertex = np.unique(np.concatenate([a["vid"].to_numpy(), b["vid"].to_numpy()]), return_inverse=True)
+        row_vertex, column_vertex = vertex[: len(a)], vertex[len(a) :]
         group = np.arange(len(ids))
         kept = []
         if not a.empty and not b.empty:
             for at, product in _products(_unit(a), _unit(b)):
                 for i, row in enumerate(product):
-                    near = np.flatnonzero(row >= threshold) + shift
+                    near = column_vertex[row >= threshold]
+                    own = group[row_vertex[at + i]]
                     # One neighbour per group not yet joined; every such edge merges two groups.
                     groups, first = np.unique(group[near], return_index=True)
-                    other = groups != group[at + i]
+                    other = groups != own
                     if other.any():
-                        kept += [(ids[at + i], ids[j]) for j in near[first[other]]]
-                        joined = np.append(groups[other], group[at + i])
+                        kept += [(ids[row_vertex[at + i]], ids[j]) for j in near[first[other]]]
+                        joined = np.append(groups[other], own)
                         group[np.isin(group, joined)] = joined.min()
         return pd.DataFrame(kept, columns=["src", "dst"])
 
     vid = vectors.schema["vid"].dataType.simpleString()
-    return _paired(vectors, block_rows).groupBy("left", "right").applyInPandas(forest, f"src {vid}, dst {vid}")
+    return _paired(vectors, threshold, block_rows).groupBy(*_GROUP).applyInPandas(forest, f"src {vid}, dst {vid}")

@@ -114,3 +114,24 @@ def test_quality_checks(spark):
     assert sorted(r.id for r in Q.near_duplicates(rows, "text", "id").collect()) == ["c", "d"]
     assert [r.id for r in Q.duplicate_keys(rows, "id").collect()] == ["d"]
     assert Q.first_ids(rows.filter(F.length("text") < 20), "id").first().ids == ["a", "b"]
+
+
+def test_pivots_leave_out_pairs_but_no_neighbour(spark):
+    rng = random.Random(11)
+    words = [[f"w{g}x{i}" for i in range(6)] for g in range(12)]
+    texts = [" ".join(rng.choice(words[k % 12]) for _ in range(12)) for k in range(240)]
+    vectors = SIM.embedded(SIM.distinct_texts(reports(spark, *texts))).select("vid", "vec", "first")
+    n = vectors.count()
+    pairs = SIM._paired(vectors, 0.7, 20).filter(~F.col("home")).count()
+    assert pairs < n * 12 / 2  # each vector visits few of the twelve blocks
+    rows = {r.vid: r.vec for r in vectors.collect()}
+    got = {(r.vid, r.other) for r in SIM.nearest(vectors, 1000, 0.7, 20).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(rows[a], rows[b]))
+    assert got == {(a, b) for a in rows for b in rows if a != b and round(cosine(a, b) + 1e-12, 4) >= 0.7} and len(got) > 500
+
+
+def test_point_lookup_reaches_the_scans(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["report_by_id"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(o_orderkey,1234)") >= 2
