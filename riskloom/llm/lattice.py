@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
+from riskloom.functions.graph import components
 from riskloom.functions.lineage import stored
-from riskloom.llm.components import components
 
 THRESHOLD = 0.93
 #: Tables, lattice points a cell is made of, width of the projections, neighbouring cells that are probed.

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from riskloom.functions.graph import components
 from riskloom.functions.lineage import stored
 from riskloom.llm.batches import parts
-from riskloom.llm.components import components
 
 WORDS = 3
 SEED = 42

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from riskloom.llm.components import components
+from riskloom.functions.graph import components
 from riskloom.llm.simhash import fingerprint, links, near_copies
 from tests.llm.helpers import AWKWARD, reports, rows_of
 
