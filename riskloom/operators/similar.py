@@ -55,20 +55,30 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
+def _far_apart(unit: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` rows, each the one farthest from those before it."""
+    chosen = [0] if len(unit) else []
+    closest = unit @ unit[0] if len(unit) else np.empty(0)
+    while len(chosen) < min(wanted, len(unit)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
 def _paired(vectors: DataFrame, threshold: float, block_rows: int, only: str | None = None) -> DataFrame:
     """Rows beside all those they can be similar to: tagged with the group in which they meet them.
 
     A row is ``home`` in the groups of its own block and a column (``beside``) in every group it may be similar to a member of;
     for each home row the columns of its groups hold all that can reach the threshold, each once. ``only`` names a
     boolean column: just those rows become columns. Blocks of more than ``block_rows`` rows are cut on both sides.
-    Zero vectors, which are similar to nothing, drop out. The pivots are the rows that come first by hash.
+    Zero vectors, which are similar to nothing, drop out. The pivots are taken, far apart, from the rows that come first by hash.
     """
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed to leave pairs out")
     real = vectors.filter(F.exists("vec", lambda x: x != 0))
     n = real.count()
-    first = real.select("vec").orderBy(F.xxhash64("vid")).limit(min(PIVOTS, max(1, -(-n // block_rows))))
-    pivots = _unit(first.toPandas())
+    wanted = min(PIVOTS, max(1, -(-n // block_rows)))
+    pivots = _far_apart(_unit(real.select("vec").orderBy(F.xxhash64("vid")).limit(4 * wanted).toPandas()), wanted)
     reach = float(np.arccos(min(1.0, threshold - 1e-4))) + SLACK  # thresholds are tested after rounding to four decimals
     kept = [c for c in ("vid", "vec", "first", only) if c]
     shape = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
