@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Rows that are Python objects at a time.
 ROWS = 256
+#: Rows of whole texts that travel between Spark and Python at a time.
+BATCH = 1024
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -22,3 +24,10 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
 def own(column: pa.Array) -> pa.Array:
     """A copy. A column that came through a stream keeps the memory of its whole batch."""
     return column.take(pa.array(np.arange(len(column))))
+
+
+def light(spark) -> None:
+    """Fewer rows an Arrow batch for what follows in this session: whole texts make rows of some KB up to many MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))

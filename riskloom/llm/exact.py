@@ -14,7 +14,7 @@ from pyspark.sql.types import (
 )
 
 from riskloom.functions.lineage import stored
-from riskloom.llm.batches import own
+from riskloom.llm.batches import light, own
 
 # The characters that do not count when texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -101,6 +101,7 @@ def exact_copies(reports: DataFrame) -> DataFrame:
     A null text counts as empty. A null id sorts after all others. Rows repeated with one id and one text
     are copies of each other: one of them is kept. An empty table gives an empty result.
     """
+    light(reports.sparkSession)
     text = F.coalesce(F.col("report_text"), F.lit(""))
     kind = reports.schema["report_id"].dataType
     rows = reports.select("report_id", F.translate(text, IGNORED, "").alias("normal"), F.length(text).alias("size"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import (
 )
 
 from riskloom.functions.lineage import stored
-from riskloom.llm.batches import parts
+from riskloom.llm.batches import light, parts
 
 #: Labelled reports from which the text model is fitted, about: they are drawn by a hash of their id.
 SAMPLE = 8_000
@@ -140,6 +140,7 @@ def identify(reports: DataFrame, labelled: DataFrame, languages: Sequence[str],
     Rows repeated with one id are judged one by one; other columns are not looked at.
     """
     spark, count, key = reports.sparkSession, len(languages), reports.schema["report_id"]
+    light(spark)
     if not count:
         return reports.select(
             "report_id", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"),

@@ -15,7 +15,7 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-from riskloom.llm.batches import parts
+from riskloom.llm.batches import light, parts
 from riskloom.llm.signatures import CONFIDENCE, WORD, Rule, rules
 
 #: Phrases that always count, wherever their words stand one after the other, and their labels.
@@ -145,6 +145,7 @@ def scan_licences(reports: DataFrame, base: Mapping[str, str] = BASE) -> DataFra
     at least is right, were they independent. A null text counts as empty and has score 0. Rows are judged one
     by one, whatever their id; other columns are not looked at. An empty table gives an empty result.
     """
+    light(reports.sparkSession)
     shape = StructType([
         reports.schema["report_id"], StructField("n_words", LongType()), StructField("detections", ArrayType(_DETECTION)),
         StructField("score", DoubleType()),

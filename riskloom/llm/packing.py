@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from riskloom.llm.batches import own, parts
+from riskloom.llm.batches import light, own, parts
 
 LENGTH = 1024
 END = 2
 #: A packing group holds about so many reports and so many bytes of text: what one task packs.
-GROUP_ROWS, GROUP_BYTES = 16_384, 64 << 20
+GROUP_ROWS, GROUP_BYTES = 16_384, 48 << 20
 # Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -177,6 +177,7 @@ def pack_reports(
     sequence_id, offset (place in the sequence, gapless from 0). Rows repeated with one id are packed one by
     one. Null ids are packed like others. An empty table gives an empty result; other columns are not looked at.
     """
+    light(reports.sparkSession)
     bulk = reports.agg(F.count("*").alias("n"), F.sum(F.octet_length("report_text")).alias("size")).first()
     groups = max(1, -(-bulk.n // group_rows), -(-(bulk.size or 0) // group_bytes))
     coding, _ = encoder(tokenizer)

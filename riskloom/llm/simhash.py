@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.functions.graph import components
 from riskloom.functions.lineage import stored
-from riskloom.llm.batches import parts
+from riskloom.llm.batches import light, parts
 
 WORDS = 3
 SEED = 42
@@ -50,6 +50,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(reports: DataFrame) -> DataFrame:
     """report_id and fingerprint (a long that holds the 64 bits) of every report."""
+    light(reports.sparkSession)
     shape = StructType([reports.schema["report_id"], StructField("fingerprint", LongType())])
     return reports.select("report_id", "report_text").mapInArrow(_fingerprints, shape)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from riskloom.functions.lineage import stored
-from riskloom.llm.batches import ROWS, parts
+from riskloom.llm.batches import ROWS, light, parts
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
@@ -98,6 +98,7 @@ def write_archives(reports: DataFrame, folder: str, least: int = LEAST_REVISIT,
     response. ``folder`` must be reached by all executors through Arrow's file systems. An empty table writes
     no record.
     """
+    light(reports.sparkSession)
     text = F.coalesce(F.col("report_text"), F.lit(""))
     rows = reports.select("report_id", "source_file_path", text.alias("report_text")).withColumn("digest", F.sha1(F.encode("report_text", "UTF-8")))
     light = stored(rows.filter("report_id is not null").select("report_id", "digest", F.octet_length("report_text").alias("size")).filter(F.col("size") >= least))
