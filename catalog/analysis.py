@@ -132,12 +132,12 @@ def nlp_entities(spark, folder):
 
 
 @query("barrier_status", sql("""
-select distinct report_id, surface as text, normalized_value, status, s::int as start_char, e::int as end_char, confidence
+select report_id, surface as text, normalized_value, status, s::int as start_char, e::int as end_char, confidence
 from reports join nlp on t = report_text where kind = 'barrier'"""))
 def barrier_status(spark, folder):
     rows = X.entity_rows(_extracted(spark, folder), "pattern_entities").filter(F.col("entity_type") == "barrier")
     return rows.select("report_id", "text", "normalized_value", "status", F.col("start").alias("start_char"),
-                       F.col("end").alias("end_char"), "confidence").distinct()
+                       F.col("end").alias("end_char"), "confidence")
 
 
 _ENTITY_SQL = """
@@ -279,10 +279,10 @@ def decide_precomputed(spark, folder):
 
 
 @query("legacy_band", sql(f"""
-select report_id, legacy_score, len(string_split_regex(report_text, '\\s+')) as word_count,
+select report_id, legacy_score, len(regexp_extract_all(report_text, '\\S+')) as word_count,
   case when legacy_score >= 0.8::double then 'CRITICAL' when legacy_score >= 0.6::double then 'HIGH'
     when legacy_score >= 0.4::double then 'MEDIUM' else 'LOW' end as legacy_band,
-  case when n_rules = 0 then {say(W.LEGACY_NOTHING, words="len(string_split_regex(report_text, '\\s+'))::varchar")}
+  case when n_rules = 0 then {say(W.LEGACY_NOTHING, words="len(regexp_extract_all(report_text, '\\S+'))::varchar")}
     else {say(W.LEGACY_FIRED, count='n_rules::varchar', rules="array_to_string(rule_names, ', ')",
               categories="array_to_string(rule_categories, ', ')", label='label', score="printf('%.2f', legacy_score)")} end as legacy_explanation
 from (select *, case when severity >= 3 then greatest(base, 0.4::double) else base end as legacy_score,

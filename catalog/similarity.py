@@ -16,15 +16,16 @@ from riskloom.plans import corpus as C
 from riskloom.streaming import triage_stream as TS
 
 # Small blocks, so that small tables are many groups too.
-BLOCK = 64
+BLOCK = 256
 
 _HASH = {
-    "tokens": "select t, unnest(list_filter(string_split(replace(replace(lt, ',', ' '), '.', ' '), ' '), lambda x: x <> '')) as w from texts",
+    "tokens": r"select t, unnest(list_filter(string_split_regex(replace(replace(lt, ',', ' '), '.', ' '), '\s+'), lambda x: x <> '')) as w from texts",
     "hashed": "select t, ('0x' || substring(md5(w), 1, 8))::bigint as h from tokens",
     "buckets": "select t, (h + i * 97) % 384 as d, sum(((h >> (4 * i)) & 255) / 255.0::double - 0.5::double) as x from hashed, range(4) r(i) group by all",
     "units": "select t, d, x / sqrt(sum(x * x) over (partition by t)) as x from buckets",
     "dense": "select t, [coalesce(m[d][1], 0.0::double) for d in range(384)] as v from (select t, map_from_entries(list((d, x))) as m from units group by t)".replace("m[d][1]", "m[d]"),
-    "copies": "select report_text as t, min(pos) as first, count(*) as n from reports group by 1",
+    # Blank texts have no vector and are similar to nothing.
+    "copies": "select report_text as t, min(pos) as first, count(*) as n from reports where report_text in (select t from dense) group by 1",
 }
 
 
@@ -188,14 +189,14 @@ def _arriving_reports(spark, folder):
     """Reports, every seventh too short and every eleventh too long to be taken in."""
     text = (
         F.when(F.col("pos") % 7 == 0, F.substring("report_text", 1, 9))
-        .when(F.col("pos") % 11 == 0, F.repeat("report_text", 200)).otherwise(F.col("report_text"))
+        .when(F.col("pos") % 11 == 0, F.concat("report_text", F.lit("x" * 10_001))).otherwise(F.col("report_text"))
     )
     return C.reports(spark, folder).select(
         "report_id", text.alias("report_text"), F.lit(None).cast("string").alias("location"),
         F.lit(None).cast("double").alias("recurring_risk_signal"), F.col("created_at").cast("timestamp").alias("created_at"))
 
 
-@query("stream_triage", sql("select report_id, priority, priority_score, status0 as workflow_status from routed where pos % 7 <> 0 and pos % 11 <> 0"))
+@query("stream_triage", sql("select report_id, priority, priority_score, status0 as workflow_status from routed where pos % 7 <> 0 and pos % 11 <> 0 and length(report_text) >= 10"))
 def stream_triage(spark, folder):
     """Reports of every length arriving as files, triaged by a stream until none is left, and read back."""
     base = _streamed(spark, _arriving_reports(spark, folder))
@@ -203,8 +204,9 @@ def stream_triage(spark, folder):
 
 
 @query("stream_rejects", sql("""
-select report_id, case when pos % 7 = 0 then 9 else 200 * length(report_text) end::int as n_chars, 'report_text' as violations
-from reports where pos % 7 = 0 or pos % 11 = 0"""))
+select report_id, case when pos % 7 = 0 then least(9, length(report_text)) when pos % 11 = 0 then 10001 + length(report_text) else length(report_text) end::int as n_chars,
+  'report_text' as violations
+from reports where pos % 7 = 0 or pos % 11 = 0 or length(report_text) < 10"""))
 def stream_rejects(spark, folder):
     """The reports that the same stream does not take in, whole, with the limits they break."""
     base = _streamed(spark, _arriving_reports(spark, folder))
@@ -213,7 +215,7 @@ def stream_rejects(spark, folder):
 
 
 @query("stream_daily", sql("""
-select strftime(created_at, '%Y-%m-%d') as day, priority, count(*) as reports from routed where pos % 7 <> 0 and pos % 11 <> 0 group by all"""))
+select strftime(created_at, '%Y-%m-%d') as day, priority, count(*) as reports from routed where pos % 7 <> 0 and pos % 11 <> 0 and length(report_text) >= 10 group by all"""))
 def stream_daily(spark, folder):
     """Daily counts kept by a second stream that reads the decisions of the first."""
     base = _streamed(spark, _arriving_reports(spark, folder))

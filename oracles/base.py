@@ -13,7 +13,7 @@ from riskloom.packs import scoring as S
 from riskloom.packs import wording as W
 from riskloom.packs.gazetteer import DEFAULT_GAZETTEERS, IMPLIED_HAZARDS
 from riskloom.packs.rules import DEFAULT_RULES, SEVERITY_LABELS
-from riskloom.plans.corpus import PLACES, STATES, TASKS
+from riskloom.plans.corpus import BLANKS, PLACES, STATES, TASKS, VARIED, VARIED_AT, phrases
 
 
 def q(value) -> str:
@@ -62,9 +62,21 @@ def say(template: str, **names: str) -> str:
 
 CTE: dict[str, str] = {}
 
+
+def _varied() -> str:
+    """The varied texts, from the same lists of phrases and blanks."""
+    known = phrases()
+    j = f"(o_orderkey // {VARIED})"
+    items = "[" + ", ".join(q(p) for p in known) + "]"
+    text = f"'Crew noted ' || {items}[1 + {j} % {len(known)}] || ' and ' || {items}[1 + ({j} * 7 + 3) % {len(known)}] || '.'"
+    blanks = "[" + ", ".join("'" + b.replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") + "'" for b in BLANKS) + "]"
+    return (f"case when {j} % 50 = 9 then {blanks}[1 + {j} % {len(BLANKS)}] when {j} % 5 = 0 then upper({text}) "
+            f"when {j} % 7 = 1 then replace({text}, 'Crew ', 'Crew ' || chr(9) || ' ') else {text} end")
+
 CTE["reports"] = f"""
 select 'REP-' || o_orderkey::varchar as report_id, o_orderkey as pos,
-  ({part(TASKS)}) || ' ' || ({part(PLACES)}) || ' ' || ({part(STATES)}) || '.' as report_text,
+  case when o_orderkey % {VARIED} = {VARIED_AT} then {_varied()}
+    else ({part(TASKS)}) || ' ' || ({part(PLACES)}) || ' ' || ({part(STATES)}) || '.' end as report_text,
   'near_miss' as report_type, o_orderdate as created_at,
   case when o_orderkey % 5 = 0 then 'box-' || (o_orderkey % 100)::varchar || '.txt' end as source_file_name
 from orders"""
@@ -135,7 +147,8 @@ select t.t, coalesce(max(severity), 0) as severity, coalesce(count(rule_id), 0)
   string_agg(rule_id, '; ' order by place) as rule_ids,
   flatten(list(signal_list order by place) filter (rule_name is not null)) as signals,
   coalesce(string_agg(rule_name || ' (' || severity_label || '): triggered by "' || quoted || '"', ' | '
-    order by place), 'No SIF precursor signals detected by rule engine.') as evidence_summary
+    order by place), case when regexp_full_match(t.t, '\\s*') then 'Empty report text. No rules evaluated.'
+    else 'No SIF precursor signals detected by rule engine.' end) as evidence_summary
 from texts t left join fired f using (t) group by t.t"""
 
 CTE["alias_list"] = values(
@@ -323,7 +336,7 @@ from (select *, least(1, greatest(0, case when recurrence is null then {sum_of({
     from (select *, {probability} as raw, ({recurrence})::double as recurrence from ({source}))))"""
 
 
-FALLBACK = "case when severity > 0 then least(0.95::double, severity / 4.0::double * 0.8::double + 0.15::double) else 0.1::double end"
+FALLBACK = "case when regexp_full_match(t, '\\s*') then 0.0::double when severity > 0 then least(0.95::double, severity / 4.0::double * 0.8::double + 0.15::double) else 0.1::double end"
 CTE["scored"] = scored(
     "select * from context join rollup using (t)", FALLBACK, "null"
 )

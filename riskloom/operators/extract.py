@@ -162,12 +162,12 @@ def _state_regexes(pack: ExtractionPack) -> list[_StateRegex]:
     """Four look-ahead regexes that stand for every (state wording, barrier, order) pair.
 
     At each start the first state wording in pack order wins. A bare wording that begins longer
-    wordings ("without", "no") goes into a regex of its own, so that the short and the long reading
+    wordings ("without", "no", "signed") goes into a regex of its own, so that the short and the long reading
     of the same place are both seen. Look-ahead makes overlapping spans visible.
     """
     words, nouns = _state_vocabulary(pack)
     all_words = [w for _, w in words]
-    short = [w for w in all_words if " " not in w and any(o.startswith(w + " ") for o in all_words) and w != "signed"]
+    short = [w for w in all_words if " " not in w and any(o.startswith(w + " ") for o in all_words)]
     long_ = [w for w in all_words if w not in short]
     noun = tx.by_first_letter([n for _, n, _ in nouns], tx.words_regex)
     filler = rf"(?:(?:{'|'.join(P.PREFIX_FILLERS)}){tx._SPACE})?"
@@ -222,6 +222,13 @@ def _state_entities(reports: DataFrame, text: str, pack: ExtractionPack) -> tupl
             f"'word', {_plain('s.text', word_first if prefix else word_last)}, "
             f"'noun', {_plain('s.text', noun_last if prefix else noun_first)}))"
         )
+        if not prefix:
+            # A name within a longer one of the same barrier ("permit" in "work permit") is no match of its own.
+            same = f"{tx.sql_lookup('o.noun', barrier_place)} = {tx.sql_lookup('m.noun', barrier_place)}"
+            named = (
+                f"transform(array({named}), ms -> filter(ms, m -> not exists(ms, o -> o.s.end = m.s.end and o.s.start < m.s.start "
+                f"and o.word = m.word and {same})))[0]"
+            )
         state = tx.sql_lookup("m.word", status)
         confidence = (
             f"if({state} = 'Not Verified', {P.UNVERIFIED_PREFIX_CONFIDENCE}D, {P.PREFIX_CONFIDENCE}D)"

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from riskloom.functions import text as tx
+from riskloom.packs.gazetteer import DEFAULT_GAZETTEERS
+from riskloom.packs.patterns import BARRIER_NOUNS, STATUS_WORDS
+from riskloom.packs.rules import DEFAULT_RULES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +48,41 @@ STATES = (
 )
 
 
+def phrases() -> tuple[str, ...]:
+    """Every alias, every signal, every state word beside a barrier on either side, and what the other patterns look for."""
+    aliases = [a for g in DEFAULT_GAZETTEERS for t in g.terms for a in t.aliases]
+    signals = [s for r in DEFAULT_RULES for s in r.signals]
+    nouns = [noun for _, forms in BARRIER_NOUNS for noun in forms]
+    words = [w for _, group in STATUS_WORDS for w in group]
+    prefixed = [f"{w} {nouns[k % len(nouns)]}" for k, w in enumerate(words)]
+    postfixed = [f"{nouns[(k * 5 + 2) % len(nouns)]} was {w}" for k, w in enumerate(words)]
+    return (*aliases, *signals, *prefixed, *postfixed, *EXAMPLES)
+
+
+# One sentence part for each activity, equipment and location pattern.
+EXAMPLES = (
+    "maintenance commenced", "welding operation", "cutting activity", "a crane lift was in progress", "technician entered storage tank",
+    "found working at height", "pipeline inspection", "offloading of chemical drums", "operator observed using mobile phone while driving",
+    "toolbox meeting was conducted", "painter reported a smell", "H2S alarm was triggered and all were evacuated", "servicing the main pump",
+    "repairing mud separator", "a 12-metre scaffold", "inside the north tank farm", "near wellhead 7 flare stack", "into the old pipe yard",
+)
+# Every so many orders a report is made of two phrases instead of sentence parts.
+VARIED, VARIED_AT = 16, 3
+#: Reports without words.
+BLANKS = ("", "   ", " \t\n ")
+
+
+def varied_text(number: Column) -> Column:
+    """Two phrases, some in capitals or with other blanks between words; every fiftieth text is blank."""
+    known = phrases()
+    array = tx.text_array(known)
+    one = F.get(array, (number % len(known)).cast("int"))
+    other = F.get(array, ((number * 7 + 3) % len(known)).cast("int"))
+    text = F.concat(F.lit("Crew noted "), one, F.lit(" and "), other, F.lit("."))
+    shaped = F.when(number % 5 == 0, F.upper(text)).when(number % 7 == 1, F.replace(text, F.lit("Crew "), F.lit("Crew \t "))).otherwise(text)
+    return F.when(number % 50 == 9, F.get(tx.text_array(BLANKS), (number % len(BLANKS)).cast("int"))).otherwise(shaped)
+
+
 def _part(parts: tuple[str, ...]):
     key = F.col("o_orderkey")
     return F.get(F.array(*[F.lit(p) for p in parts]), (key % len(parts)).cast("int"))
@@ -58,7 +98,8 @@ def reports(spark: SparkSession, folder: str, report_id: str | None = None) -> D
     return dealt(orders).select(
         _report_id().alias("report_id"),
         F.col("o_orderkey").alias("pos"),
-        F.concat(F.concat_ws(" ", _part(TASKS), _part(PLACES), _part(STATES)), F.lit(".")).alias("report_text"),
+        F.when(F.col("o_orderkey") % VARIED == VARIED_AT, varied_text(F.floor(F.col("o_orderkey") / VARIED)))
+        .otherwise(F.concat(F.concat_ws(" ", _part(TASKS), _part(PLACES), _part(STATES)), F.lit("."))).alias("report_text"),
         F.lit("near_miss").alias("report_type"),
         F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("box-"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".txt"))).alias("source_file_name"),
