@@ -8,7 +8,7 @@ from catalog import query
 from catalog import shared as S
 from oracles.base import sql
 from riskloom.functions import text as tx
-from riskloom.functions.lineage import scratch
+from riskloom.functions.lineage import scratch, stored
 from riskloom.operators import evaluate as EV
 from riskloom.operators import learn as L
 from riskloom.operators import quality as Q
@@ -26,22 +26,39 @@ def scan_labelled(spark, folder):
     """Labelled reports written as CSV and read back by column name."""
     path = f"{scratch(spark)}/labelled"
     WR.write_csv(C.labelled(spark, folder), path)
-    rows = RD.read_labelled(spark, path)
+    rows = RD.read_labelled(spark, path, multi_line=True)
     return rows.select("report_id", F.md5(F.col("report_text").cast("binary")).alias("text_digest"), "sif_precursor", "hazard",
                        "location", "severity", "source")
 
 
-@query("scan_reports_capped", """
-select count(*)::bigint as rows, (count(*) < (select count(*) from documents)) as capped,
-  count(*) filter (trim(report_text) = '')::bigint as blank
-from (select text as report_text from documents where trim(text) <> '' limit 150)""")
+_BULK = """
+select case when doc_id % 4 = 0 then 'REP-' || upper(substring(md5(text), 1, 16)) else 'DOC-' || doc_id::varchar end as report_id,
+  md5(text) as text_digest, lang as location, source, case when doc_id % 3 = 0 then 'high' else 'low' end as severity_self_rated
+from documents where doc_id % 10 <> 0 and regexp_matches(text, '\\S')"""
+
+
+def _bulk_file(spark, folder):
+    """Documents as a CSV of bulk reports: every tenth without text, every fourth without an id."""
+    path = f"{scratch(spark)}/bulk"
+    WR.write_csv(C.table(spark, folder, "documents").select(
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("DOC-"), F.col("doc_id").cast("string"))).alias("report_id"),
+        F.when(F.col("doc_id") % 10 == 0, "  ").otherwise(F.col("text")).alias("report_text"), F.col("lang").alias("location"), "source",
+        F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity_self_rated")), path)
+    return path
+
+
+@query("scan_reports", _BULK)
+def scan_reports(spark, folder):
+    """Bulk scan of a CSV with place, source and self-rating: rows without text are left out, ids are made where there are none."""
+    rows = RD.read_reports(spark, _bulk_file(spark, folder), multi_line=True)
+    return rows.select("report_id", F.md5(F.col("report_text").cast("binary")).alias("text_digest"), "location", "source", "severity_self_rated")
+
+
+@query("scan_reports_capped", f"select report_id, text_digest from ({_BULK}) order by report_id, text_digest limit 150")
 def scan_reports_capped(spark, folder):
-    """Bulk scan with the row cap that is the feature here: rows with text, 150 of them."""
-    rows = RD.usable_reports(C.table(spark, folder, "documents").select(F.lit("").alias("report_id"), F.col("text").alias("report_text")), 150)
-    every = C.table(spark, folder, "documents").agg(F.count("*").alias("n"))
-    kept = rows.agg(F.count("*").alias("rows"), F.count_if(tx.is_blank(F.col("report_text"))).alias("blank"))
-    return kept.withColumn("k", F.lit(1)).join(every.withColumn("k", F.lit(1)), "k").select(
-        "rows", (F.col("rows") < F.col("n")).alias("capped"), "blank")
+    """The same scan with the row cap that is the feature here: the first 150 rows with text in order of their id."""
+    rows = RD.read_reports(spark, _bulk_file(spark, folder), multi_line=True).withColumn("text_digest", F.md5(F.col("report_text").cast("binary")))
+    return RD.first_reports(rows, 150, "text_digest").select("report_id", "text_digest")
 
 
 @query("import_tabular", """
@@ -302,7 +319,7 @@ _TFIDF = {
     "words": r"select report_id, regexp_extract_all(lower(report_text), '\w\w+') as w from reports",
     "grams": "select report_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as term from words",
     "tf": "select report_id, term, count(*)::double as n from grams group by 1, 2",
-    "vocab": "select term, ln((1 + (select count(*) from reports)::double) / (1 + count(*))) + 1 as idf, sum(n) as total from tf group by 1 order by total desc, term limit 5000",
+    "vocab": "select term, ln((1 + (select count(*) from reports)::double) / (1 + count(*))) + 1 as idf, sum(n) as total from tf group by 1 order by total desc, term",
     "raw": "select report_id, term, (1 + ln(n)) * idf as x from tf join vocab using (term)",
 }
 
@@ -317,12 +334,20 @@ def tfidf_weights(spark, folder):
 def _model(spark, folder):
     from riskloom.operators import rules as R
 
-    rows = R.match_rules(C.reports(spark, folder)).select(
-        "report_id", "report_text", (F.col("overall_severity") >= 3).cast("int").alias("label"))
+    # Reports of sentence parts: the flag hangs on a phrase of theirs, so a linear model can learn it without a fault.
+    plain = C.reports(spark, folder).filter(F.col("pos") % C.VARIED != C.VARIED_AT)
+    rows = stored(R.match_rules(plain).select(
+        "report_id", "report_text", (F.col("overall_severity") >= 3).cast("int").alias("label")))
     return L.train(rows, "report_text", "label", "report_id"), rows
 
 
-@query("train_lr")
+_FLAGGED = {"flagged": f"""
+select report_id, report_text, (severity >= 3)::int as label from reports join rollup on t = report_text where pos % {C.VARIED} <> {C.VARIED_AT}"""}
+
+
+@query("train_lr", sql("""
+select count(*) as n_samples, count(*) filter (label = 0) as tn, 0::bigint as fp, 0::bigint as fn, count(*) filter (label = 1) as tp,
+  1.0::double as precision, 1.0::double as recall, 1.0::double as f1_score, 1.0::double as f2_score from flagged""", _FLAGGED))
 def train_lr(spark, folder):
     """How well the fitted classifier repeats the rule flag it was trained on."""
     model, rows = _model(spark, folder)
@@ -330,10 +355,25 @@ def train_lr(spark, folder):
     return EV.metrics(scored, "label", "sif_prediction")
 
 
-@query("predict_lr")
+@query("predict_lr", sql("select report_id, report_text as text, label as sif_prediction from flagged", _FLAGGED))
 def predict_lr(spark, folder):
+    """Predictions with the whole text; their probabilities, which SQL cannot give, lie on the side of the prediction."""
+    model, rows = _model(spark, folder)
+    scored = L.predict(model, rows, "report_text", "report_id")
+    sound = (F.col("sif_probability") >= 0.5) == (F.col("sif_prediction") == 1)
+    return scored.filter(sound & (F.abs(F.col("sif_probability") + F.col("non_sif_probability") - 1) < 2e-4)).select("report_id", "text", "sif_prediction")
+
+
+@query("feature_signs", sql("""
+select term, case when max(label) = 1 then 'positive' else 'negative' end as side from tf join flagged using (report_id) group by 1 having min(label) = max(label)""",
+    _FLAGGED | _TFIDF | {"words": r"select report_id, regexp_extract_all(lower(report_text), '\w\w+') as w from flagged"}))
+def feature_signs(spark, folder):
+    """Terms that occur in one class only: at the optimum their coefficient has the sign of the class."""
     model, rows = _model(spark, folder)
-    return L.predict(model, rows, "report_text", "report_id")
+    classes = L.terms(rows, "report_text", "report_id").join(rows.select("report_id", "label"), "report_id").groupBy("term").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).filter("low = high")
+    return L.coefficients(model).join(classes, "term").select(
+        "term", F.when(F.col("coefficient") > 0, "positive").otherwise("negative").alias("side"))
 
 
 @query("top_features")

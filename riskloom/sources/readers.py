@@ -21,40 +21,42 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 UNNAMED = "unnamed_file"
 
 
-def _csv(spark: SparkSession):
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+def _csv(spark: SparkSession, multi_line: bool):
+    """A CSV with a header. Texts with line breaks need ``multi_line``, which makes each file one task."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+def read_labelled(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Labelled reports from CSV by column name; a required column that is missing is an error."""
-    present = _csv(spark).csv(path).columns
-    missing = sorted(set(COLUMNS) - set(present))
+    raw = _csv(spark, multi_line).csv(path)
+    missing = sorted(set(COLUMNS) - set(raw.columns))
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     types = {f.name: f.dataType for f in LABELLED}
-    raw = _csv(spark).csv(path)
     return raw.select(*[F.col(c).cast(types[c]).alias(c) for c in COLUMNS])
 
 
-def read_reports(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Bulk reports from CSV: rows without text are skipped; the cap, when asked for, counts kept rows."""
-    raw = _csv(spark).csv(path)
-    return usable_reports(raw, limit)
+def read_reports(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Bulk reports from CSV, with whatever other columns it has; rows without text are skipped."""
+    return usable_reports(_csv(spark, multi_line).csv(path))
 
 
-def usable_reports(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def first_reports(rows: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows by id and then by ``order``: the row cap of the bulk scan, always the same rows."""
+    return rows.orderBy("report_id", *order).limit(limit)
+
+
+def usable_reports(rows: DataFrame) -> DataFrame:
     """Rows with text; an id is made from the text where none is given."""
     kept = rows.filter(~tx.is_blank(F.col("report_text")))
     made = F.concat(F.lit("REP-"), F.upper(F.substring(F.md5(F.col("report_text").cast("binary")), 1, 16)))
     given = tx.non_empty(F.col("report_id")) if "report_id" in rows.columns else F.lit(None)
-    kept = kept.withColumn("report_id", F.coalesce(given, made))
-    return kept if limit is None else kept.limit(limit)
+    return kept.withColumn("report_id", F.coalesce(given, made))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Any CSV as records of text; null becomes empty text."""
-    raw = _csv(spark).csv(path)
-    return raw.na.fill("")
+    return _csv(spark, multi_line).csv(path).na.fill("")
 
 
 def extension(name: Column) -> Column:
