@@ -9,6 +9,7 @@ from catalog.shared import decided, joined
 from oracles.base import (
     CTE, FALLBACK, explained as explained_sql, pick, q, say, scored as scored_sql, sql, values,
 )
+from riskloom.functions.lineage import scratch
 from riskloom.operators import extract as X
 from riskloom.operators import explain as E
 from riskloom.operators import rules as R
@@ -57,6 +58,17 @@ def validate_rules(spark, folder):
     return R.rule_violations(pack)
 
 
+@query("rule_pack_file", sql("select report_id, rule_id, severity, signals from reports join fired on t = report_text"))
+def rule_pack_file(spark, folder):
+    """Matching with a pack written as a JSON file, read back and validated."""
+    path = f"{scratch(spark)}/pack"
+    pack = R.rule_table(spark).drop("pos")
+    pack.coalesce(1).agg(F.to_json(F.struct(F.collect_list(F.struct(*pack.columns)).alias("rules"))).alias("value")).write.text(path)
+    rules = R.rules_of(R.read_pack(spark, path))
+    rows = R.rule_rows(R.match_rules(C.reports(spark, folder), rules))
+    return rows.select("report_id", "rule_id", "severity", joined("signals").alias("signals"))
+
+
 @query("gazetteer_flat", sql("""
 select kind, canonical, category, alias, count(t) as texts from alias_list left join
   (select distinct kind, apos, alias, t from occurrences join alias_list using (kind, apos)) o using (kind, apos, alias)

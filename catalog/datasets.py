@@ -217,6 +217,14 @@ def stratified_split(spark, folder):
     return _split(spark, folder).select("doc_id", "quality", "split")
 
 
+@query("splits_written", sql("select split, count(*) as rows, sum(doc_id)::bigint as ids from parts group by 1", _SPLIT))
+def splits_written(spark, folder):
+    """The parts written to a folder each and read back."""
+    path = f"{scratch(spark)}/splits"
+    WR.write_splits(_split(spark, folder).select("doc_id", "split"), path)
+    return spark.read.schema("doc_id long, split string").parquet(path).groupBy("split").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
+
+
 @query("split_manifest", sql("""
 select split, facet, value, count(*) as rows, round(count(*) * 100.0::double / sum(count(*)) over (partition by facet), 2) as pct
 from facets group by split, facet, value""", _SPLIT | {"facets": """
@@ -249,6 +257,15 @@ def classifier_metrics(spark, folder):
     return EV.metrics(C.predictions(spark, folder), "y_true", "y_pred")
 
 
+@query("metrics_written", sql("""
+select tn::bigint as tn, fp::bigint as fp, fn::bigint as fn, tp::bigint as tp, round(p, 4) as precision, round(r, 4) as recall from rates""", _METRICS))
+def metrics_written(spark, folder):
+    """The metrics written as JSON and read back."""
+    path, rows = f"{scratch(spark)}/metrics", EV.metrics(C.predictions(spark, folder), "y_true", "y_pred")
+    WR.write_report(rows, path)
+    return spark.read.schema(rows.schema).json(path).select("tn", "fp", "fn", "tp", "precision", "recall")
+
+
 @query("roc_auc", sql("""
 select round(sum(rank) filter (y_true = 1) / (p * n) - (p + 1) / (2.0::double * n), 4) as roc_auc from (
   select y_true, rank() over (order by y_prob) + (count(*) over (partition by y_prob) - 1) / 2.0::double as rank,

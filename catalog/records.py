@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog import shared as S
 from oracles.base import FALLBACK, pick, q, say, scored as scored_sql, sql
+from riskloom.functions.lineage import scratch, stored
 from riskloom.operators import dashboard as D
 from riskloom.operators import persist as P
 from riskloom.operators import views as V
@@ -54,6 +55,15 @@ def alert_summary(spark, folder):
     return D.alert_totals(S.alerts(spark, folder))
 
 
+@query("alert_overview", sql("""
+select count(*) as total_alerts, count(*) filter (not acknowledged) as unacknowledged, count(*) filter (acknowledged) as acknowledged_alerts,
+  (select string_agg(alert_id, '; ' order by created_at desc, alert_id) from (select * from alerts where not acknowledged order by created_at desc, alert_id limit 5)) as latest
+from alerts"""))
+def alert_overview(spark, folder):
+    """Totals and the five newest open alerts; the alerts are written once."""
+    return D.alert_overview(stored(S.alerts(spark, folder))).withColumn("latest", S.joined("latest"))
+
+
 @query("alert_ack", sql("""
 select alert_id, acknowledged or a.at_step is not null as acknowledged, a.by_whom as acknowledged_by from alerts
 left join (select 'ALT-REP-' || user_id::varchar as alert_id, max(event_id) as at_step,
@@ -287,6 +297,48 @@ def bulk_outcome(spark, folder):
     return RD.bulk_outcome(RD.check_reports(_intake(spark, folder)))
 
 
+_CHECKED_REVIEWS = """
+select report_id, strftime(reviewed_at, '%Y-%m-%d') as day, array_to_string(list_filter([
+  case when reviewer_id = 'HSE-9' then 'reviewer_id' end, case when reviewer_id = 'HSE-7' then 'decision' end,
+  case when reviewer_id = 'HSE-5' then 'comments' end], lambda x: x is not null), '; ') as violations from reviews"""
+
+
+@query("check_reviews", sql(_CHECKED_REVIEWS))
+def check_reviews(spark, folder):
+    """Reviews of which one reviewer's have no name, one's an unknown decision, one's endless comments."""
+    who = F.col("reviewer_id")
+    rows = C.reviews(spark, folder).select(
+        "report_id", "reviewed_at", F.when(who == "HSE-7", "perhaps").otherwise(F.col("decision")).alias("decision"),
+        F.when(who == "HSE-5", F.repeat(F.lit("x"), 2001)).otherwise(F.col("comments")).alias("comments"),
+        F.when(who == "HSE-9", "x").otherwise(who).alias("reviewer_id"))
+    return RD.check_reviews(rows).select("report_id", F.date_format("reviewed_at", "yyyy-MM-dd").alias("day"), S.joined("violations").alias("violations"))
+
+
+@query("check_feedback", sql("""
+select feedback_id, case when feedback_type = 'false_positive' or coalesce(length(notes), 0) not between 2 and 2000 then 'notes' else '' end as violations from feedback"""))
+def check_feedback(spark, folder):
+    """Feedback with its notes; false positives come with a single letter."""
+    rows = C.feedback(spark, folder).withColumn("notes", F.when(F.col("feedback_type") == "false_positive", "x").otherwise(F.col("notes")))
+    return RD.check_feedback(rows).select("feedback_id", S.joined("violations").alias("violations"))
+
+
+_DOCS = "pos % 80 = 3"
+
+
+@query("import_extracted", sql(f"""
+select 'REP-' || pos::varchar || '.txt' as file, activity, hazard, barrier, barrier_status, null::varchar as error from decided where {_DOCS} and regexp_matches(report_text, '\\S')
+union all select 'REP-' || pos::varchar || '.txt', null, null, null, null, 'no text' from reports where {_DOCS} and not regexp_matches(report_text, '\\S')"""))
+def import_extracted(spark, folder):
+    """Reports as text files, read as documents: their extracted fields, and the files without text as rejects."""
+    path = f"{scratch(spark)}/files"
+    C.reports(spark, folder).filter(_DOCS).select("report_id", F.col("report_text").alias("value")).write.partitionBy("report_id").option("lineSep", "\n").text(path)
+    documents, rejects = RD.read_documents(spark, f"{path}/*/*.txt", name=F.concat(F.regexp_extract("path", "report_id=([^/]*)", 1), F.lit(".txt")))
+    fields = ("activity", "hazard", "barrier", "barrier_status")
+    good = triage(documents, explained=False).select(F.col("source_file_name").alias("file"), *fields, F.lit(None).cast("string").alias("error"))
+    bad = rejects.select(F.col("source_file_name").alias("file"), *[F.lit(None).cast("string").alias(f) for f in fields], "error")
+    return good.unionByName(bad)
+
+
 @query("location_resolved", sql("""
 select report_id, case when pos % 3 = 0 then 'Unit ' || (pos % 9)::varchar else coalesce(location, 'Unknown') end as location from decided"""))
 def location_resolved(spark, folder):

@@ -124,6 +124,19 @@ def cluster_medoid(spark, folder):
     return PT.cohesion(clustered).join(firsts, "cluster").select("cluster_first", "representative_text", "average_similarity")
 
 
+@query("cohort_patterns", sql("""
+select (select count(distinct root) from members) + (select count(*) from (select 1 from decided where barrier is not null
+  and barrier_status in ('Not Verified', 'Absent', 'Failed') group by barrier, barrier_status limit 4)) as recurring_patterns_count""", _CLUSTER, ("reach",)))
+def cohort_patterns(spark, folder):
+    """How many recurring patterns a load shows: groups of similar reports, and the leading barrier gaps."""
+    from riskloom.operators import dashboard as D
+
+    groups = PT.text_clusters(C.reports(spark, folder), block_rows=BLOCK).agg(F.countDistinct("cluster").alias("groups"))
+    gaps = D.barrier_gaps(S.summary(spark, folder), 4).agg(F.count("*").alias("gaps"))
+    both = groups.withColumn("one", F.lit(1)).join(gaps.withColumn("one", F.lit(1)), "one")
+    return both.select((F.col("groups") + F.col("gaps")).alias("recurring_patterns_count"))
+
+
 def _mode(column: str, default: str) -> str:
     return (f"coalesce((select {column} from members x where x.root = m.root and {column} is not null group by 1 "
             f"order by count(*) desc, min(pos) limit 1), {q(default)})")

@@ -280,6 +280,14 @@ def chart_series(spark, folder):
     return D.chart_series(S.summary(spark, folder))
 
 
+@query("chart_top", sql("""
+select * from (select 'hazards' as chart, ai_hazard as label, count(*) as count from summary where ai_hazard is not null group by 2 order by count(*) desc, min(seq) limit 6)
+union all select * from (select 'activities', ai_activity, count(*) from summary where ai_activity is not null group by 2 order by count(*) desc, min(seq) limit 6)
+union all select 'barrier_gaps', barrier || ' — ' || barrier_status, count from gaps where gap_rank <= 6""", _GAPS))
+def chart_top(spark, folder):
+    return D.top_series(S.summary(spark, folder))
+
+
 @query("cohort_summary", sql("""
 select count(*) as total_loaded, count(*) filter (priority = 'HIGH') as high_priority_count,
   count(*) filter (priority = 'MEDIUM') as medium_priority_count, count(*) filter (priority = 'LOW') as low_priority_count,
@@ -289,10 +297,12 @@ def cohort_summary(spark, folder):
 
 
 @query("cohort_status", sql("""
-select count(*) > 0 as is_loaded, count(*) as reports_count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last_loaded
+select count(*) > 0 as is_loaded, count(*) as reports_count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as last_loaded,
+  array_to_string(list_sort(list(distinct source_file_name) filter (source_file_name is not null)), '; ') as categories
 from reports where starts_with(report_id, 'REP-1')"""))
 def cohort_status(spark, folder):
-    return D.cohort_status(C.reports(spark, folder), "REP-1").withColumn("last_loaded", S.stamp("last_loaded"))
+    return D.cohort_status(C.reports(spark, folder), "REP-1", "source_file_name").withColumns(
+        {"last_loaded": S.stamp("last_loaded"), "categories": S.joined("categories")})
 
 
 _REGISTER_SQL = """

@@ -9,8 +9,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
-from riskloom.functions.lineage import checkpointed
+from riskloom.functions.lineage import checkpointed, stored
 from riskloom.functions.wording import fill
+from riskloom.operators.views import newest
 from riskloom.packs import wording as W
 from riskloom.packs.scoring import COMPROMISED
 
@@ -199,6 +200,24 @@ def alert_totals(alert_rows: DataFrame) -> DataFrame:
     )
 
 
+def alert_overview(alert_rows: DataFrame, shown: int = 5) -> DataFrame:
+    """The totals with the newest open alerts beside them (array ``latest``)."""
+    few = newest(alert_rows.filter(~F.col("acknowledged")), "alert_id", shown)
+    latest = few.agg(F.sort_array(F.collect_list(F.struct(-F.unix_micros(F.col("created_at").cast("timestamp")), "alert_id", "report_id"))).alias("l"))
+    both = alert_totals(alert_rows).withColumn("one", F.lit(1)).join(latest.withColumn("one", F.lit(1)), "one")
+    return both.select(*[c for c in both.columns if c not in ("one", "l")], F.transform("l", lambda a: a["alert_id"]).alias("latest"))
+
+
+def top_series(rows: DataFrame, limit: int = 6) -> DataFrame:
+    """Chart-ready rows (chart, label, count) of the leading hazards, activities and barrier gaps."""
+    rows = stored(rows.select("ai_hazard", "ai_activity", "ai_barrier", "barrier_status", "report_id", "created_at", "priority_score"))
+    hazards = top_values(rows, "ai_hazard", "label", limit).select(F.lit("hazards").alias("chart"), "label", "count")
+    activities = top_values(rows, "ai_activity", "label", limit).select(F.lit("activities").alias("chart"), "label", "count")
+    gaps = barrier_gaps(rows, limit).select(
+        F.lit("barrier_gaps").alias("chart"), fill(W.CLUSTER_NAME, barrier=F.col("barrier"), status=F.col("barrier_status")).alias("label"), "count")
+    return hazards.unionByName(activities).unionByName(gaps)
+
+
 def daily_trend(rows: DataFrame, at: str = "created_at", on: str = "final_priority") -> DataFrame:
     """Reports per day and priority, from the data itself."""
     return (
@@ -233,8 +252,8 @@ def cohort_summary(decided: DataFrame) -> DataFrame:
     )
 
 
-def cohort_status(reports: DataFrame, prefix: str) -> DataFrame:
-    """Whether any report of a cohort is loaded, and how many."""
+def cohort_status(reports: DataFrame, prefix: str, category: str = "report_type") -> DataFrame:
+    """Whether any report of a cohort is loaded, how many, and their categories in order (a column of few values)."""
     mine = reports.filter(F.col("report_id").startswith(prefix))
     return mine.agg((F.count("*") > 0).alias("is_loaded"), F.count("*").alias("reports_count"),
-                    F.max("created_at").alias("last_loaded"))
+                    F.max("created_at").alias("last_loaded"), F.sort_array(F.collect_set(category)).alias("categories"))

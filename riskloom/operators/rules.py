@@ -138,6 +138,24 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def read_pack(spark: SparkSession, path: str) -> DataFrame:
+    """A rule table from a JSON file {"rules": [...]}, in the order of the file; absent fields are null."""
+    fields = ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in RULE_SCHEMA.split(", ")[1:])
+    raw = spark.read.schema(f"rules array<struct<{fields}>>").option("multiLine", True).json(path)
+    return raw.select(F.posexplode("rules").alias("pos", "r")).select("pos", "r.*")
+
+
+def rules_of(table: DataFrame) -> list[Rule]:
+    """The rules of a table without violations, ready for matching; a pack is small."""
+    broken = rule_violations(table).limit(20).collect()
+    if broken:
+        raise ValueError("; ".join(f"rule {r['id'] or r['pos']}: {r['violation']}" for r in broken))
+    return [
+        Rule(r["id"], r["name"], r["category"], r["severity"], tuple(r["signals"]), r["explanation"], tuple(r["conditions"] or ()), r["reference"] or "")
+        for r in table.orderBy("pos").collect()
+    ]
+
+
 def rule_violations(rules: DataFrame) -> DataFrame:
     """Rows of a rule table that break a pack requirement, with the requirement each breaks."""
     absent = [

@@ -81,22 +81,22 @@ def clean_name(name: Column) -> Column:
     return F.when(kept == "", UNNAMED).otherwise(kept)
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Plain-text files: (documents, rejects). Files that are too large or hold no text are rejects.
+def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, name: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Plain-text files: (documents, rejects). Files of more than ``max_bytes`` or without text are rejects.
 
-    The size test is pushed to the file listing, so the bytes of a rejected file are never read.
+    The size test is pushed to the file listing, so the bytes of a rejected file are never read. ``name`` makes
+    the name out of ``path``; by default it is the last part of it.
     """
     files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= MAX_FILE_BYTES)
+    named = clean_name(F.col("path") if name is None else name).alias("source_file_name")
+    small = files.filter(F.col("length") <= max_bytes)
     texts = small.select(
-        clean_name(F.col("path")).alias("source_file_name"),
+        named,
         # Bytes that are no UTF-8 become replacement characters.
         tx.strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("report_text"),
     )
     empty = texts.filter(F.col("report_text") == "").select("source_file_name", F.lit("no text").alias("error"))
-    large = files.filter(F.col("length") > MAX_FILE_BYTES).select(
-        clean_name(F.col("path")).alias("source_file_name"), F.lit("too large").alias("error")
-    )
+    large = files.filter(F.col("length") > max_bytes).select(named, F.lit("too large").alias("error"))
     return texts.filter(F.col("report_text") != ""), large.unionByName(empty)
 
 
