@@ -177,6 +177,27 @@ def dq_overall(spark, folder):
     return Q.overall(Q.verdicts(files, "report_text", "report_id", ["report_id", "report_text", "hazard", "severity"]))
 
 
+_GOOD = "hazard is not null and length(report_text) >= 20 and severity is not null"
+
+
+_FILES = {
+    "good_ids": f"select min(report_id) as report_id from labelled where {_GOOD} group by {_NORM.replace('text', 'report_text')}",
+    "files": "select 'all.csv' as file, * from labelled union all select 'good.csv', * from labelled where report_id in (select report_id from good_ids)",
+}
+
+
+@query("dq_verdicts", sql(f"""
+select file, count(*) as rows, count(*) filter (length(report_text) < 20)::bigint as short, count(*) filter (hazard is null)::bigint as missing,
+  bool_and(length(report_text) >= 20 and hazard is not null) and count(*) = count(distinct {_NORM.replace('text', 'report_text')}) as passed
+from files group by 1""", _FILES))
+def dq_verdicts(spark, folder):
+    """Two files, one with faults and one made of its sound rows without copies."""
+    rows = C.labelled(spark, folder)
+    good = SP.keep_first(rows.filter(_GOOD), "report_text", "report_id")
+    verdicts = Q.verdicts({"all.csv": rows, "good.csv": good}, "report_text", "report_id", ["report_id", "report_text", "hazard", "severity"])
+    return verdicts.select("file", "rows", "short", "missing", "passed")
+
+
 # ------------------------------------------------------------------ splits
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from riskloom.functions.lineage import stored
+
 METRICS = ("precision", "recall", "f1_score", "f2_score")
 
 
@@ -42,15 +44,20 @@ def metrics(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
-def roc_auc(rows: DataFrame, truth: str, probability: str, ranges: int = 1024) -> DataFrame:
+def roc_auc(rows: DataFrame, truth: str, probability: str, ranges: int = 256) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null when only one class occurs.
 
-    Equal scores are merged first. Negatives below a score are those in lower score ranges (a table of
-    ``ranges`` rows) plus those below it inside its own range, so no task orders all scores.
+    Equal scores are merged first. Negatives below a score are those in lower ranges (a table of at most
+    ``ranges`` rows) plus those below it inside its own range, so no task orders all scores. The ranges are cut at
+    quantiles of the scores, so that they hold about as many each, however the scores crowd.
     """
-    scores = rows.groupBy(F.col(probability).alias("score")).agg(
+    scores = stored(rows.groupBy(F.col(probability).alias("score")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg")
-    ).withColumn("range", F.floor(F.col("score") * ranges))
+    ))
+    # A few hundred numbers, whatever the number of scores.
+    cuts = scores.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] or []
+    below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col("score"))
+    scores = scores.withColumn("range", F.size(below))
     totals = scores.groupBy("range").agg(F.sum("neg").alias("range_neg"))
     before = Win.partitionBy().orderBy("range").rowsBetween(Win.unboundedPreceding, -1)
     offsets = totals.select("range", F.coalesce(F.sum("range_neg").over(before), F.lit(0)).alias("lower"))
