@@ -10,6 +10,7 @@ from oracles.base import (
     CTE, FALLBACK, explained as explained_sql, pick, q, say, scored as scored_sql, sql, values,
 )
 from riskloom.functions.lineage import scratch
+from riskloom.functions import text as tx
 from riskloom.operators import extract as X
 from riskloom.operators import explain as E
 from riskloom.operators import rules as R
@@ -372,14 +373,19 @@ _bad = "[" + ", ".join(
 ) + f", case when n_rules = 0 and contains(said, {q(W.RULE_CLAIM)}) then {q(f'no rule: {W.RULE_CLAIM}')} end]"
 
 
+_CLAIMS = [p.capitalize() for phrases in W.CONTRADICTIONS.values() for p in phrases] + ["Nothing else was seen"]
+_CLAIMS_SQL = "[" + ", ".join(q(c) for c in _CLAIMS) + "]"
+
+
 @query("explanation_violations", sql(f"""
 select report_id, violation from (select report_id, list_filter({_bad}, lambda x: x is not null) as v
-  from (select *, lower(array_to_string(list_concat(why, [report_text]), ' ')) as said from told)), unnest(v) as u(violation)""", _explained))
+  from (select *, lower(array_to_string(list_concat(why, [{_CLAIMS_SQL}[1 + pos % {len(_CLAIMS)}]]), ' ')) as said from told)), unnest(v) as u(violation)""", _explained))
 def explanation_violations(spark, folder):
-    """Explanations with the report's own words added as a reason, so that contradictions can occur."""
+    """Explanations with one more reason, which contradicts some of them."""
     rows = decided(spark, folder, explained=True, recurrence=_recurrence())
+    claim = F.get(tx.text_array(_CLAIMS), (F.col("pos") % len(_CLAIMS)).cast("int"))
     changed = rows.withColumn(
         "structured_explanation",
-        F.col("structured_explanation").withField("why", F.concat("structured_explanation.why", F.array("report_text"))),
+        F.col("structured_explanation").withField("why", F.concat("structured_explanation.why", F.array(claim))),
     )
     return E.violations(changed)
