@@ -28,9 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables in the shared folder."""
-    return f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}"
+    """A new folder for intermediate tables in the shared folder; :func:`release` deletes it."""
+    _made.append(f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far; frames that still read them must not be used any more."""
+    deleted, hadoop = 0, spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

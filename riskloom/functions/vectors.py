@@ -1,14 +1,10 @@
-"""Vector helpers: hashed text embedding and cosine."""
+"""Vector helpers: hashed text embedding, unit vectors and cosine, all inside the JVM."""
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+
+from riskloom.functions import text as tx
 
 # Dimensions, buckets per word, bucket stride, and norms that count as zero.
 DIMENSIONS = 384
@@ -18,43 +14,56 @@ TINY = 1e-9
 TINY_TEXT = 1e-7
 
 
-@lru_cache(maxsize=100_000)
-def _word(word: str) -> tuple[tuple[int, float], ...]:
-    """Buckets of a word and what it adds to each, from the first 32 bits of its MD5."""
-    h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
-    return tuple(((h + i * STRIDE) % DIMENSIONS, ((h >> (4 * i)) & 0xFF) / 255.0 - 0.5) for i in range(BUCKETS))
-
-
-def _embed(text: str | None) -> np.ndarray:
-    vector = np.zeros(DIMENSIONS)
-    words = (text or "").lower().replace(",", " ").replace(".", " ").split()
-    if not (text or "").strip():
-        return vector
-    for word in words:
-        for bucket, value in _word(word):
-            vector[bucket] += value
-    norm = np.linalg.norm(vector)
-    if norm > TINY_TEXT:
-        return vector / norm
-    vector = np.zeros(DIMENSIONS)
-    vector[0] = 1.0
-    return vector
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
-    """Unit vector of a text from its words' digests; all zeros for blank text. Arrow batches, never rows."""
-    return pd.Series([_embed(t) for t in texts])
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def unit(vectors: pd.Series) -> pd.Series:
-    """Vectors scaled to length one; zero vectors stay as they are."""
-    if vectors.empty:
-        return vectors
-    m = np.array(vectors.tolist(), dtype=np.float64)
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return pd.Series(list(m / np.where(norms < TINY, 1.0, norms)))
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once and its expression not copied."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _zeros(n: Column) -> Column:
+    return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+
+def _norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def hash_embedding(text: Column | str) -> Column:
+    """Unit vector of a text from its words' digests; all zeros for blank text.
+
+    The first 32 bits of a word's MD5 give its buckets and what it adds to each. Entries are sorted by bucket
+    (those of one bucket stay in the order of the words) and added up from the left into a dense array.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[,.]", " "), f"[{tx.WHITESPACE}]+"), lambda w: w != "")
+
+    def entries(word: Column, place: Column) -> Column:
+        return _once(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint"), lambda h: F.array(*[
+            F.struct(((h + i * STRIDE) % DIMENSIONS).cast("int").alias("d"), place.alias("w"), F.lit(i).alias("i"),
+                     (F.shiftright(h, 4 * i).bitwiseAND(F.lit(255)) / 255.0 - 0.5).alias("x"))
+            for i in range(BUCKETS)
+        ]))
+
+    state = F.struct(_zeros(F.lit(0)).alias("out"), F.lit(-1).alias("d"), F.lit(0.0).alias("x"))
+
+    def add(acc: Column, e: Column) -> Column:
+        closed = F.when(acc["d"] < 0, _zeros(e["d"])).otherwise(F.concat(acc["out"], F.array(acc["x"]), _zeros(e["d"] - acc["d"] - 1)))
+        return F.when(e["d"] == acc["d"], F.struct(acc["out"].alias("out"), acc["d"].alias("d"), (acc["x"] + e["x"]).alias("x"))).otherwise(
+            F.struct(closed.alias("out"), e["d"].alias("d"), e["x"].alias("x")))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["out"], F.array(acc["x"]), _zeros(F.lit(DIMENSIONS - 1) - acc["d"]))
+
+    sums = F.aggregate(F.array_sort(F.flatten(F.transform(words, entries))), state, add, finish)
+    first = F.concat(F.array(F.lit(1.0)), _zeros(F.lit(DIMENSIONS - 1)))
+    scaled = _once(sums, lambda v: _once(_norm(v), lambda n: F.when(n > TINY_TEXT, F.transform(v, lambda x: x / n)).otherwise(first)))
+    # A text of nothing but commas and full stops has no word.
+    return F.when(tx.is_blank(text), _zeros(F.lit(DIMENSIONS))).when(F.size(words) == 0, first).otherwise(scaled)
+
+
+def unit(vector: Column | str) -> Column:
+    """A vector scaled to length one; a zero vector stays as it is."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    return _once(vector, lambda v: _once(_norm(v), lambda n: F.when(n < TINY, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -75,11 +75,11 @@ def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)
 
 
-def _text_keys(rows: DataFrame, text: str, key: str) -> DataFrame:
+def _text_keys(rows: DataFrame, text: str, key: str, prefix: int = PREFIX) -> DataFrame:
     norm = tx.normal_form(F.coalesce(text, F.lit("")))
     # 128-bit digests travel instead of the texts.
     return rows.select(
-        key, F.md5(norm.cast("binary")).alias("__whole"), F.md5(F.substring(norm, 1, PREFIX).cast("binary")).alias("__head")
+        key, F.md5(norm.cast("binary")).alias("__whole"), F.md5(F.substring(norm, 1, prefix).cast("binary")).alias("__head")
     )
 
 
@@ -94,9 +94,12 @@ def exact_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
     return keys.join(_repeated(keys, "__whole"), "__whole", "left_semi").select(key)
 
 
-def near_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows that share the first 80 normalised characters with another row but are no exact duplicate."""
-    keys = _text_keys(rows, text, key)
+def near_duplicates(rows: DataFrame, text: str, key: str, prefix: int = PREFIX) -> DataFrame:
+    """Rows that share their first ``prefix`` normalised characters with another row but are no exact duplicate.
+
+    Texts that differ anywhere but mean the same are grouped by ``patterns.text_clusters`` with a high threshold.
+    """
+    keys = _text_keys(rows, text, key, prefix)
     return (
         keys.join(_repeated(keys, "__head"), "__head", "left_semi")
         .join(_repeated(keys, "__whole"), "__whole", "left_anti")

@@ -168,7 +168,7 @@ def similar_reports(
     Works on distinct texts. The k+1 best reports of a text are among the first k+1 reports of its k+1
     best texts; leaving out the report itself costs at most one of them. So copies cost nothing extra.
     """
-    texts = embedded(distinct_texts(reports, text, key, order), embedding)
+    texts = stored(embedded(distinct_texts(reports, text, key, order), embedding))
     best = nearest(texts.select("vid", "vec", "first"), k + 1, threshold, block_rows, with_self=True)
     slim = reports.select(
         F.col(key).alias("id"), F.col(order).alias("at"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("vid")

@@ -69,18 +69,18 @@ def _apportion(rows: DataFrame, size: str, drawn: str, part: float) -> DataFrame
 
 def stratified_split(
     rows: DataFrame, label: str, key: str, train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42,
-    buckets: int = 64,
+    buckets: int = 64, min_class: int = MIN_CLASS,
 ) -> DataFrame:
     """Add ``split``: per class, the first rows by seeded digest are test, the next validation, the rest train.
 
-    The same rows get the same parts on every run and cluster. A class with fewer than three rows makes
-    the split ignore classes.
+    The same rows get the same parts on every run and cluster. A class with fewer than ``min_class``
+    rows makes the split ignore classes (0: never); the classes of the manifest show it.
     """
     if abs(train + val + test - 1.0) > 1e-6 or min(train, val, test) <= 0:
         raise ValueError("the three shares must be positive and sum to 1")
     counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("n"))
     # From here to the cuts there is one row per class.
-    mixed = F.min("n").over(Win.partitionBy()) < MIN_CLASS
+    mixed = F.min("n").over(Win.partitionBy()) < min_class
     named = counts.withColumn("__class", F.when(mixed, "all").otherwise(F.col("__label").cast("string")))
     cuts = named.groupBy("__class").agg(F.sum("n").alias("__rows"))
     cuts = _apportion(cuts, "__rows", "__n_test", test).withColumn("__rest", F.col("__rows") - F.col("__n_test"))

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -130,6 +131,15 @@ def test_pivots_leave_out_pairs_but_no_neighbour(spark):
     assert got == {(a, b) for a in rows for b in rows if a != b and round(cosine(a, b) + 1e-12, 4) >= 0.9} and len(got) > 100
 
 
+def test_released_tables_are_gone(spark):
+    from riskloom.functions import lineage
+
+    kept, lineage._made[:] = list(lineage._made), []
+    path = lineage.stored(spark.range(3)).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and lineage.release(spark) == 1 and not os.path.exists(path)
+    lineage._made[:] = kept
+
+
 def test_point_lookup_reaches_the_scans(spark):
     import __spark_entry__ as entry
 
