@@ -101,7 +101,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_vectors(table(spark, folder, "embeddings").withColumnRenamed("vec_id", "report_id"))
     return found.select(
-        F.col("report_id").alias("vec_id"), "n_links", "component_id", (F.col("report_id") == F.col("component_id")).alias("kept"))
+        F.col("report_id").alias("vec_id"), "n_links", "component_id", F.col("report_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
