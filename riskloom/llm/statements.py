@@ -46,4 +46,34 @@ STATEMENTS = {
                CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM rated
     """,
+    "op6_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), usable AS (
+            SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.n, a.vec_id, b.n AS m, b.vec_id AS other FROM usable a JOIN usable b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT n, vec_id AS root FROM v UNION SELECT l.m, r.root FROM reach r JOIN links l ON l.n = r.n
+        ), least AS (
+            SELECT n, min(root) AS component_id FROM reach GROUP BY n
+        ), counted AS (
+            SELECT n, count(*) AS n_links FROM links GROUP BY n
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN least USING (n) LEFT JOIN counted USING (n)
+    """,
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
+        FROM g
+    """,
 }

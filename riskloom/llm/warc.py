@@ -101,10 +101,10 @@ def write_archives(reports: DataFrame, folder: str, least: int = LEAST_REVISIT,
     light(reports.sparkSession)
     text = F.coalesce(F.col("report_text"), F.lit(""))
     rows = reports.select("report_id", "source_file_path", text.alias("report_text")).withColumn("digest", F.sha1(F.encode("report_text", "UTF-8")))
-    light = stored(rows.filter("report_id is not null").select("report_id", "digest", F.octet_length("report_text").alias("size")).filter(F.col("size") >= least))
-    groups = light.groupBy("digest", "size").agg(F.max("report_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    heads = stored(rows.filter("report_id is not null").select("report_id", "digest", F.octet_length("report_text").alias("size")).filter(F.col("size") >= least))
+    groups = heads.groupBy("digest", "size").agg(F.max("report_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     revisits = stored(
-        light.join(groups, ["digest", "size"]).filter("report_id <> refers_to").select("report_id", "digest", "refers_to").distinct())
+        heads.join(groups, ["digest", "size"]).filter("report_id <> refers_to").select("report_id", "digest", "refers_to").distinct())
     revisits = F.broadcast(revisits) if revisits.count() <= FEW else revisits
     system, root = _opened(folder)
     system.create_dir(root, recursive=True)
