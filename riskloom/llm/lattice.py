@@ -17,7 +17,7 @@ THRESHOLD = 0.93
 #: Tables, lattice points a cell is made of, width of the projections, neighbouring cells that are probed.
 TABLES, LATTICES, WIDTH, PROBES = 8, 3, 0.4, 6
 #: Members of a bucket or component that one task compares with each other; larger ones are cut into blocks.
-BLOCK = 2048
+BLOCK = 512
 SEED = 2024
 
 
