@@ -48,7 +48,7 @@ _CAPITAL = r"\p{Lu}[\p{L}\p{M}'’-]+"
 #: Kinds in the order in which they are looked for, and their patterns; what one finds is not searched by the next.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{6,200}(?=[\"'])",
+    "secret": r"(?i:(?:token|secret|password|passwd|api[_-]?key)\s{0,2}[:=]\s{0,2}[\"'])[^\"'\s]{6,}+(?=[\"'])",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -60,7 +60,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 #: A quick look at what every entity needs, so that most texts are left alone by the patterns.
-HINT = r"@|\d{3}|\d\.\d|[\"']|" + rf"{_EDGE}(?:{_TITLED}|{_NAMED}) \p{{Lu}}"
+HINT = r"@|\d{3}|\d\.\d|[\"']|\+\d|[A-Z]{2}\d{2} ?[A-Z0-9]|AKIA|ASIA|gh[pousr]_|sk-[A-Za-z0-9]|" + rf"{_EDGE}(?:{_TITLED}|{_NAMED}) \p{{Lu}}"
 _PATTERN = "|".join(f"(?<{kind}>{pattern})" for kind, pattern in PATTERNS.items())
 # Marks around an entity and between its kinds; a text that holds them has them escaped meanwhile.
 _OPEN, _CLOSE, _NEXT, _ESCAPE = "\ue000", "\ue001", "\ue002", "\ue003"
