@@ -34,7 +34,8 @@ def _prepared() -> tuple[ahocorasick.Automaton, list[tuple[Rule, re.Pattern[byte
     # Keywords are looked up in a text whose separators are single blanks.
     by_keyword: dict[str, list[int]] = {}
     for k, (rule, _) in enumerate(known):
-        by_keyword.setdefault(_spaced(rule.keyword), []).append(k)
+        for keyword in rule.keyword.split("|"):
+            by_keyword.setdefault(_spaced(keyword), []).append(k)
     automaton = ahocorasick.Automaton()
     for keyword, numbers in by_keyword.items():
         automaton.add_word(keyword, tuple(numbers))

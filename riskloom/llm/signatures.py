@@ -1,7 +1,8 @@
 """Signature rules for licence notices: hand-written patterns with a keyword, a label and a priority.
 
 Patterns are read over words: a blank stands for whatever separates two words, and words are runs of letters and
-digits. ``{v}`` is an optional version. A rule runs only on texts that hold its keyword, a plain lower-case string.
+digits. ``{v}`` is an optional version. A rule runs only on texts that hold one of its keywords, plain lower-case
+strings with ``|`` between them; each alternative of its pattern must hold one of them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ class Rule:
     priority: int
 
     def compiled(self) -> re.Pattern[bytes]:
-        body = self.pattern.replace("{v}", _VERSION).replace(" ", _GAP)
+        body = self.pattern.replace("{v}", _VERSION).replace(" ?", f"(?:{_GAP})?").replace(" ", _GAP)
         edge = WORD.decode("latin-1")
-        return re.compile(f"(?<![{edge}])(?:{body})(?![{edge}])".encode("latin-1"))
+        return re.compile(f"(?<![{edge}])(?:{body})(?![{edge}])".encode("latin-1"), re.DOTALL)
 
 
 # Label; keyword; names by which texts call the licence; addresses where it is published.
 FAMILIES = (
-    ("apache-2.0", "apache", ("apache (?:software )?licen[cs]e{v}", "asl 2 0", "apache 2 0?", "apache2"), ("apache org licenses license 2 0",)),
+    ("apache-2.0", "apache|asl 2", ("apache (?:software )?licen[cs]e{v}", "asl 2 0", "apache 2 0?", "apache2"), ("apache org licenses license 2 0",)),
     ("mit", "mit licen", ("(?:the )?mit licen[cs]e",), ("opensource org licenses mit(?: license(?: php)?)?",)),
     ("mit", "expat", ("(?:mit )?expat licen[cs]e",), ()),
     ("mit", "mit x11", ("mit x11 licen[cs]e",), ()),
@@ -54,7 +55,7 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", ("(?:new|modified|revised) bsd licen[cs]e", "bsd 3 clause(?: licen[cs]e)?", "(?:3|three) clause bsd(?: licen[cs]e)?"), ("opensource org licenses bsd 3 clause",)),
     ("bsd-4-clause", "bsd", ("(?:original|old) bsd licen[cs]e", "bsd 4 clause(?: licen[cs]e)?", "(?:4|four) clause bsd(?: licen[cs]e)?"), ("spdx org licenses bsd 4 clause",)),
     ("bsd", "bsd", ("bsd(?: style)? licen[cs]e",), ("opensource org licenses bsd license",)),
-    ("0bsd", "0bsd", ("0bsd(?: licen[cs]e)?", "zero clause bsd(?: licen[cs]e)?"), ("opensource org licenses 0bsd",)),
+    ("0bsd", "0bsd|zero clause bsd", ("0bsd(?: licen[cs]e)?", "zero clause bsd(?: licen[cs]e)?"), ("opensource org licenses 0bsd",)),
     ("mpl-1.1", "mozilla", ("mozilla public licen[cs]e (?:version |v)?1 [01]",), ("mozilla org mpl mpl 1 1",)),
     ("mpl-2.0", "mozilla", ("mozilla public licen[cs]e(?: (?:version |v)?2(?: 0)?)?",), ("mozilla org (?:en us )?mpl 2 0",)),
     ("mpl-2.0", "mpl", ("mpl ?v?2(?: 0)?",), ("mozilla org mpl 2 0",)),
@@ -69,7 +70,7 @@ FAMILIES = (
     ("eupl-1.2", "eupl", ("eupl{v}",), ("eupl eu 1 2",)),
     ("cecill", "cecill", ("cecill(?: [abc])?(?: licen[cs]e)?{v}",), ("cecill info licences",)),
     ("artistic-2.0", "artistic", ("(?:perl )?artistic licen[cs]e{v}",), ("opensource org licenses artistic licen[cs]e 2 0",)),
-    ("isc", "isc", ("isc licen[cs]e", "internet systems consortium licen[cs]e"), ("opensource org licenses isc",)),
+    ("isc", "isc|internet systems consortium", ("isc licen[cs]e", "internet systems consortium licen[cs]e"), ("opensource org licenses isc",)),
     ("zlib", "zlib", ("zlib(?: libpng)? licen[cs]e",), ("opensource org licenses zlib",)),
     ("libpng", "libpng", ("libpng licen[cs]e{v}",), ("libpng org pub png src libpng license",)),
     ("bsl-1.0", "boost", ("boost software licen[cs]e{v}",), ("boost org license 1 0",)),
@@ -100,14 +101,14 @@ FAMILIES = (
     ("cc-by-nd", "creative commons", ("creative commons attribution no ?deriv(?:ative|ative work)?s?{v}",), ()),
     ("cc-by-4.0", "creative commons", ("creative commons attribution(?: [1-4] [05])?(?: international)?(?: licen[cs]e)?",), ()),
     ("cc", "creative commons", ("creative commons licen[cs]e", "creative commons"), ("creativecommons org",)),
-    ("python-2.0", "python software", ("python software foundation licen[cs]e{v}", "psf licen[cs]e{v}"), ("docs python org license",)),
+    ("python-2.0", "python software|psf licen", ("python software foundation licen[cs]e{v}", "psf licen[cs]e{v}"), ("docs python org license",)),
     ("php-3.01", "php licen", ("php licen[cs]e{v}",), ("php net license",)),
     ("postgresql", "postgresql", ("postgresql licen[cs]e",), ("opensource org licenses postgresql",)),
     ("openssl", "openssl", ("openssl licen[cs]e",), ("openssl org source license",)),
     ("w3c", "w3c", ("w3c software(?: notice)?(?: and)? licen[cs]e",), ("w3 org consortium legal copyright software",)),
     ("x11", "x11", ("x11 licen[cs]e",), ("xfree86 org licen[cs]e",)),
-    ("ms-pl", "microsoft public", ("microsoft public licen[cs]e", "ms pl"), ("opensource org licenses ms pl",)),
-    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal licen[cs]e", "ms rl"), ("opensource org licenses ms rl",)),
+    ("ms-pl", "microsoft public|ms pl", ("microsoft public licen[cs]e", "ms pl"), ("opensource org licenses ms pl",)),
+    ("ms-rl", "microsoft reciprocal|ms rl", ("microsoft reciprocal licen[cs]e", "ms rl"), ("opensource org licenses ms rl",)),
     ("upl-1.0", "universal permissive", ("universal permissive licen[cs]e{v}",), ("opensource org licenses upl",)),
     ("ecl-2.0", "educational community", ("educational community licen[cs]e{v}",), ("opensource org licenses ecl 2 0",)),
     ("mulanpsl-2.0", "mulan", ("mulan (?:psl|permissive software licen[cs]e){v}",), ("license coscl org cn mulanpsl2",)),
@@ -135,7 +136,7 @@ BODIES = (
     ("gpl", "useful", "distributed in the hope that it will be useful but without any warranty"),
     ("gpl", "warranty of", "implied warranty of merchantability or fitness for a particular purpose"),
     ("lgpl", "this library", "this library is free software you can redistribute it and or modify"),
-    ("agpl-3.0", "over a network", "users interacting with it remotely through a computer network|used over a network"),
+    ("agpl-3.0", "over a network|through a computer network", "users interacting with it remotely through a computer network|used over a network"),
     ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public licen[cs]e"),
     ("epl-2.0", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse"),
     ("zlib", "as-is", "provided as is without any express or implied warranty in no event will the authors"),
@@ -143,7 +144,7 @@ BODIES = (
     ("bsl-1.0", "machine-executable", "machine executable object code generated by a source language processor"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("wtfpl", "what the", "do what the fuck you want to(?: public licen[cs]e)?"),
-    ("cc0-1.0", "dedicate", "waived? all copyright and related|dedicated? (?:this|the) work to the public domain"),
+    ("cc0-1.0", "dedicate|all copyright and related", "waived? all copyright and related|dedicated? (?:this|the) work to the public domain"),
     ("ofl-1.1", "reserved font", "with reserved font names?"),
     ("cddl", "covered software", "covered software means (?:a )?the original software"),
     ("gfdl", "invariant sections", "with no invariant sections"),
@@ -172,9 +173,9 @@ NOTICES = (
     ("proprietary", "end user licen", "end user licen[cs]e agreement"),
     ("proprietary", "eula", "eula"),
     ("proprietary", "internal use", "for internal use only"),
-    ("proprietary", "not distribute", "do not (?:copy or )?distribute"),
+    ("proprietary", "not distribute|or distribute", "do not (?:copy or )?distribute"),
     ("proprietary", "redistribut", "redistribution (?:is )?(?:strictly )?prohibited|may not be redistributed"),
-    ("proprietary", "reproduced", "(?:may|must) not be (?:copied|reproduced)"),
+    ("proprietary", "not be reproduced|not be copied", "(?:may|must) not be (?:copied|reproduced)"),
     ("proprietary", "reproduction", "(?:unauthori[sz]ed )?reproduction (?:is )?(?:strictly )?(?:prohibited|forbidden)"),
     ("proprietary", "permission", "without (?:the )?(?:prior )?(?:express )?written permission"),
     ("proprietary", "vertraulich", "streng vertraulich"),
@@ -194,7 +195,7 @@ NOTICES = (
     ("open-source", "osi", "osi approved"),
     ("no-derivatives", "derivative", "no derivative works?"),
     ("attribution", "attribution", "attribution (?:is )?required"),
-    ("opt-out", "machine learning", "may not be used (?:for|to) (?:train|training|machine learning)"),
+    ("opt-out", "may not be used", "may not be used (?:for|to) (?:train|training|machine learning)"),
     ("opt-out", "text and data mining", "text and data mining (?:is )?(?:reserved|prohibited)"),
     ("opt-out", "training", "no (?:ai )?training"),
     ("trademark", "trademark", "registered trademarks? of"),
