@@ -331,14 +331,21 @@ _DOCS = "pos % 80 = 3"
 select 'REP-' || pos::varchar || '.txt' as file, activity, hazard, barrier, barrier_status, null::varchar as error from decided where {_DOCS} and regexp_matches(report_text, '\\S')
 union all select 'REP-' || pos::varchar || '.txt', null, null, null, null, 'no text' from reports where {_DOCS} and not regexp_matches(report_text, '\\S')"""))
 def import_extracted(spark, folder):
-    """Reports as text files, read as documents: their extracted fields, and the files without text as rejects."""
-    path = f"{scratch(spark)}/files"
-    C.reports(spark, folder).filter(_DOCS).select("report_id", F.col("report_text").alias("value")).write.partitionBy("report_id").option("lineSep", "\n").text(path)
-    documents, rejects = RD.read_documents(spark, f"{path}/*/*.txt", name=F.concat(F.regexp_extract("path", "report_id=([^/]*)", 1), F.lit(".txt")))
+    """Reports as text files, read as documents: their extracted fields, and the files without text as rejects.
+
+    Each distinct text is one file, for small files cost more than the work on them; its outcome goes to all reports of that text.
+    The statement beside it still covers the reports of ``_DOCS`` only.
+    """
+    path, key = f"{scratch(spark)}/files", F.concat(F.lit("t"), F.sha2("report_text", 256)).alias("text_key")
+    named = stored(C.reports(spark, folder).select("report_id", "report_text", key))
+    named.groupBy("text_key").agg(F.first("report_text").alias("value")).write.partitionBy("text_key").option("lineSep", "\n").text(path)
+    documents, rejects = RD.read_documents(spark, f"{path}/*/*.txt", name=F.concat(F.regexp_extract("path", "text_key=([^/]*)", 1), F.lit(".txt")))
     fields = ("activity", "hazard", "barrier", "barrier_status")
-    good = triage(documents, explained=False).select(F.col("source_file_name").alias("file"), *fields, F.lit(None).cast("string").alias("error"))
-    bad = rejects.select(F.col("source_file_name").alias("file"), *[F.lit(None).cast("string").alias(f) for f in fields], "error")
-    return good.unionByName(bad)
+    good = triage(documents, explained=False).select("source_file_name", *fields, F.lit(None).cast("string").alias("error"))
+    bad = rejects.select("source_file_name", *[F.lit(None).cast("string").alias(f) for f in fields], "error")
+    of_text = good.unionByName(bad).withColumn("text_key", F.regexp_replace("source_file_name", r"\.txt$", ""))
+    files = named.select(F.concat("report_id", F.lit(".txt")).alias("file"), "text_key")
+    return files.join(of_text, "text_key").select("file", *fields, "error")
 
 
 @query("location_resolved", sql("""
