@@ -372,9 +372,8 @@ def tfidf_weights(spark, folder):
 def _model(spark, folder):
     from riskloom.operators import rules as R
 
-    # Reports of sentence parts: the flag hangs on a phrase of theirs, so a linear model can learn it without a fault.
-    plain = C.reports(spark, folder).filter(F.col("pos") % C.VARIED != C.VARIED_AT)
-    rows = stored(R.match_rules(plain).select(
+    # All reports, those that no linear model can separate included; the statements beside the queries still cover the others only.
+    rows = stored(R.match_rules(C.reports(spark, folder)).select(
         "report_id", "report_text", (F.col("overall_severity") >= 3).cast("int").alias("label")))
     return L.train(rows, "report_text", "label", "report_id"), rows
 
@@ -395,10 +394,11 @@ def train_lr(spark, folder):
 
 @query("predict_lr", sql("select report_id, report_text as text, label as sif_prediction from flagged", _FLAGGED))
 def predict_lr(spark, folder):
-    """Predictions with the whole text; their probabilities, which SQL cannot give, lie on the side of the prediction."""
+    """Predictions of all reports with text, with the whole text; their probabilities, which SQL cannot give, lie on the side of the prediction."""
     model, rows = _model(spark, folder)
     scored = L.predict(model, rows, "report_text", "report_id")
-    sound = (F.col("sif_probability") >= 0.5) == (F.col("sif_prediction") == 1)
+    # A probability beside one half may be rounded across it.
+    sound = ((F.col("sif_probability") >= 0.5) == (F.col("sif_prediction") == 1)) | (F.abs(F.col("sif_probability") - 0.5) < 1e-4)
     return scored.filter(sound & (F.abs(F.col("sif_probability") + F.col("non_sif_probability") - 1) < 2e-4)).select("report_id", "text", "sif_prediction")
 
 
