@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.lineage import scratch
+from riskloom.llm.bpe import decode_reports, encode_reports
 from riskloom.llm.exact import exact_copies
 from riskloom.llm.language import identify
 from riskloom.llm.lattice import near_vectors
 from riskloom.llm.licences import scan_licences
+from riskloom.llm.manifest import merkle_manifest
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import pack_reports
+from riskloom.llm.phrases import mine_phrases
 from riskloom.llm.shards import shard_reports
 from riskloom.llm.simhash import near_copies
 from riskloom.llm.statements import STATEMENTS
@@ -24,6 +27,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 #: The key of a run's surrogates; whoever has it can tell which value gave which, so real runs bring their own.
 KEY = "riskloom"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -136,10 +140,38 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as reports of a type for each language. Some are found with their capitals gone."""
+    reports = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("report_id"), "source", F.col("lang").alias("report_type"), "n_chars", F.col("text").alias("report_text"))
+    small = F.translate("report_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.crc32(F.col("report_id").cast("string").cast("binary")) % 3 == 0
+    found = {"report_text": F.when(touched, small).otherwise(F.col("report_text"))}
+    made = merkle_manifest(reports, ("report_id", "source", "report_type", "n_chars", "report_text"), found=found)
+    return made.select(
+        F.col("report_id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts to tokens and back; the tokens travel on beside the texts that come of them."""
+    encoded = encode_reports(reports_of(spark, folder), RANKS)
+    kept = encoded.select(F.struct("report_id", "n_tokens", F.sha2("token_bytes", 256).alias("ids_sha256")).alias("report_id"), "token_bytes")
+    return decode_reports(kept, RANKS).select(
+        F.col("report_id.report_id").alias("doc_id"), "report_id.n_tokens", "report_id.ids_sha256", F.sha2("text_bytes", 256).alias("decoded_sha256"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of each language, which is the type of report here."""
+    reports = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("report_id"), F.col("lang").alias("report_type"), F.col("text").alias("report_text"))
+    return mine_phrases(reports).withColumnRenamed("report_type", "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_exact_dedup, op3_licences, op4_simhash, op5_sharding, op6_embedding_dedup, op7_language, op8_surrogates,
-        op9_mixing, op10_warc,
+        op9_mixing, op10_warc, op11_manifest, op12_bpe, op13_phrases,
     )
 }
 __all__ = ["QUERIES", "STATEMENTS"]

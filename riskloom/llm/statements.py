@@ -76,4 +76,89 @@ STATEMENTS = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
         FROM g
     """,
+    "op11_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('+' || lang, '') AS tree, source, lang, n_chars, text,
+                   CASE WHEN xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda x, k: xor(x >> 1, (x & 1) * 3988292384)))) % 3 = 0
+                   THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown
+            FROM documents
+        ), leaves AS (
+            SELECT doc_id, tree, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(shown)::VARCHAR || ':' || shown, '-')) AS found
+            FROM (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source)::VARCHAR || ':' || source, '-'),
+                coalesce(strlen(lang)::VARCHAR || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-')) AS head FROM d)
+        ), seated AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS seat, count(*) OVER (PARTITION BY tree) AS size FROM leaves
+        ), nodes AS (
+            SELECT tree, 0 AS level, seat AS pos, leaf AS digest, size FROM seated
+            UNION ALL
+            SELECT tree, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (size + 7) // 8 FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 8, size
+        ), tops AS (
+            SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS seat, count(*) OVER () AS size FROM nodes WHERE size = 1
+        ), crown AS (
+            SELECT 0 AS level, seat AS pos, subroot AS digest, size FROM tops
+            UNION ALL
+            SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (size + 7) // 8 FROM crown WHERE size > 1 GROUP BY level, pos // 8, size
+        ), beside AS (
+            SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS behind
+            FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.size > 1 GROUP BY 1, 2, 3
+        ), above AS (
+            SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS behind
+            FROM crown a JOIN crown b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.size > 1 GROUP BY 1, 2
+        ), steps AS (
+            SELECT s.tree, s.seat, b.level, b.before, b.behind FROM seated s JOIN beside b ON s.tree = b.tree AND b.pos = s.seat // CAST(8 ** b.level AS BIGINT)
+            UNION ALL
+            SELECT s.tree, s.seat, 100 + a.level, a.before, a.behind FROM seated s JOIN tops t USING (tree) JOIN above a ON a.pos = t.seat // CAST(8 ** a.level AS BIGINT)
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY tree, seat ORDER BY level) AS step FROM steps
+        ), folding AS (
+            SELECT tree, seat, 0::BIGINT AS step, found AS node FROM seated
+            UNION ALL
+            SELECT f.tree, f.seat, n.step, sha256(n.before || f.node || n.behind) FROM folding f JOIN numbered n ON n.tree = f.tree AND n.seat = f.seat AND n.step = f.step + 1
+        ), folded AS (
+            SELECT tree, seat, arg_max(node, step) AS folded_root FROM folding GROUP BY 1, 2
+        ), proofs AS (
+            SELECT tree, seat, string_agg(before || behind, '' ORDER BY step) AS proof FROM numbered GROUP BY 1, 2
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM seated JOIN tops USING (tree) JOIN folded ON folded.tree = seated.tree AND folded.seat = seated.seat
+            LEFT JOIN proofs ON proofs.tree = seated.tree AND proofs.seat = seated.seat, (SELECT digest AS root FROM crown WHERE size = 1)
+    """,
+    "op13_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), worded AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, unnest(w) AS phrase, 1 AS words FROM worded
+            UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), 2 FROM worded
+            UNION ALL SELECT lang, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]), 3 FROM worded
+        ), f AS (
+            SELECT lang, phrase, words, count(*) AS a FROM grams GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(a)::BIGINT AS n FROM f WHERE words = 1 GROUP BY 1
+        ), c AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10
+        ), inner_ones AS (
+            SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE words = 3
+        ), gone AS (
+            SELECT c.lang, c.phrase FROM c JOIN (SELECT lang, phrase, max(a) AS longer FROM inner_ones GROUP BY 1, 2) USING (lang, phrase) WHERE 100 * longer >= 50 * a
+        ), cuts AS (
+            SELECT lang, phrase, a, 1 AS k, w[1] AS one, array_to_string(w[2:], ' ') AS other FROM c
+            UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE words = 3
+        ), scored AS (
+            SELECT cuts.*, x.a AS l, y.a AS r, (1000000::HUGEINT * cuts.a * cuts.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.one JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.other
+        ), lowest AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM lowest JOIN totals USING (lang) ANTI JOIN gone USING (lang, phrase) WHERE nth = 1 QUALIFY rank <= 2000
+    """,
 }
