@@ -20,11 +20,10 @@ WORDS, LEAST, FIRST = 3, 10, 2000
 ABSORBED = 50
 #: Kind of reports that have none.
 UNKNOWN = "und"
-#: Moduli and bases of the prefix polynomials: the first two make the address, the others the check.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
-BASES = (911382323, 972663749, 1203891397, 1700452811)
+#: Bases of the two prefix polynomials, modulo 2**64 and modulo a prime: an odd number, and any. A width in bits that addresses are cut to.
+ODD_BASE, BASE, PRIME, WIDTH = 0xD1342543DE82EF95, 911382323, 2147483647, 64
 #: Bytes of text that are numbers at a time.
-SLICE = 1 << 21
+SLICE = 900_000
 #: Bits of the table that tells which shorter phrases may be frequent: 4 MB whatever the data. A full table only prunes less.
 TABLE = 25
 #: A pointer is 33 bits of a report's digest and the number of a word in it.
@@ -92,47 +91,45 @@ class Words:
             at = to
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=8)
 def _powers(base: int, prime: int, size: int) -> np.ndarray:
-    """The powers of ``base`` from 0 to ``size`` - 1, doubled up."""
+    """The powers of ``base`` from 0 to ``size`` - 1, doubled up; modulo 2**64 where ``prime`` is 0."""
     out = np.ones(1, np.uint64)
     while len(out) < size:
-        step = np.uint64(pow(base, len(out), prime))
-        out = np.concatenate([out, out * step % np.uint64(prime)])
+        step = np.uint64(pow(base, len(out), prime or 1 << 64))
+        out = np.concatenate([out, out * step % np.uint64(prime) if prime else out * step])
     return out[:size]
 
 
-def _room(size: int) -> int:
-    """Lengths of power tables: powers of two, so that few are made."""
-    return 1 << max(int(size).bit_length(), 12)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The same number for the same number, with all bits spread over all."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 class Prints:
     """Prefix polynomials of a run of bytes; any span's fingerprints follow from two of their values."""
 
-    def __init__(self, line: np.ndarray, primes: tuple[int, ...] = PRIMES):
-        self.primes, self.sums = primes, []
-        for base, prime in zip(BASES, primes):
-            # A byte times a power has 39 bits, so that 2**24 of them add up below 2**63; longer runs are reduced on the way.
-            terms = line.astype(np.uint64) * _powers(base % prime, prime, _room(len(line)))[: len(line)]
-            if len(line) > 1 << 24:
-                terms %= np.uint64(prime)
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)]))
+    def __init__(self, line: np.ndarray, width: int = WIDTH):
+        # Tables have a power of two of entries, so that few are made.
+        self.room, self.width = 1 << max(int(len(line)).bit_length(), 12), width
+        wide, none = line.astype(np.uint64), np.zeros(1, np.uint64)
+        self.wrapped = np.concatenate([none, np.cumsum(wide * _powers(ODD_BASE, 0, self.room)[: len(line)])])
+        # A byte times a power has 39 bits, so that 2**24 of them add up below 2**63; longer runs are reduced on the way.
+        terms = wide * _powers(BASE, PRIME, self.room)[: len(line)]
+        self.modular = np.concatenate([none, np.cumsum(terms if len(line) <= 1 << 24 else terms % np.uint64(PRIME))])
 
-    def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Address and check of the bytes from ``start`` to ``end``, under the salt of the kind of report."""
-        out = []
-        for base, prime, sums in zip(BASES, self.primes, self.sums):
-            p = np.uint64(prime)
-            back = _powers(pow(base % prime, -1, prime), prime, _room(len(sums)))
-            h = (sums[end] - sums[start]) % p * back[start] % p
-            # The length tells spans apart that differ by zero bytes only.
-            out.append((h + (end - start).astype(np.uint64) + salt % p) % p)
-        return _pair(out[0], out[1]), _pair(out[2], out[3])
+    def address(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The address of the bytes from ``start`` to ``end``, under the salt of the kind of report."""
+        back = _powers(pow(ODD_BASE, -1, 1 << 64), 0, self.room)
+        found = _mixed((self.wrapped[end] - self.wrapped[start]) * back[start] + salt)
+        return found if self.width == 64 else found & ((1 << self.width) - 1)
 
-
-def _pair(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return ((one << np.uint64(31)) | other).astype(np.int64)
+    def mark(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """A check that is independent of the address. Its length tells spans apart that differ by zero bytes at the end only."""
+        back, p = _powers(pow(BASE, -1, PRIME), PRIME, self.room), np.uint64(PRIME)
+        h = ((self.modular[end] - self.modular[start]) % p * back[start] + (salt >> np.uint64(8))) % p
+        return ((h << np.uint64(20)) ^ (end - start).astype(np.uint64)).astype(np.int64)
 
 
 def _salts(kinds: pa.Array) -> np.ndarray:
@@ -147,7 +144,7 @@ def _places(address):
     return address.bitwiseAND((1 << TABLE) - 1) if isinstance(address, Column) else address & ((1 << TABLE) - 1)
 
 
-def _counts(n: int, table: bytes | None, primes: tuple[int, ...]):
+def _counts(n: int, table: bytes | None, width: int):
     """Counts of the phrases of ``n`` words in each slice whose two parts of ``n`` - 1 words may both be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,22 +172,20 @@ def _counts(n: int, table: bytes | None, primes: tuple[int, ...]):
                 start = start[whole]
                 if not len(start):
                     continue
-                prints, length = Prints(line, primes), words.length[low : low + len(place)]
-                salt = salts[words.row[low + start]]
+                prints, end = Prints(line, width), place + words.length[low : low + len(place)]
                 if n > 1:
-                    kept = np.ones(len(start), bool)
-                    for k in (0, 1):
-                        first = start + k
-                        last = first + n - 2
-                        kept &= maybe(prints.of(place[first], place[last] + length[last], salt)[0])
-                    start, salt = start[kept], salt[kept]
-                last = start + n - 1
-                address, mark = prints.of(place[start], place[last] + length[last], salt)
-                pointer = base[words.row[low + start]] + words.at[low + start]
-                order = np.lexsort((mark, address))
-                new = np.flatnonzero(np.r_[True, (np.diff(address[order]) != 0) | (np.diff(mark[order]) != 0)][: len(order)])
+                    # A part that goes over the end of a piece is in no phrase; its bit is not looked at.
+                    parts_ = np.arange(len(place) - n + 2)
+                    likely = maybe(prints.address(place[parts_], end[parts_ + n - 2], salts[words.row[low + parts_]]))
+                    start = start[likely[start] & likely[start + 1]]
+                row = words.row[low + start]
+                address = prints.address(place[start], end[start + n - 1], salts[row])
+                order = np.argsort(address)
+                start, address, pointer = start[order], address[order], (base[row] + words.at[low + start])[order]
+                mark = prints.mark(place[start], end[start + n - 1], salts[row[order]])
+                new = np.flatnonzero(np.r_[True, (np.diff(address) != 0) | (np.diff(mark) != 0)][: len(order)])
                 number = np.diff(np.r_[new, len(order)])
-                yield _counted(None, address[order][new], mark[order][new], number, np.minimum.reduceat(pointer[order], new) if len(new) else new)
+                yield _counted(None, address[new], mark[new], number, np.minimum.reduceat(pointer, new) if len(new) else new)
 
     return run
 
@@ -213,7 +208,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
     pa.default_memory_pool().release_unused()
 
 
-def _phrases(primes: tuple[int, ...]):
+def _phrases(width: int):
     """The texts of phrases at their pointers, once their fingerprints are found there again, with the fingerprints of their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +227,9 @@ def _phrases(primes: tuple[int, ...]):
                     ends = np.cumsum(words.length[at : at + n] + 1) - 1
                     begins = np.r_[0, ends[:-1] + 1]
                     first, size = np.array([(i, m) for m in range(1, n + 1) for i in range(n - m + 1)]).T
-                    address, mark = Prints(np.frombuffer(line, np.uint8), primes).of(
-                        begins[first], ends[first + size - 1], np.full(len(first), salts[row], np.uint64))
+                    prints, last = Prints(np.frombuffer(line, np.uint8), width), ends[first + size - 1]
+                    salt = np.full(len(first), salts[row], np.uint64)
+                    address, mark = prints.address(begins[first], last, salt), prints.mark(begins[first], last, salt)
                     if address[-1] != w["address"] or mark[-1] != w["mark"]:
                         continue
                     out["report_type"].append(kinds[row])
@@ -263,7 +259,7 @@ def _table_of(frequent: DataFrame) -> bytes:
 
 def mine_phrases(
     reports: DataFrame, kind: str = "report_type", longest: int = WORDS, least: int = LEAST, first: int = FIRST, absorbed: int = ABSORBED,
-    primes: tuple[int, ...] = PRIMES,
+    width: int = WIDTH,
 ) -> DataFrame:
     """The phrases of each kind of report whose words stand together most exclusively.
 
@@ -275,8 +271,8 @@ def mine_phrases(
 
     Result: report_type, rank, phrase, a, l, r, n (words of the kind), score; the ``first`` of each kind by score, a and phrase.
 
-    Numpy prefix polynomials give every phrase two independent fingerprints: an address and a check, 62 bits each, so phrases that share
-    an address are told apart. Tasks count their phrases; the shuffle adds counts up and keeps one pointer (report, word). Longer phrases
+    Numpy prefix polynomials give every phrase two independent fingerprints, an address of 64 bits and a check of 31, so phrases that
+    share an address are told apart. Tasks count their phrases; the shuffle adds counts up and keeps one pointer (report, word). Longer phrases
     are counted only where both parts one word shorter may be frequent, by a bit table of fixed size. Frequent phrases alone are
     read at their pointers: the fingerprints must come out again there, and the text is the phrase from then on.
 
@@ -289,25 +285,25 @@ def mine_phrases(
         F.shiftrightunsigned(F.xxhash64("report_id", kind, "report_text"), 64 - 33).alias("doc"))
     table, levels = None, []
     for n in range(1, longest + 1):
-        rows = texts.mapInArrow(_counts(n, table, primes), _COUNTED)
+        rows = texts.mapInArrow(_counts(n, table, width), _COUNTED)
         added = rows.groupBy("report_type", "address", "mark").agg(F.sum("number").alias("number"), F.min("pointer").alias("pointer"))
         levels.append(stored(added.filter((F.col("number") >= least) | F.col("report_type").isNotNull()).withColumn("words", F.lit(n))))
         if n < longest:
-            table = _table_of(levels[-1].filter("address >= 0"))
-    totals = levels[0].filter("address < 0").select("report_type", F.col("number").alias("n"))
-    frequent = functools.reduce(DataFrame.unionByName, levels).filter("address >= 0")
-    found = stored(_materialised(texts, frequent.filter("words > 1"), primes))
+            table = _table_of(levels[-1].filter("report_type is null"))
+    totals = levels[0].filter("report_type is not null").select("report_type", F.col("number").alias("n"))
+    frequent = functools.reduce(DataFrame.unionByName, levels).filter("report_type is null").drop("report_type")
+    found = stored(_materialised(texts, frequent.filter("words > 1"), width))
     return _ranked(_scored(found, frequent, totals), found, first, absorbed)
 
 
-def _materialised(texts: DataFrame, candidates: DataFrame, primes: tuple[int, ...]) -> DataFrame:
+def _materialised(texts: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
     """Candidates with their text, read where the pointers show."""
     wanted = candidates.select(
         F.shiftrightunsigned("pointer", PLACE).alias("doc"),
         F.struct("words", "address", "mark", F.col("number").alias("a"), F.col("pointer").bitwiseAND((1 << PLACE) - 1).cast("int").alias("at")).alias("w"))
     # At most one row a phrase of the report.
     of_doc = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    read = texts.join(of_doc, "doc").select("report_type", "report_text", "wanted").mapInArrow(_phrases(primes), _FOUND)
+    read = texts.join(of_doc, "doc").select("report_type", "report_text", "wanted").mapInArrow(_phrases(width), _FOUND)
     # Equal reports give equal rows.
     return read.groupBy("report_type", "phrase", "words").agg(F.max("a").alias("a"), F.first("parts").alias("parts"))
 

@@ -76,7 +76,7 @@ def test_longer_phrases_and_short_report(spark):
 def test_equal_addresses_are_told_apart(spark):
     """With an address of a few bits most phrases share theirs with others; the check and the texts tell them apart."""
     rows = sentences(3, 150)
-    assert mined(spark, rows, primes=(7, 5, *P.PRIMES[2:])) == brute(rows)
+    assert mined(spark, rows, width=5) == brute(rows)
 
 
 def test_slices_and_long_words(spark, monkeypatch):
@@ -85,7 +85,7 @@ def test_slices_and_long_words(spark, monkeypatch):
     texts = pa.array([r[2] for r in rows])
     kinds = pa.array([r[1] or "und" for r in rows])
     batch = pa.RecordBatch.from_arrays([kinds, texts, pa.array(np.arange(len(rows)))], names=["report_type", "report_text", "doc"])
-    runs = [b for b in P._counts(2, b"\xff" * (1 << P.TABLE - 3), P.PRIMES)(iter([batch]))]
+    runs = [b for b in P._counts(2, b"\xff" * (1 << P.TABLE - 3), P.WIDTH)(iter([batch]))]
     want = Counter()
     for _, kind, text in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text or ""):
