@@ -26,6 +26,8 @@ ODD_BASE, BASE, PRIME, WIDTH = 0xD1342543DE82EF95, 911382323, 2147483647, 64
 SLICE = 900_000
 #: Bits of the table that tells which shorter phrases may be frequent: 4 MB whatever the data. A full table only prunes less.
 TABLE = 25
+#: Shares of the candidates of one kind that are ranked apart at first.
+SHARES = 16
 #: A pointer is 33 bits of a report's digest and the number of a word in it.
 PLACE = 30
 
@@ -208,41 +210,41 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
     pa.default_memory_pool().release_unused()
 
 
+_PART = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("address", pa.int64()), ("mark", pa.int64())])
+
+
 def _phrases(width: int):
     """The texts of phrases at their pointers, once their fingerprints are found there again, with the fingerprints of their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            words = Words(batch.column("report_text"))
-            salts, kinds = _salts(batch.column("report_type")), batch.column("report_type").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("report_type", "phrase", "words", "a", "parts")}
-            for row, wanted in enumerate(batch.column("wanted").to_pylist()):
-                begin, held = int(words.first[row]), int(words.count[row])
-                for w in wanted:
-                    n, at = w["words"], begin + w["at"]
-                    # Another report with the same digest may be meant.
-                    if w["at"] + n > held or not words.linked[at : at + n - 1].all():
-                        continue
-                    line = b" ".join(words._low[s : s + k].tobytes() for s, k in zip(words.start[at : at + n], words.length[at : at + n]))
-                    ends = np.cumsum(words.length[at : at + n] + 1) - 1
-                    begins = np.r_[0, ends[:-1] + 1]
+            words, kinds = Words(batch.column("report_text")), batch.column("report_type")
+            salts, wanted = _salts(kinds), batch.column("wanted")
+            row = np.repeat(np.arange(len(batch)), wanted.value_lengths().to_numpy())
+            shown = {f.name: c.to_numpy() for f, c in zip(wanted.type.value_type, wanted.flatten().flatten())}
+            start = words.first[row] + shown["at"]
+            whole = shown["at"] + shown["words"] <= words.count[row]
+            for low, high, line, place in words.slices(int(shown["words"].max(initial=1))):
+                prints, end = Prints(line, width), place + words.length[low : low + len(place)]
+                for n in np.unique(shown["words"]):
+                    mine = np.flatnonzero(whole & (shown["words"] == n) & (start >= low) & (start < high))
+                    for k in range(n - 1):
+                        mine = mine[words.linked[start[mine] + k]]
                     first, size = np.array([(i, m) for m in range(1, n + 1) for i in range(n - m + 1)]).T
-                    prints, last = Prints(np.frombuffer(line, np.uint8), width), ends[first + size - 1]
-                    salt = np.full(len(first), salts[row], np.uint64)
-                    address, mark = prints.address(begins[first], last, salt), prints.mark(begins[first], last, salt)
-                    if address[-1] != w["address"] or mark[-1] != w["mark"]:
-                        continue
-                    out["report_type"].append(kinds[row])
-                    out["phrase"].append(line.decode())
-                    out["words"].append(n)
-                    out["a"].append(w["a"])
-                    out["parts"].append([
-                        {"first": int(f), "words": int(s), "address": int(x), "mark": int(y)} for f, s, x, y in zip(first, size, address, mark)])
-            part = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("address", pa.int64()), ("mark", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["report_type"], pa.string()), pa.array(out["phrase"], pa.string()), pa.array(out["words"], pa.int32()),
-                 pa.array(out["a"], pa.int64()), pa.array(out["parts"], pa.list_(part))],
-                names=["report_type", "phrase", "words", "a", "parts"])
+                    at = start[mine, None] - low + first
+                    salt = np.broadcast_to(salts[row[mine], None], at.shape)
+                    address, mark = prints.address(place[at], end[at + size - 1], salt), prints.mark(place[at], end[at + size - 1], salt)
+                    # Another report with the same digest may be meant.
+                    met = (address[:, -1] == shown["address"][mine]) & (mark[:, -1] == shown["mark"][mine])
+                    mine, at, address, mark = mine[met], at[met], address[met], mark[met]
+                    parts = pa.StructArray.from_arrays(
+                        [pa.array(c.ravel(), t.type) for c, t in zip((np.broadcast_to(first, at.shape), np.broadcast_to(size, at.shape), address, mark), _PART)],
+                        fields=list(_PART))
+                    texts = [line[x:y].tobytes() for x, y in zip(place[at[:, 0]], end[at[:, 0] + n - 1])]
+                    yield pa.RecordBatch.from_arrays(
+                        [kinds.take(pa.array(row[mine])), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.full(len(mine), n), pa.int32()),
+                         pa.array(shown["a"][mine], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * len(first), pa.int32()), parts)],
+                        names=["report_type", "phrase", "words", "a", "parts"])
 
     return run
 
@@ -345,6 +347,9 @@ def _ranked(scored: DataFrame, found: DataFrame, first: int, absorbed: int) -> D
         "report_type", "phrase", "a", F.col("o.address").alias("address"), F.col("o.mark").alias("mark")
     ).join(longer, ["report_type", "address", "mark"]).filter(F.col("longer") * 100 >= F.col("a") * absorbed)
     left = scored.join(covered.select("report_type", "phrase"), ["report_type", "phrase"], "left_anti")
-    order = Window.partitionBy("report_type").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = left.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= first)
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # A kind may have most candidates: its first ones are among the first of each share.
+    left = left.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    within = left.withColumn("rank", F.row_number().over(Window.partitionBy("report_type", "share").orderBy(*order))).filter(F.col("rank") <= first)
+    ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("report_type").orderBy(*order)).cast("long")).filter(F.col("rank") <= first)
     return ranked.select("report_type", "rank", "phrase", "a", "l", "r", "n", "score")
