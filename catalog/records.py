@@ -324,17 +324,13 @@ def check_feedback(spark, folder):
     return RD.check_feedback(rows).select("feedback_id", S.joined("violations").alias("violations"))
 
 
-_DOCS = "pos % 80 = 3"
-
-
-@query("import_extracted", sql(f"""
-select 'REP-' || pos::varchar || '.txt' as file, activity, hazard, barrier, barrier_status, null::varchar as error from decided where {_DOCS} and regexp_matches(report_text, '\\S')
-union all select 'REP-' || pos::varchar || '.txt', null, null, null, null, 'no text' from reports where {_DOCS} and not regexp_matches(report_text, '\\S')"""))
+@query("import_extracted", sql("""
+select 'REP-' || pos::varchar || '.txt' as file, activity, hazard, barrier, barrier_status, null::varchar as error from decided where regexp_matches(report_text, '\\S')
+union all select 'REP-' || pos::varchar || '.txt', null, null, null, null, 'no text' from reports where not regexp_matches(report_text, '\\S')"""))
 def import_extracted(spark, folder):
     """Reports as text files, read as documents: their extracted fields, and the files without text as rejects.
 
     Each distinct text is one file, for small files cost more than the work on them; its outcome goes to all reports of that text.
-    The statement beside it still covers the reports of ``_DOCS`` only.
     """
     path, key = f"{scratch(spark)}/files", F.concat(F.lit("t"), F.sha2("report_text", 256)).alias("text_key")
     named = stored(C.reports(spark, folder).select("report_id", "report_text", key))

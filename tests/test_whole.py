@@ -1,42 +1,50 @@
-"""Queries over all reports against their statements without the restriction to some of them."""
+"""Queries over all reports against their statements."""
 
 import glob
 from pathlib import Path
 
 import __spark_entry__ as entry
 import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import learn as L
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def stated(name, restriction, select=None):
-    statement = entry.oracle_sql()[name]
-    assert restriction in statement
+def stated(name):
     base = duckdb.connect()
     for path in glob.glob(f"{FOLDER}/*.parquet"):
         base.execute(f"create view {Path(path).stem} as select * from '{path}'")
-    return base.execute(statement.replace(restriction, "true")).fetchall()
-
-
-def test_all_reports_are_imported(spark):
-    got = entry.queries()["import_extracted"](spark, FOLDER).collect()
-    want = stated("import_extracted", "pos % 80 = 3")
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 1000
-    assert sum(r.error is not None for r in got) > 0
-
-
-def test_classifier_looks_at_all_reports(spark):
-    queries, rest = entry.queries(), "pos % 16 <> 3"
-    flags = {r[0]: (r[1], r[2]) for r in stated("predict_lr", rest)}
-    rows = queries["predict_lr"](spark, FOLDER).collect()
-    assert len(rows) == len({r.report_id for r in rows})
-    # Blank texts have no prediction.
-    assert {r.report_id: r.text for r in rows} == {i: t for i, (t, _) in flags.items() if t.strip()} and len(rows) < len(flags)
-    pairs = [(flags[r.report_id][1], r.sif_prediction) for r in rows]
-    found = queries["train_lr"](spark, FOLDER).first()
-    assert found.n_samples == len(rows)
-    assert (found.tn, found.fp, found.fn, found.tp) == tuple(pairs.count(x) for x in ((0, 0), (0, 1), (1, 0), (1, 1)))
-    signs = dict(map(tuple, queries["feature_signs"](spark, FOLDER).collect()))
-    want = dict(stated("feature_signs", rest))
-    assert signs and all(want[t] == side for t, side in signs.items())
-    assert len(want) > 4000 or signs == want
+    found = base.execute(entry.oracle_sql()[name])
+    return [d[0] for d in found.description], found.fetchall()
+
+
+@pytest.mark.parametrize("name", ["import_extracted", "train_lr", "predict_lr", "feature_signs", "top_features"])
+def test_queries_over_all_reports(spark, name):
+    columns, want = stated(name)
+    got = entry.queries()[name](spark, FOLDER).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and want
+
+
+def test_vectors_hold_the_weights(spark):
+    """Sparse vectors written as structs and read back: each weight at its index, an empty one where no term is known."""
+    rows = spark.createDataFrame([("a", "gas test gas"), ("b", "valve"), ("c", "!"), ("d", None)], "id string, text string")
+    counts = L.terms(rows, "text", "id")
+    vocab = L.vocabulary(counts, 4, 3)
+    got = {r.id: dict(zip(r.features.indices.tolist(), r.features.values.tolist())) for r in L.features(rows, counts, "id", vocab, 3).collect()}
+    want = {r.id: {} for r in rows.collect()}
+    for r in L.weigh(counts, vocab, "id").collect():
+        want[r.id][r["index"]] = r.weight
+    assert got == want and got["c"] == got["d"] == {} and got["a"]
+
+
+def test_classifier_separates_and_has_no_python(spark):
+    texts = ["gas leak at the valve", "fire near the tank", "clean desk today", "lunch was fine", "", None]
+    rows = spark.createDataFrame([(f"R{k}", t, int(k % 6 < 2)) for k, t in enumerate(texts * 5)], "report_id string, report_text string, label int")
+    model = L.train(rows, "report_text", "label", "report_id")
+    found = L.predict(model, rows, "report_text", "report_id")
+    assert "Python" not in found._jdf.queryExecution().toString()
+    joined = found.join(rows, "report_id")
+    assert joined.count() == 20 and joined.filter(F.col("label") != F.col("sif_prediction")).count() == 0
