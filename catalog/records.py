@@ -226,13 +226,16 @@ def json_roundtrip(spark, folder):
 # ------------------------------------------------------------------ stored tables
 
 
-@query("upsert_reports", sql("""
+UPSERTED = sql("""
 select coalesce(r.report_id, a.report_id) as report_id, coalesce(a.report_text, r.report_text) as report_text,
   coalesce(a.location, 'Unknown') as location, 'near_miss' as report_type,
   strftime(coalesce(r.created_at, a.created_at), '%Y-%m-%d') as day
 from reports r full join last_arrival a on a.report_id = r.report_id""", {"last_arrival": """
 select report_id, arg_max(report_text, seq) as report_text, arg_max(location, seq) as location,
-  arg_min(created_at, seq) as created_at from arrivals group by 1"""}))
+  arg_min(created_at, seq) as created_at from arrivals group by 1"""})
+
+
+@query("upsert_reports", UPSERTED)
 def upsert_reports(spark, folder):
     stored = C.reports(spark, folder).withColumn("location", F.lit("Unknown")).select("report_id", "report_text", "location", "report_type", "created_at")
     rows = P.upsert_reports(stored, C.arrivals(spark, folder), "seq")

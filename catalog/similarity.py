@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog import shared as S
+from catalog.records import UPSERTED
 from oracles.base import CTE, q, say, sql
 from riskloom.functions import vectors as VX
-from riskloom.functions.lineage import scratch
+from riskloom.functions.lineage import scratch, stored
 from riskloom.operators import patterns as PT
+from riskloom.operators import persist as P
 from riskloom.operators import similar as SIM
 from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
+from riskloom.schemas import INTAKE
 from riskloom.streaming import triage_stream as TS
+from riskloom.streaming.keyed_table import LOAD, KeyedTable
 
 # Small blocks, so that small tables are many groups too.
 BLOCK = 256
@@ -189,13 +193,19 @@ def recommendations(spark, folder):
     return rows.withColumn("recommended_action", PT.recommendation(F.col("hazard"), F.col("barrier_failure"), F.col("activity")))
 
 
+GROUPS = 3
+
+
 def _streamed(spark, rows):
-    """The folder of a stream's tables after all ``rows`` have arrived, as files in any order of date in one batch."""
+    """The tables of a stream in which the reports arrive in three groups of all dates, one after the other; every 13th arrives again."""
     base = scratch(spark)
-    rows.write.mode("overwrite").parquet(f"{base}/in")
-    stream = TS.arriving(spark, f"{base}/in", late="1 day", files_per_trigger=1_000_000)
-    TS.start(stream, f"{base}/decisions", f"{base}/alerts", f"{base}/rejects", f"{base}/progress", once=True).awaitTermination()
-    return base
+    again = F.when(F.col("pos") % 13 == 0, F.array(F.col("pos") % GROUPS, (F.col("pos") + 1) % GROUPS)).otherwise(F.array(F.col("pos") % GROUPS))
+    landed = stored(rows.withColumn("landing", F.explode(again)))
+    for group in range(GROUPS):
+        landed.filter(F.col("landing") == group).select(*INTAKE.names).write.mode("append").parquet(f"{base}/in")
+        stream = TS.arriving(spark, f"{base}/in", files_per_trigger=1_000_000)
+        TS.start(stream, f"{base}/tables", f"{base}/progress", once=True).awaitTermination()
+    return TS.TriageTables(spark, f"{base}/tables")
 
 
 def _arriving_reports(spark, folder):
@@ -206,14 +216,24 @@ def _arriving_reports(spark, folder):
     )
     return C.reports(spark, folder).select(
         "report_id", text.alias("report_text"), F.lit(None).cast("string").alias("location"),
-        F.lit(None).cast("double").alias("recurring_risk_signal"), F.col("created_at").cast("timestamp").alias("created_at"))
+        F.lit(None).cast("double").alias("recurring_risk_signal"), F.col("created_at").cast("timestamp").alias("created_at"), "pos")
+
+
+#: The newest report of the groups that arrived before; an hour before it, a report is late. What is in an earlier group arrives there first.
+_LANDED = {
+    "landed": f"select *, case when pos % 13 = 0 then least(pos % {GROUPS}, (pos + 1) % {GROUPS}) else pos % {GROUPS} end as landing from routed",
+    "newest": "select landing, max(max(created_at)) over (order by landing rows between unbounded preceding and 1 preceding) as newest from landed group by landing",
+}
+_GOOD = "pos % 7 <> 0 and pos % 11 <> 0 and length(report_text) >= 10"
 
 
-@query("stream_triage", sql("select report_id, priority, priority_score, status0 as workflow_status from routed where pos % 7 <> 0 and pos % 11 <> 0 and length(report_text) >= 10"))
+@query("stream_triage", sql(f"""
+select report_id, priority, priority_score, status0 as workflow_status, coalesce(created_at < newest - interval 1 hour, false) as late
+from landed join newest using (landing) where {_GOOD}""", _LANDED))
 def stream_triage(spark, folder):
-    """Reports of every length arriving as files, triaged by a stream until none is left, and read back."""
-    base = _streamed(spark, _arriving_reports(spark, folder))
-    return spark.read.parquet(f"{base}/decisions").select("report_id", "priority", "priority_score", "workflow_status")
+    """Reports of every length and in no order of dates arriving as files, triaged by a stream batch by batch, and read back."""
+    decided = _streamed(spark, _arriving_reports(spark, folder)).decisions()
+    return decided.select("report_id", "priority", "priority_score", "workflow_status", "late")
 
 
 @query("stream_rejects", sql("""
@@ -222,17 +242,34 @@ select report_id, case when pos % 7 = 0 then least(9, length(report_text)) when
 from reports where pos % 7 = 0 or pos % 11 = 0 or length(report_text) < 10"""))
 def stream_rejects(spark, folder):
     """The reports that the same stream does not take in, whole, with the limits they break."""
-    base = _streamed(spark, _arriving_reports(spark, folder))
-    return spark.read.parquet(f"{base}/rejects").select(
-        "report_id", F.length("report_text").alias("n_chars"), S.joined("violations").alias("violations"))
+    rejects = _streamed(spark, _arriving_reports(spark, folder)).rejects()
+    return rejects.select("report_id", F.length("report_text").alias("n_chars"), S.joined("violations").alias("violations"))
 
 
-@query("stream_daily", sql("""
-select strftime(created_at, '%Y-%m-%d') as day, priority, count(*) as reports from routed where pos % 7 <> 0 and pos % 11 <> 0 and length(report_text) >= 10 group by all"""))
+@query("stream_daily", sql(f"""
+select strftime(created_at, '%Y-%m-%d') as day, priority, count(*) as reports from routed where {_GOOD} group by all"""))
 def stream_daily(spark, folder):
-    """Daily counts kept by a second stream that reads the decisions of the first."""
-    base = _streamed(spark, _arriving_reports(spark, folder))
-    shape = spark.read.parquet(f"{base}/decisions").schema
-    decided = spark.readStream.schema(shape).parquet(f"{base}/decisions")
-    TS.start_daily(decided, f"{base}/daily", f"{base}/daily-progress", once=True).awaitTermination()
-    return spark.read.parquet(f"{base}/daily").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "priority", "reports")
+    """Daily counts that the stream keeps: late reports and repeats change the days they belong to."""
+    daily = _streamed(spark, _arriving_reports(spark, folder)).daily.read()
+    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "priority", "reports")
+
+
+@query("stream_alerts", sql(f"select alert_id, report_id, severity, message from alerts join reports using (report_id) where {_GOOD.replace('report_text', 'reports.report_text')}"))
+def stream_alerts(spark, folder):
+    """The alerts that the stream raises, one a report however often it arrives."""
+    return _streamed(spark, _arriving_reports(spark, folder)).alerts.read().select("alert_id", "report_id", "severity", "message")
+
+
+@query("stream_upserts", UPSERTED)
+def stream_upserts(spark, folder):
+    """Stored reports kept up to date by a stream of arrivals that come in batches out of order."""
+    base, columns = scratch(spark), ["report_id", "report_text", "location", "report_type", "created_at"]
+    first = P.as_arrivals(C.reports(spark, folder).withColumn("location", F.lit("Unknown")).select(*columns), F.lit(-1))
+    table = KeyedTable(spark, f"{base}/reports", first.schema, ["report_id"], 16)
+    table.apply(LOAD, first, P.merge_arrivals)
+    arrivals = P.as_arrivals(C.arrivals(spark, folder).withColumn("created_at", F.col("created_at").cast(first.schema["created_at"].dataType)), F.col("seq"))
+    for group in (2, 0, 1):
+        arrivals.filter(F.pmod(F.xxhash64("seq"), F.lit(GROUPS)) == group).select(*first.columns).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(first.schema).parquet(f"{base}/in")
+        TS.start_upserts(stream, table, f"{base}/progress", once=True).awaitTermination()
+    return table.read().select("report_id", "report_text", "location", "report_type", F.date_format("created_at", "yyyy-MM-dd").alias("day"))

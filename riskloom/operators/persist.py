@@ -37,6 +37,23 @@ def upsert_reports(stored: DataFrame, incoming: DataFrame, order: str) -> DataFr
     ).select(*columns)
 
 
+def as_arrivals(rows: DataFrame, order: Column) -> DataFrame:
+    """Reports with the places in the order of arrivals that their text and the rest of their row come from."""
+    return rows.withColumns({"first_order": order.cast("long"), "last_order": order.cast("long")})
+
+
+def merge_arrivals(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The same for two tables of :func:`as_arrivals`: text and location of the last arrival of an id, the rest of its row from the first.
+
+    It does not matter which arrivals are stored already and which come in, so batches may come in any order.
+    """
+    rest = [c for c in stored.columns if c not in ("report_id", "report_text", "location", "first_order", "last_order")]
+    folded = stored.unionByName(incoming).groupBy("report_id").agg(
+        F.max_by(F.struct("report_text", "location"), "last_order").alias("last"), F.min_by(F.struct(*rest), "first_order").alias("first"),
+        F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"))
+    return folded.select("report_id", "last.*", *[F.col("first")[c].alias(c) for c in rest], "first_order", "last_order").select(*stored.columns)
+
+
 def replace_analysis(stored: DataFrame, fresh: DataFrame, key: str = "report_id", keys: DataFrame | None = None) -> DataFrame:
     """Rows of re-analysed reports give way to the fresh rows; the rest stay.
 

@@ -46,12 +46,16 @@ def first_reports(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     return rows.orderBy("report_id", *order).limit(limit)
 
 
+def made_id(text: Column) -> Column:
+    """An id for a report that has none, from its text."""
+    return F.concat(F.lit("REP-"), F.upper(F.substring(F.md5(text.cast("binary")), 1, 16)))
+
+
 def usable_reports(rows: DataFrame) -> DataFrame:
     """Rows with text; an id is made from the text where none is given."""
     kept = rows.filter(~tx.is_blank(F.col("report_text")))
-    made = F.concat(F.lit("REP-"), F.upper(F.substring(F.md5(F.col("report_text").cast("binary")), 1, 16)))
     given = tx.non_empty(F.col("report_id")) if "report_id" in rows.columns else F.lit(None)
-    return kept.withColumn("report_id", F.coalesce(given, made))
+    return kept.withColumn("report_id", F.coalesce(given, made_id(F.col("report_text"))))
 
 
 def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -1,25 +1,5 @@
-from datetime import datetime
-
 import __spark_entry__ as entry
-from pyspark.sql import functions as F
-
-from riskloom.schemas import INTAKE
-from riskloom.streaming import triage_stream as TS
 
 
 def test_registry_is_consistent(spark):
     assert len(entry.queries()) > 90 and set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    texts = ["Worker entered confined space, no gas test", "Toolbox meeting was conducted", "short", "Crew under the load"]
-    rows = [(f"R{i}", t, None, None, datetime(2024, 1, 1, i)) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows + rows[:1], INTAKE).repartition(3).write.parquet(f"{tmp_path}/in")
-    TS.start(TS.arriving(spark, f"{tmp_path}/in", "1 day"), f"{tmp_path}/d", f"{tmp_path}/a", f"{tmp_path}/r", f"{tmp_path}/c", once=True).awaitTermination()
-    got = {(r.report_id, r.priority, r.workflow_status) for r in spark.read.parquet(f"{tmp_path}/d").collect()}
-    batch = TS.decide(spark.createDataFrame(rows, INTAKE)).select("report_id", "priority", "workflow_status")
-    assert got == {tuple(r) for r in batch.collect()} and len(got) == 3
-    rejects = [(r.report_id, r.report_text, r.violations) for r in spark.read.parquet(f"{tmp_path}/r").collect()]
-    assert rejects == [("R2", "short", ["report_text"])]
-    alerts = spark.read.parquet(f"{tmp_path}/a")
-    assert alerts.count() == sum(1 for g in got if g[1] == "HIGH") and alerts.filter(F.col("acknowledged")).count() == 0
