@@ -242,15 +242,18 @@ def near_vectors(
     Returns a row per input row: report_id, n_links (other rows linked with it), component_id (the smallest
     report_id that links reach, itself included). Null labels and vectors that are null, zero, or hold null or
     non-finite components link with nothing; vectors of different length neither. Rows repeated with one id are
-    rows of their own. Other columns are not looked at. An empty table gives an empty result.
+    rows of their own, whether their vectors and labels are equal or not. Rows without an id link as others; the
+    component of none but such rows is null. Other columns are not looked at. An empty table gives an empty result.
     """
-    key = embeddings.schema["report_id"].dataType
+    key = LongType()
     rows = embeddings.select("report_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = comparable(F.col("embedding")) & F.col("label").isNotNull() & F.col("report_id").isNotNull()
+    usable = comparable(F.col("embedding")) & F.col("label").isNotNull()
     # -0.0 and 0.0 are equal numbers but not equal bytes.
     rows = stored(rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).withColumn("usable", usable))
     linked = rows.filter("usable")
-    classes = stored(linked.groupBy("label", "embedding").agg(F.min("report_id").alias("class_id"), F.count("*").alias("copies")))
+    # A class is one vector under one label. Its number is given once, when the table of classes is written.
+    classes = linked.groupBy("label", "embedding").agg(F.min("report_id").alias("least_id"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("class_id", F.monotonically_increasing_id()))
     shape = StructType([StructField("bucket", LongType()), StructField("class_id", key), StructField("home", BooleanType())])
     filed = classes.select("class_id", "label", "embedding").mapInArrow(_filer(tables, lattices, width, probes, seed), shape)
     shape = StructType([StructField("group", LongType()), StructField("class_id", key), StructField("size", LongType())])
@@ -263,14 +266,15 @@ def near_vectors(
 
     pair = StructType([StructField("a", key), StructField("b", key)])
     rooted = stored(components(together(meeting).mapInArrow(_joiner(threshold), pair)))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("size"), F.min("node").alias("component_id"))
+    named = rooted.join(classes.select(F.col("class_id").alias("node"), "least_id"), "node")
+    sizes = named.groupBy("root").agg(F.count("*").alias("size"), F.min("least_id").alias("component_id"))
     members = stored(rooted.join(sizes, "root").select(
         F.xxhash64("root").alias("group"), F.col("node").alias("class_id"), "size", "component_id"))
     tally = StructType([StructField("class_id", key), StructField("n", LongType())])
     counted = together(members.drop("component_id")).mapInArrow(_counter(threshold), tally).groupBy("class_id").agg(F.sum("n").alias("n"))
-    of_class = classes.join(counted, "class_id", "left").join(members.select("class_id", "component_id"), "class_id", "left").select(
+    of_class = classes.join(counted, "class_id", "left").join(members.select("class_id", "component_id", "size"), "class_id", "left").select(
         F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component_id", "class_id").alias("component_id"))
+        F.when(F.col("size").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
     met = linked.join(of_class, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")))
     alone = rows.filter("not usable").select("report_id", F.lit(0).cast("long").alias("n_links"), F.col("report_id").alias("component_id"))
     return met.select("report_id", "n_links", "component_id").unionByName(alone)

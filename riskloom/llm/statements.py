@@ -50,7 +50,7 @@ STATEMENTS = {
         WITH RECURSIVE v AS (
             SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
         ), usable AS (
-            SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                 AND len(list_filter(e, lambda x: x <> 0)) > 0
         ), links AS (
             SELECT a.n, a.vec_id, b.n AS m, b.vec_id AS other FROM usable a JOIN usable b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)

@@ -43,7 +43,7 @@ def _name(value) -> str:
 
 
 def _identity(name: str) -> str | None:
-    found = re.fullmatch(r"<urn:report:(.*)>", name or "")
+    found = re.fullmatch(r"<?urn:report:(.*?)>?", name or "")
     return unquote(found.group(1)) if found else None
 
 
@@ -82,6 +82,8 @@ def _writer(folder: str, level: int):
                     out.write(packer.compress(record(report_id, address, text.encode(), digest, refers_to)) + packer.flush())
                     rows += 1
         # The whole file appears under its name at once; a task that runs again replaces it by the same records.
+        if system.get_file_info(final).type == FileType.File:
+            system.delete_file(final)  # some file systems do not move onto a file
         system.move(written, final)
         yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([rows], pa.int64())], names=["path", "records"])
 
@@ -166,20 +168,47 @@ def members(source: _Bytes, start: int, end: int) -> Iterator[tuple[int, bytes]]
         at = got[1]
 
 
-def parsed(content: bytes) -> tuple:
-    """report_id, record_type, address, payload, payload_bytes, payload_digest, refers_to, intact of one record."""
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
-    said = base64.b32decode(fields["WARC-Payload-Digest"].partition(":")[2]).hex()
-    kind, revisit = fields["WARC-Type"], fields["WARC-Type"] == "revisit"
+def _sha1(text: str | None) -> str | None:
+    """The SHA-1 in a digest field, in base 32 or hexadecimal; None where it is absent, of another kind or damaged."""
+    kind, _, value = (text or "").strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
+def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields, under names in small letters, and block of each record of a member; what follows a damaged one is left."""
+    at = 0
+    while content.startswith(OPENING, at):
+        end = content.find(b"\r\n\r\n", at)
+        lines = re.sub(r"\r\n[ \t]+", " ", content[at:end].decode("utf-8", "replace")).split("\r\n")[1:]
+        fields = {name.strip().lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines) if colon}
+        size = fields.get("content-length", "")
+        if end < 0 or not (size.isascii() and size.isdigit()):
+            return
+        block = content[end + 4 : end + 4 + int(size)]
+        yield fields, block
+        at = end + 4 + len(block) + 4
+
+
+def parsed(fields: dict[str, str], block: bytes) -> tuple | None:
+    """report_id, record_type, address, payload, payload_bytes, payload_digest, refers_to, intact of a response or revisit; else None."""
+    kind = fields.get("warc-type", "").lower()
+    if kind not in ("response", "revisit"):
+        return None
+    # A response need not be of HTTP: then all of it is payload.
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    length = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)
+    said, revisit = _sha1(fields.get("warc-payload-digest")), kind == "revisit"
     digest = said if revisit else hashlib.sha1(payload).hexdigest()
-    size = int(length.group(1)) if length else len(payload)
+    size = int(length.group(1)) if length else None if revisit else len(payload)
     return (
-        _identity(fields["WARC-Record-ID"]), kind, fields.get("WARC-Target-URI"), None if revisit else payload.decode("utf-8", "replace"),
-        size, digest, _identity(fields.get("WARC-Refers-To", "")), digest == said and (revisit or size == len(payload)),
+        _identity(fields.get("warc-record-id", "")), kind, fields.get("warc-target-uri"), None if revisit else payload.decode("utf-8", "replace"),
+        size, digest, _identity(fields.get("warc-refers-to", "")), None if said is None else digest == said and (revisit or size == len(payload)),
     )
 
 
@@ -196,8 +225,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             with system.open_input_file(place) as file:
                 for at, content in members(_Bytes(file, length), start, end):
-                    rows.append((*parsed(content), path, at))
-                    if len(rows) == ROWS:
+                    rows += [(*found, path, at) for found in (parsed(*r) for r in records(content)) if found is not None]
+                    if len(rows) >= ROWS:
                         yield out(rows)
                         rows = []
             if rows:
@@ -212,6 +241,11 @@ def read_archives(spark: SparkSession, folder: str, split: int = SPLIT) -> DataF
     member ends; damaged members are skipped. Returns report_id (text), record_type, source_file_path, report_text
     (null for a revisit), payload_bytes and payload_digest (of the full payload; SHA-1, hexadecimal), refers_to,
     intact (does the payload agree with its header), archive and position.
+
+    Archives of others may hold other records, names of fields in any capitals, several records in a member, and
+    responses without HTTP. Records of other types (warcinfo, request, metadata and so on) are passed over. Ids
+    that are not of reports are null. Without a SHA-1 in the header intact is null, and so is a revisit's digest;
+    a revisit's payload_bytes are null where its HTTP header does not name them. Payloads are not unpacked.
     """
     system, root = _opened(folder)
     files = [f for f in system.get_file_info(FileSelector(root)) if f.type == FileType.File and f.path.endswith(".warc.gz")]

@@ -13,7 +13,7 @@ def brute(rows, threshold=0.93):
     unit, root = {}, {k: k for k in range(len(rows))}
     for k, (i, v, label) in enumerate(rows):
         x = np.array([np.nan if e is None else e for e in v], dtype=np.float32).astype(float) if v is not None else np.array([np.nan])
-        if label is not None and i is not None and np.isfinite(x).all() and (x != 0).any():
+        if label is not None and np.isfinite(x).all() and (x != 0).any():
             unit[k] = x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max())
 
     def find(k):
@@ -30,7 +30,7 @@ def brute(rows, threshold=0.93):
                 root[y] = x
     least = {}
     for k in unit:
-        least[find(k)] = min(rows[k][0], least.get(find(k), rows[k][0]))
+        least[find(k)] = min((i for i in (rows[k][0], least.get(find(k))) if i is not None), default=None)
     return [(r[0], links[k], least[find(k)] if k in unit else r[0]) for k, r in enumerate(rows)]
 
 
@@ -77,6 +77,20 @@ def test_awkward_rows(spark):
     assert rows_of(near_vectors(table(spark, []))) == []
 
 
+def test_one_id_on_several_vectors_and_labels(spark):
+    """Two vectors of one id are no link between what each of them is near to; neither is an id under two labels."""
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.05 * np.eye(8)[5]).tolist()
+    rows = [
+        (5, a.tolist(), 0), (5, b.tolist(), 0), (1, near(a), 0), (2, near(b), 0), (5, a.tolist(), 1), (7, near(a), 1), (5, a.tolist(), 0),
+        (None, a.tolist(), 0), (None, near(b), 2), (None, b.tolist(), 2), (None, (-a).tolist(), 0), (None, None, 0), (9, near(a), 2),
+    ]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    for block in (2048, 1):
+        got = rows_of(near_vectors(table(spark, rows), block=block), "report_id", "n_links", "component_id")
+        assert sorted(got, key=order) == sorted(brute(rows), key=order)
+
+
 def test_nearest_lattice_points():
     steps, draw = roots(), np.random.default_rng(0)
     x = draw.normal(size=(500, 8)) * 2

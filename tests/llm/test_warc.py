@@ -62,6 +62,47 @@ def test_every_range_owns_the_records_that_start_in_it():
     assert all(starts(step, block) == starts(len(plain), 1 << 20) for step in (50, 333, 5000) for block in (64, 1 << 20))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Records of every type, headers in small letters, folded and absent fields, digests of other kinds, several records in a member."""
+    def made(kind, block, fields=(), name="WARC-Type", size="Content-Length"):
+        head = "".join(f"{k}: {v}\r\n" for k, v in [(name, kind), *fields, (size, len(block))])
+        return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nserver: x\r\n\r\n<p>gas</p>"
+    sha1 = hashlib.sha1(b"<p>gas</p>").hexdigest()
+    others = [made(k, b"software: x\r\n") for k in ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")]
+    responses = [
+        made("response", page, [("warc-target-uri", "http://a.org/"), ("warc-payload-digest", f"sha1:{sha1}")], "warc-type", "content-length"),
+        made("response", page, [("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Payload-Digest", "md5:00")]),
+        made("response", b"dns: 10.0.0.1", [("WARC-Payload-Digest", "sha1:not base 32")]),
+        made("Response", page, [("WARC-Target-URI", "http://a.org/x\r\n  y"), ("WARC-Payload-Digest", "sha1:" + "A" * 32)]),
+        made("revisit", b"", [("WARC-Record-ID", "<urn:report:7>")]), made("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n", [("WARC-Payload-Digest", f"SHA1:{sha1.upper()}")]),
+    ]
+    damaged = [b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\n", b"WARC/1.0\r\n", made("response", page)[:-60]]
+    single = [gzip.compress(r) for r in (*others, *responses, *damaged)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(single))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(b"".join([*others, *responses])))
+    columns = ("report_id", "record_type", "source_file_path", "report_text", "payload_bytes", "payload_digest", "intact")
+    want = [
+        (None, "response", "http://a.org/", "<p>gas</p>", 10, sha1, True), (None, "response", None, "<p>gas</p>", 10, sha1, None),
+        (None, "response", None, "dns: 10.0.0.1", 13, hashlib.sha1(b"dns: 10.0.0.1").hexdigest(), None),
+        (None, "response", "http://a.org/x y", "<p>gas</p>", 10, sha1, False), ("7", "revisit", None, None, None, None, None), (None, "revisit", None, None, 12, sha1, True),
+    ]
+    found = read_archives(spark, f"file://{tmp_path}/w", 300)
+    got = {f: [tuple(r[c] for c in columns) for r in sorted(found.filter(found.archive.endswith(f)).collect(), key=lambda r: r.position)] for f in ("a.warc.gz", "b.warc.gz")}
+    # A record that is cut off holds what there is of its block.
+    assert got["a.warc.gz"][:6] == want and sorted(got["b.warc.gz"], key=str) == sorted(want, key=str)
+    assert len(got["a.warc.gz"]) <= 7
+
+
+def test_a_task_that_runs_again_replaces_its_file(spark, tmp_path):
+    rows = [(k, f"text {k}") for k in range(20)]
+    for _ in range(2):
+        write_archives(reports(spark, rows), f"file://{tmp_path}/w")
+    assert len(rows_of(read_archives(spark, f"file://{tmp_path}/w"), *COLUMNS)) == 20
+
+
 def test_empty_table(spark, tmp_path):
     write_archives(reports(spark, []), f"{tmp_path}/w")
     assert rows_of(read_archives(spark, f"{tmp_path}/w"), *COLUMNS) == []
