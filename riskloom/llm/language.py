@@ -26,6 +26,9 @@ TEMPER = 0.3
 BACKING = 5.0
 #: Posterior of the best language below which a report is rejected.
 LEAST = 0.5
+#: A text is in none of the languages when it is stranger than this to the one nearest to it: 0 is what texts of the language are on
+#: average, 1 a text none of whose trigrams was met in fitting. Texts of few trigrams are given more room: so much by their number.
+STRANGE, ROOM = 0.46, 0.6
 UNKNOWN = "und"
 
 _DROPPED = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->")
@@ -90,11 +93,25 @@ def fit(labelled: DataFrame, languages: Sequence[str], sample: int = SAMPLE) ->
     return np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
+def usual(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a trigram of each language scores under its own model on average, and how much less one scores that was never met."""
+    wide = table.astype(np.float64)
+    mean = (np.exp(wide) * wide).sum(axis=0)
+    return mean, mean - wide.min(axis=0)
+
+
+def strangeness(total: np.ndarray, n: int, mean: np.ndarray, depth: np.ndarray) -> float | None:
+    """How far a text's mean score under its best language is below the usual one, as a share of how far it can be."""
+    best = int(total.argmax())
+    return None if not n else max(0.0, float((mean[best] - total[best] / n) / depth[best])) if depth[best] > 1e-6 else 0.0
+
+
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
+        mean, depth = usual(table)
         for batch in parts(batches):
-            scores, counts, declared = [], [], []
+            scores, counts, declared, strange = [], [], [], []
             for text in batch.column("report_text").to_pylist():
                 plain, said = visible(text or "")
                 total, n = np.zeros(table.shape[1]), 0
@@ -104,12 +121,13 @@ def _scorer(model):
                 scores.append((TEMPER * (total - total.max())).tolist())
                 counts.append(n)
                 declared.append(said)
+                strange.append(strangeness(total, n, mean, depth))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("report_id"), batch.column("host"), pa.array(declared, pa.string()),
-                    pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(counts, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(strange, pa.float64()),
                 ],
-                names=["report_id", "host", "declared", "trigrams", "scores"],
+                names=["report_id", "host", "declared", "trigrams", "scores", "strange"],
             )
 
     return run
@@ -134,8 +152,9 @@ def identify(reports: DataFrame, labelled: DataFrame, languages: Sequence[str],
 
     All shares are sums of text posteriors by grouped aggregation, reduced before the shuffle, so a host with
     a third of all reports costs a row a task. Returns report_id, lang, confidence (posterior), text_lang,
-    declared, host, accepted. A report is rejected when no letter is in its text or its best posterior is below
-    ``least``; its lang is then "und". Null or empty texts are rejected. Null addresses and sources use the
+    declared, host, accepted. A report is rejected when no letter is in its text, its best posterior is below
+    ``least``, or its text is in none of the languages: stranger to the nearest one than ``STRANGE``, for the
+    posterior is shared among the known languages only. Its lang is then "und". Null or empty texts are rejected. Null addresses and sources use the
     shares of all reports. With no languages given nothing is decided: lang is "und" and accepted is null.
     Rows repeated with one id are judged one by one; other columns are not looked at.
     """
@@ -148,7 +167,7 @@ def identify(reports: DataFrame, labelled: DataFrame, languages: Sequence[str],
     model = spark.sparkContext.broadcast(fit(labelled, languages, sample))
     shape = StructType([
         key, StructField("host", StringType()), StructField("declared", StringType()), StructField("trigrams", LongType()),
-        StructField("scores", ArrayType(DoubleType())),
+        StructField("scores", ArrayType(DoubleType())), StructField("strange", DoubleType()),
     ])
     host = F.coalesce(host_of(F.col("source_file_path").cast("string")), F.col("source").cast("string"))
     scored = reports.select("report_id", "report_text", host.alias("host")).mapInArrow(_scorer(model), shape)
@@ -219,10 +238,11 @@ def identify(reports: DataFrame, labelled: DataFrame, languages: Sequence[str],
         ))
 
     rows = joined.select(
-        "report_id", "trigrams", "declared", "host", once(evidence, decided).alias("d"),
+        "report_id", "trigrams", "strange", "declared", "host", once(evidence, decided).alias("d"),
         F.element_at(names, F.array_position("scores", F.array_max("scores")).cast("int")).alias("by_text"),
     )
-    accepted = (F.col("trigrams") > 0) & (F.col("d.confidence") >= least)
+    known = F.col("strange") <= STRANGE + ROOM / F.greatest("trigrams", F.lit(1))
+    accepted = (F.col("trigrams") > 0) & (F.col("d.confidence") >= least) & known
     return rows.select(
         "report_id", F.when(accepted, F.col("d.best")).otherwise(F.lit(UNKNOWN)).alias("lang"), F.col("d.confidence").alias("confidence"),
         F.when(F.col("trigrams") > 0, F.col("by_text")).alias("text_lang"), "declared", "host", accepted.alias("accepted"),
