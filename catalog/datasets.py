@@ -26,7 +26,7 @@ def scan_labelled(spark, folder):
     """Labelled reports written as CSV and read back by column name."""
     path = f"{scratch(spark)}/labelled"
     WR.write_csv(C.labelled(spark, folder), path)
-    rows = RD.read_labelled(spark, path, multi_line=True)
+    rows = RD.read_labelled(spark, path, quoted=True)
     return rows.select("report_id", F.md5(F.col("report_text").cast("binary")).alias("text_digest"), "sif_precursor", "hazard",
                        "location", "severity", "source")
 
@@ -50,14 +50,14 @@ def _bulk_file(spark, folder):
 @query("scan_reports", _BULK)
 def scan_reports(spark, folder):
     """Bulk scan of a CSV with place, source and self-rating: rows without text are left out, ids are made where there are none."""
-    rows = RD.read_reports(spark, _bulk_file(spark, folder), multi_line=True)
+    rows = RD.read_reports(spark, _bulk_file(spark, folder), quoted=True)
     return rows.select("report_id", F.md5(F.col("report_text").cast("binary")).alias("text_digest"), "location", "source", "severity_self_rated")
 
 
 @query("scan_reports_capped", f"select report_id, text_digest from ({_BULK}) order by report_id, text_digest limit 150")
 def scan_reports_capped(spark, folder):
     """The same scan with the row cap that is the feature here: the first 150 rows with text in order of their id."""
-    rows = RD.read_reports(spark, _bulk_file(spark, folder), multi_line=True).withColumn("text_digest", F.md5(F.col("report_text").cast("binary")))
+    rows = RD.read_reports(spark, _bulk_file(spark, folder), quoted=True).withColumn("text_digest", F.md5(F.col("report_text").cast("binary")))
     return RD.first_reports(rows, 150, "text_digest").select("report_id", "text_digest")
 
 
@@ -68,7 +68,7 @@ def import_tabular(spark, folder):
     path = f"{scratch(spark)}/parts"
     WR.write_csv(C.table(spark, folder, "part").select(
         "p_partkey", "p_name", "p_size", F.when(F.col("p_size") % 4 != 0, F.col("p_brand")).alias("brand")), path)
-    return RD.read_table(spark, path)
+    return RD.read_table(spark, path, quoted=True)
 
 
 @query("import_text_docs", """

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from riskloom.functions import text as tx
 from riskloom.operators.quality import COLUMNS
 from riskloom.schemas import LABELLED
+from riskloom.sources.quoted_csv import read_quoted
 
 # Accepted formats by MIME type and by file extension, and the largest accepted file.
 MIME_FORMATS = {
@@ -21,14 +22,16 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 UNNAMED = "unnamed_file"
 
 
-def _csv(spark: SparkSession, multi_line: bool):
-    """A CSV with a header. Texts with line breaks need ``multi_line``, which makes each file one task."""
-    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("quote", '"')
+def _csv(spark: SparkSession, path: str, quoted: bool) -> DataFrame:
+    """A CSV with a header. Texts with line breaks need ``quoted``, which costs a pass more; both cut large files into many tasks."""
+    if quoted:
+        return read_quoted(spark, path)
+    return spark.read.option("header", True).option("escape", '"').option("quote", '"').csv(path)
 
 
-def read_labelled(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_labelled(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
     """Labelled reports from CSV by column name; a required column that is missing is an error."""
-    raw = _csv(spark, multi_line).csv(path)
+    raw = _csv(spark, path, quoted)
     missing = sorted(set(COLUMNS) - set(raw.columns))
     if missing:
         raise ValueError(f"missing required columns: {missing}")
@@ -36,9 +39,9 @@ def read_labelled(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return raw.select(*[F.col(c).cast(types[c]).alias(c) for c in COLUMNS])
 
 
-def read_reports(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
     """Bulk reports from CSV, with whatever other columns it has; rows without text are skipped."""
-    return usable_reports(_csv(spark, multi_line).csv(path))
+    return usable_reports(_csv(spark, path, quoted))
 
 
 def first_reports(rows: DataFrame, limit: int, *order: str) -> DataFrame:
@@ -58,9 +61,9 @@ def usable_reports(rows: DataFrame) -> DataFrame:
     return kept.withColumn("report_id", F.coalesce(given, made_id(F.col("report_text"))))
 
 
-def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
     """Any CSV as records of text; null becomes empty text."""
-    return _csv(spark, multi_line).csv(path).na.fill("")
+    return _csv(spark, path, quoted).na.fill("")
 
 
 def extension(name: Column) -> Column:
