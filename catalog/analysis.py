@@ -9,10 +9,11 @@ from catalog.shared import decided, joined
 from oracles.base import (
     CTE, FALLBACK, explained as explained_sql, pick, q, say, scored as scored_sql, sql, values,
 )
-from riskloom.functions.lineage import scratch
+from riskloom.functions.lineage import scratch, stored
 from riskloom.functions import text as tx
 from riskloom.operators import extract as X
 from riskloom.operators import explain as E
+from riskloom.operators import phrasebook as PB
 from riskloom.operators import rules as R
 from riskloom.operators import score as SC
 from riskloom.packs import wording as W
@@ -93,6 +94,47 @@ def rule_matches(spark, folder):
     return rows.select("report_id", "rule_id", "severity", joined("signals").alias("signals"))
 
 
+@query("rule_matches_table", sql("""
+select report_id, rule_id, severity, signals from reports join fired on t = report_text"""))
+def rule_matches_table(spark, folder):
+    """The same from a table of rules, as packs of any size are given."""
+    table = spark.createDataFrame(PB.rule_table(DEFAULT_RULES), "rule_pos int, rule_id string, severity int, signals array<string>")
+    rows = PB.match_rule_table(C.reports(spark, folder), table)
+    return rows.select("report_id", "rule_id", "severity", joined("signals").alias("signals"))
+
+
+@query("entity_matches_table", sql("""
+select report_id, kind as entity_type, surface as text, canonical as normalized_value, category, s::int as start_char, e::int as end_char
+from reports join gaz on t = report_text"""))
+def entity_matches_table(spark, folder):
+    """Gazetteer entities from a table of aliases."""
+    rows = PB.match_alias_table(C.reports(spark, folder), X.gazetteer_table(spark))
+    return rows.select("report_id", F.col("kind").alias("entity_type"), "text", F.col("canonical").alias("normalized_value"), "category",
+                       F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+
+
+@query("large_pack_hits", sql("""
+select phrase, sum(n)::bigint as reports, sum(n * k)::bigint as occurrences from (
+  select phrase, n, (length(lt) - length(replace(lt, phrase, ''))) // length(phrase) as k
+  from phrases join (select lower(report_text) as lt, count(*) as n from reports group by 1) on contains(lt, phrase)) group by phrase""", {
+    "phrases": """
+select distinct unnest(list_filter(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), lambda p: length(p) > 3)) as phrase
+from (select string_split(lower(text), ' ') as w from (select text from documents where regexp_full_match(text, '[\\x00-\\x7F]*') union all select report_text from reports))"""}))
+def large_pack_hits(spark, folder):
+    """How often words and word pairs of all plain-letter documents and of all reports, some 100,000 phrases, stand in the reports."""
+    texts = C.table(spark, folder, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("text").unionByName(
+        C.reports(spark, folder).select(F.col("report_text").alias("text")))
+    words = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(F.get(F.col("w"), i), F.lit(" "), x))
+    phrases = texts.select(words.alias("w")).select(F.explode(F.concat("w", pairs)).alias("phrase")).filter(F.length("phrase") > 3).distinct()
+    known = stored(phrases.withColumn("entry", F.monotonically_increasing_id()))
+    hits = PB.phrase_hits(C.reports(spark, folder).select("report_id", "report_text"), known)
+    # A phrase counts once a report, and as often as it stands there.
+    found = hits.select("report_id", F.explode("hits.entry").alias("entry")).groupBy("report_id", "entry").agg(F.count("*").alias("k"))
+    counted = found.groupBy("entry").agg(F.count("*").alias("reports"), F.sum("k").alias("occurrences"))
+    return counted.join(known, "entry").select("phrase", "reports", "occurrences")
+
+
 @query("rule_rollup", sql("""
 select report_id, severity as overall_severity,
   case severity when 0 then 'NONE' when 1 then 'LOW' when 2 then 'MEDIUM' when 3 then 'HIGH' else 'CRITICAL' end as overall_severity_label,
