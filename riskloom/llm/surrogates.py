@@ -86,19 +86,41 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _luhn_sum(digits: Column, odd: int) -> Column:
+    """The sum of the digits modulo 10, every second one doubled: from the last one if ``odd`` is 1, else from the one before it."""
+    each = F.transform(F.reverse(F.split(digits, "")), lambda d, i: _once(d.cast("int"), lambda x: F.when(
+        i % 2 == 1 - odd, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)))
+    return F.aggregate(each, F.lit(0), lambda x, d: x + d) % 10
+
+
+def _mod97(text: Column) -> Column:
+    """Digits and capitals (A is 10, Z is 35) read as one number, modulo 97."""
+    def add(x: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (x * 10 + F.ascii(c) - 48) % 97).otherwise((x * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
 def pieces(text: Column) -> Column:
     """The text as an array of (kind, value, rest): an entity and what follows it; the first has no entity."""
     marked = F.regexp_replace(_escaped(text), F.lit(_PATTERN), F.lit(_OPEN + _NEXT.join(f"${{{kind}}}" for kind in KINDS) + _CLOSE))
     kinds = F.array(*[F.lit(kind) for kind in KINDS])
 
+    def checked(piece: Column) -> Column:
+        """A run of digits or letters that only looks like a number with check digits is text."""
+        plain = F.regexp_replace(piece["value"], "[ -]", "")
+        turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+        wrong = F.when(piece["kind"] == "card", _luhn_sum(plain, 0) != 0).when(piece["kind"] == "iban", _mod97(turned) != 1).otherwise(False)
+        return F.when(wrong, F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"), F.concat(piece["value"], piece["rest"]).alias("rest"))).otherwise(piece)
+
     def entity(part: Column, index: Column) -> Column:
         head = F.when(index > 0, F.substring_index(part, _CLOSE, 1)).otherwise(F.lit(""))
-        return _once(head, lambda h: F.struct(
+        return _once(_once(head, lambda h: F.struct(
             # The field that is filled tells the kind: it has as many separators before it.
             F.when(index > 0, F.element_at(kinds, F.length(F.regexp_extract(h, f"^{_NEXT}*", 0)) + 1)).alias("kind"),
             F.replace(h, F.lit(_NEXT), F.lit("")).alias("value"),
             F.when(index > 0, F.substring(part, F.length(h) + 2, F.length(part))).otherwise(part).alias("rest"),
-        ))
+        )), checked)
 
     return F.transform(F.split(marked, _OPEN), entity)
 
@@ -107,12 +129,12 @@ def _titles() -> Column:
     return F.array(*[F.lit(t) for names in TITLES.values() for t in names])
 
 
-def _rotated(key: str) -> Column:
-    """Given name to given name: each list is turned by a number of places that the key decides, never by none."""
+def _exchanged(key: str) -> Column:
+    """Given name to given name: each list is one ring in an order that the key decides, and every name gives way to the next in it."""
     pairs = []
     for names in GIVEN.values():
-        turn = 1 + int(hashlib.sha256(f"{key}|given|{names[0]}".encode()).hexdigest(), 16) % (len(names) - 1)
-        pairs += [F.lit(x) for k, name in enumerate(names) for x in (name, names[(k + turn) % len(names)])]
+        ring = sorted(names, key=lambda name: hashlib.sha256(f"{key}|given|{name}".encode()).hexdigest())
+        pairs += [F.lit(x) for k, name in enumerate(ring) for x in (name, ring[(k + 1) % len(ring)])]
     return F.create_map(*pairs)
 
 
@@ -156,9 +178,12 @@ def surrogate(key: str, unit: Column, attempt: Column) -> Column:
 
     def luhn(body: Column) -> Column:
         """The digits and their check digit."""
-        digits = F.transform(F.reverse(F.split(body, "")), lambda d, i: F.when(
-            i % 2 == 0, (d.cast("int") * 2) - F.when(d.cast("int") > 4, 9).otherwise(0)).otherwise(d.cast("int")))
-        return F.concat(body, ((10 - F.aggregate(digits, F.lit(0), lambda x, d: x + d) % 10) % 10).cast("string"))
+        return F.concat(body, ((10 - _luhn_sum(body, 1)) % 10).cast("string"))
+
+    def iban(country: Column, body: Column) -> Column:
+        """The account under the country, with its two check digits."""
+        check = F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
 
     def syllables(hexed: Column) -> Column:
         script = {"cyrillic": value.rlike(r"\p{IsCyrillic}"), "greek": value.rlike(r"\p{IsGreek}")}
@@ -174,7 +199,7 @@ def surrogate(key: str, unit: Column, attempt: Column) -> Column:
             .when(kind == "address", F.concat_ws(".", number(hexed, 0, 15) + 240, number(hexed, 1, 256), number(hexed, 2, 256), number(hexed, 3, 254) + 1))
             .when(kind == "card", luhn(F.concat(head, formed(hexed, F.substring(value, F.lit(2), F.length(value) - 2)))))
             .when(kind == "key", F.concat(F.substring(value, 1, 4), formed(hexed, F.substring(value, F.lit(5), F.length(value)))))
-            .when(kind == "iban", F.concat(F.substring(value, 1, 2), formed(hexed, F.substring(value, F.lit(3), F.length(value)))))
+            .when(kind == "iban", iban(F.substring(value, 1, 2), formed(hexed, F.substring(value, F.lit(5), F.length(value)))))
             .when((kind == "phone") & F.startswith(value, F.lit("+")), F.concat(F.substring(value, 1, 2), formed(hexed, F.substring(value, F.lit(3), F.length(value)))))
             .otherwise(formed(hexed, value))
         )
@@ -236,8 +261,8 @@ def replace_personal(reports: DataFrame, key: str, attempts: int = ATTEMPTS) ->
 
     Entities are e-mail addresses, quoted secrets, access keys, bank and card numbers, network addresses, phone
     and social security numbers, and persons (a title or a known given name and what follows it). A surrogate has
-    the form of the original: digits for digits, letters for letters, the same separators, a valid check digit
-    for cards, a given name of the same gender and script, syllables of the same script for other names, titles
+    the form of the original: digits for digits, letters for letters, the same separators, valid check digits
+    for cards and bank numbers (numbers without them are no entities), a given name of the same gender and script, syllables of the same script for other names, titles
     unchanged. Equal entities have equal surrogates in all reports, whatever their separators or case; a family
     name keeps its surrogate with and without title or given name. Different ones differ, and none occurs as
     an entity of the reports (see ``assigned``). Nothing leaves the JVM: texts without a sign of an entity are
@@ -254,7 +279,7 @@ def replace_personal(reports: DataFrame, key: str, attempts: int = ATTEMPTS) ->
     mentioned = stored(held.select("digest", F.explode(F.flatten(F.transform("pieces", units))).alias("unit")).distinct())
     table = assigned(stored(mentioned.select("unit").distinct()), key, attempts)
     entries = mentioned.join(table, "unit").groupBy("digest").agg(F.collect_set(F.struct("unit", "surrogate")).alias("entries"))
-    given = _rotated(key)
+    given = _exchanged(key)
 
     def text(table: Column) -> Column:
         return F.array_join(F.transform("pieces", lambda p: F.concat(

@@ -79,3 +79,39 @@ def test_awkward_rows(spark):
 def test_equal_texts_are_treated_alike(spark):
     got = replace_personal(reports(spark, [(k, "Ring +49 171 2345678.") for k in range(40)]), "k")
     assert got.select("report_text").distinct().count() == 1 and got.filter(F.size("kinds") == 1).count() == 40
+
+
+def checks(number):
+    digits = [int(c) for c in number[::-1]]
+    return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+
+def remainder(number):
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+
+
+def test_numbers_without_check_digits_are_text(spark):
+    """Order numbers and time stamps stay; cards and bank numbers go, and what comes for them is as valid."""
+    cards, plain = ["4785380592391139", "4539578763621486", "6011000990139424", "378282246310005"], ["4785380592391138", "1700000000001", "20240117093000124"]
+    banks, odd = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"], ["DE88370400440532013000", "GB82WEST12345698765433"]
+    assert all(map(checks, cards)) and not any(map(checks, plain)) and {*map(remainder, banks)} == {1} and 1 not in {*map(remainder, odd)}
+    rows = [(k, f"No. {n} paid.") for k, n in enumerate([*cards, *plain, *banks, *odd])]
+    got = replaced(spark, rows)
+    for k, n in enumerate([*cards, *plain, *banks, *odd]):
+        new = got[k].report_text.split()[1]
+        if n in plain + odd:
+            assert got[k].report_text == rows[k][1] and got[k].kinds == []
+        else:
+            assert new != n and len(new) == len(n) and got[k].kinds == ["card" if n in cards else "iban"]
+            assert checks(new) if n in cards else remainder(new) == 1 and new[:2] == n[:2]
+
+
+def test_other_keys_exchange_names_in_other_orders(spark):
+    """Knowing what one name became does not tell what the others did."""
+    names = [n for n in GIVEN["latin", "f"]]
+    rows = [(k, f"Seen by {n} Testing.") for k, n in enumerate(names)]
+    steps = set()
+    for key in ("k1", "k2"):
+        got = replaced(spark, rows, key)
+        steps |= {(names.index(got[k].report_text.split()[2]) - k) % len(names) for k in range(len(names))}
+    assert len(steps) > 10
