@@ -26,8 +26,8 @@ ODD_BASE, BASE, PRIME, WIDTH = 0xD1342543DE82EF95, 911382323, 2147483647, 64
 SLICE = 900_000
 #: Bits of the table that tells which shorter phrases may be frequent: 4 MB whatever the data. A full table only prunes less.
 TABLE = 25
-#: Shares of the candidates of one kind that are ranked apart at first.
-SHARES = 16
+#: Steps of the score for each doubling, by which candidates are counted before they are ranked.
+STEPS = 16
 #: A pointer is 33 bits of a report's digest and the number of a word in it.
 PLACE = 30
 
@@ -346,10 +346,13 @@ def _ranked(scored: DataFrame, found: DataFrame, first: int, absorbed: int) -> D
     covered = found.select("report_type", "phrase", "a", own_print.alias("o")).select(
         "report_type", "phrase", "a", F.col("o.address").alias("address"), F.col("o.mark").alias("mark")
     ).join(longer, ["report_type", "address", "mark"]).filter(F.col("longer") * 100 >= F.col("a") * absorbed)
-    left = scored.join(covered.select("report_type", "phrase"), ["report_type", "phrase"], "left_anti")
+    left = stored(scored.join(covered.select("report_type", "phrase"), ["report_type", "phrase"], "left_anti"))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    # A kind may have most candidates: its first ones are among the first of each share.
-    left = left.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
-    within = left.withColumn("rank", F.row_number().over(Window.partitionBy("report_type", "share").orderBy(*order))).filter(F.col("rank") <= first)
+    # A kind may have most candidates. Its first ones lie above a step of the score that is found from counts by step, a few hundred a kind.
+    left = left.withColumn("step", F.floor(F.log2(F.col("score") + 1) * STEPS))
+    steps = left.groupBy("report_type", "step").agg(F.count("*").alias("number"))
+    above = F.sum("number").over(Window.partitionBy("report_type").orderBy(F.desc("step"))) - F.col("number")
+    ends = steps.withColumn("above", above).filter(F.col("above") < first).groupBy("report_type").agg(F.min("step").alias("end"))
+    within = left.join(ends, "report_type").filter("step >= end")
     ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("report_type").orderBy(*order)).cast("long")).filter(F.col("rank") <= first)
     return ranked.select("report_type", "rank", "phrase", "a", "l", "r", "n", "score")
