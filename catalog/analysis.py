@@ -13,6 +13,8 @@ from riskloom.functions.lineage import scratch, stored
 from riskloom.functions import text as tx
 from riskloom.operators import extract as X
 from riskloom.operators import explain as E
+from riskloom.operators import learn as L
+from riskloom.operators import models as M
 from riskloom.operators import phrasebook as PB
 from riskloom.operators import rules as R
 from riskloom.operators import score as SC
@@ -380,6 +382,25 @@ def decide(spark, folder):
     )
 
 
+@query("decide_modelled", sql("select report_id, sif_probability, priority, priority_score from reports join modelled on t = report_text", {
+    "worded": r"select t, severity >= 3 as flag, n, unnest(regexp_extract_all(lower(t), '\w\w+')) as word from rollup join (select report_text as t, count(*) as n from reports group by 1) using (t)",
+    "odds": "select word, ln((1.0::double + sum(n) filter (flag)) / (1.0::double + sum(n) filter (not flag))) as weight from (select word, flag, n from worded union all select distinct word, true, 0 from worded union all select distinct word, false, 0 from worded) group by word",
+    "means": "select t, 1 / (1 + exp(-avg(weight))) as p from worded join odds using (word) group by t",
+    "modelled": scored_sql("select context.*, rollup.* exclude (t), p from context join rollup using (t) left join means using (t)",
+                           "case when regexp_full_match(t, '\\s*') then 0.0::double else coalesce(p, 0.5::double) end", "null"),
+}))
+def decide_modelled(spark, folder):
+    """Decisions with the probabilities of an external model: here word weights counted on all reports, asked text by text in the workers."""
+    flags = R.match_rules(C.reports(spark, folder)).select("report_text", (F.col("overall_severity") >= 3).alias("flag"))
+    words = flags.select("flag", F.explode(F.regexp_extract_all(F.lower("report_text"), F.lit(r"\w\w+"), F.lit(0))).alias("word"))
+    odds = words.groupBy("word").agg(F.log((1.0 + F.count_if("flag")) / (1.0 + F.count_if(~F.col("flag")))).alias("weight"), F.count("*").alias("n"))
+    # A vocabulary of the usual size.
+    weights = {r["word"]: r["weight"] for r in odds.orderBy(F.desc("n"), "word").limit(L.MAX_FEATURES).collect()}
+    score = M.text_scorer(M.word_odds(weights))
+    rows = decided(spark, folder, probability=F.coalesce(score(F.col("report_text")), F.lit(0.0)))
+    return rows.select("report_id", "sif_probability", "priority", "priority_score")
+
+
 @query("decide_batch", sql("""
 select report_id, report_text, priority, printf('%.4f', priority_score) as priority_score, printf('%.4f', sif_probability) as sif_probability,
   coalesce(activity, '') as decision_activity, coalesce(hazard, '') as decision_hazard, coalesce(barrier, '') as decision_barrier,

@@ -10,6 +10,7 @@ from catalog.records import UPSERTED
 from oracles.base import CTE, q, say, sql
 from riskloom.functions import vectors as VX
 from riskloom.functions.lineage import scratch, stored
+from riskloom.operators import models as M
 from riskloom.operators import patterns as PT
 from riskloom.operators import persist as P
 from riskloom.operators import similar as SIM
@@ -68,6 +69,13 @@ def similar_topk(spark, folder):
     return SIM.similar_reports(C.reports(spark, folder), block_rows=BLOCK)
 
 
+@query("similar_embedded", sql("select report_id, similar_id, similarity, rank::int as rank from neighbours", _TOPK))
+def similar_embedded(spark, folder):
+    """The same with vectors that an external model makes in the workers."""
+    embed = M.text_embedder(lambda: M.hashed())
+    return SIM.similar_reports(C.reports(spark, folder), embedding=embed(F.col("text")), block_rows=BLOCK)
+
+
 @query("mean_similarity", sql("select report_id, round(avg(similarity), 4) as mean_similarity, count(*) as neighbours from neighbours group by 1", _TOPK))
 def mean_similarity(spark, folder):
     return SIM.mean_similarity(SIM.similar_reports(C.reports(spark, folder), block_rows=BLOCK))
