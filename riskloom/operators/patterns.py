@@ -17,6 +17,8 @@ from riskloom.packs import wording as W
 
 # Vector sums (3 KB each) that a task holds, or that are sent to every task.
 SUMS = 2_000
+# Microseconds of a day.
+DAY = 86_400_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,11 +125,17 @@ def trend(rows: DataFrame, group: str = "cluster", at: str = "created_at") -> Da
     dated = times.filter(F.col("us").isNotNull())
     ends = times.groupBy(group).agg(
         F.min("us").alias("lo"), F.max("us").alias("hi"), F.coalesce(F.sum(F.when(F.col("us").isNotNull(), F.col("n"))), F.lit(0)).alias("dated")
-    ).withColumn("span_days", F.coalesce(F.floor((F.col("hi") - F.col("lo")) / 86400000000), F.lit(0)))
+    ).withColumn("span_days", F.coalesce(F.floor((F.col("hi") - F.col("lo")) / DAY), F.lit(0)))
     mid = (F.col("lo") + F.col("hi")) / 2
-    halves = dated.join(ends.select(group, mid.alias("mid")), group).groupBy(group).agg(
-        F.coalesce(F.sum(F.when(F.col("us") <= F.col("mid"), F.col("n"))), F.lit(0)).alias("first_half"),
-        F.coalesce(F.sum(F.when(F.col("us") > F.col("mid"), F.col("n"))), F.lit(0)).alias("second_half"),
+    of_day = F.floor(F.col("us") / DAY)
+    split = ends.select(group, mid.alias("mid"), F.floor(mid / DAY).alias("mid_day"))
+    # Whole days are added up before they meet their group; single moments are looked at on the day of the midpoint only.
+    whole = dated.groupBy(group, of_day.alias("day")).agg(F.sum("n").alias("n")).join(split, group).filter(F.col("day") != F.col("mid_day"))
+    beside = dated.withColumn("mid_day", of_day).join(split, [group, "mid_day"])
+    halves = whole.select(group, "n", (F.col("day") < F.col("mid_day")).alias("early")).unionByName(
+        beside.select(group, "n", (F.col("us") <= F.col("mid")).alias("early"))).groupBy(group).agg(
+        F.coalesce(F.sum(F.when(F.col("early"), F.col("n"))), F.lit(0)).alias("first_half"),
+        F.coalesce(F.sum(F.when(~F.col("early"), F.col("n"))), F.lit(0)).alias("second_half"),
     )
     days = dated.groupBy(group, F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("day")).agg(F.sum("n").alias("n"))
     # One entry per calendar day: bounded by the days of the span.
