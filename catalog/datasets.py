@@ -95,15 +95,12 @@ def _documents(spark, folder):
 
 
 @query("dq_columns", """
-select side, name from (values ('missing', 'activity'), ('missing', 'barrier'), ('missing', 'hazard'), ('missing', 'location'),
-  ('missing', 'report_id'), ('missing', 'report_text'), ('missing', 'severity'), ('missing', 'sif_precursor'),
-  ('extra', 'doc_id'), ('extra', 'lang'), ('extra', 'n_chars'), ('extra', 'text')) v(side, name)
-where exists (select 1 from documents)""")
+select 'missing' as side, unnest(['activity', 'barrier', 'hazard', 'location', 'report_id', 'report_text', 'severity', 'sif_precursor']) as name, 0::bigint as filled
+union all select 'extra', 'doc_id', count(doc_id) from documents union all select 'extra', 'lang', count(lang) from documents
+union all select 'extra', 'n_chars', count(n_chars) from documents union all select 'extra', 'text', count(text) from documents""")
 def dq_columns(spark, folder):
-    """Columns of the documents table against those of a labelled report."""
-    difference = Q.column_difference(_documents(spark, folder).columns)
-    rows = [F.struct(F.lit(side).alias("side"), F.lit(n).alias("name")) for side, names in difference.items() for n in names]
-    return _documents(spark, folder).agg(F.count("*").alias("n")).filter("n > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Columns that the documents lack, and columns beyond those asked for with the number of rows that have them filled."""
+    return Q.column_report(_documents(spark, folder))
 
 
 @query("dq_missing", sql("""

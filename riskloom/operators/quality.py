@@ -28,6 +28,16 @@ def column_difference(present: Sequence[str], required: Sequence[str] = COLUMNS)
     return {"missing": sorted(set(required) - set(present)), "extra": sorted(set(present) - set(required))}
 
 
+def column_report(rows: DataFrame, required: Sequence[str] = COLUMNS) -> DataFrame:
+    """(side, name, filled): missing columns, and extra ones with the number of rows in which they have a value. One pass over the extra columns."""
+    found = column_difference(rows.columns, required)
+    missing = [F.struct(F.lit("missing").alias("side"), F.lit(n).alias("name"), F.lit(0).cast("long").alias("filled")) for n in found["missing"]]
+    extra = [F.struct(F.lit("extra").alias("side"), F.lit(n).alias("name"), F.col(f"n{k}").alias("filled")) for k, n in enumerate(found["extra"])]
+    counted = rows.agg(F.count("*").alias("rows"), *[F.count(F.col(n)).alias(f"n{k}") for k, n in enumerate(found["extra"])])
+    empty = F.array().cast("array<struct<side:string,name:string,filled:bigint>>")
+    return counted.select(F.explode(F.array(*missing, *extra) if missing or extra else empty).alias("r")).select("r.*")
+
+
 def missing_values(rows: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
     """Null count per column; blank text counts as missing too. One pass for all columns."""
     counts = rows.agg(

@@ -145,3 +145,12 @@ def test_point_lookup_reaches_the_scans(spark):
 
     plan = entry.queries()["report_by_id"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(o_orderkey,1234)") >= 2
+
+
+def test_columns_that_are_missing_and_extra(spark):
+    from riskloom.operators import quality as Q
+
+    rows = spark.createDataFrame([("A", 1, None), ("B", None, None)], "report_id string, extra int, other string")
+    got = {(r.side, r.name): r.filled for r in Q.column_report(rows, ["report_id", "report_text"]).collect()}
+    assert got == {("missing", "report_text"): 0, ("extra", "extra"): 1, ("extra", "other"): 0}
+    assert Q.column_report(rows, rows.columns).count() == 0 and Q.column_report(rows.limit(0), ["report_id"]).count() == 2
