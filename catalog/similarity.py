@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog import query
 from catalog import shared as S
@@ -17,6 +18,7 @@ from riskloom.operators import similar as SIM
 from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
 from riskloom.schemas import INTAKE
+from riskloom.streaming import pattern_stream as PS
 from riskloom.streaming import triage_stream as TS
 from riskloom.streaming.keyed_table import LOAD, KeyedTable
 
@@ -160,16 +162,19 @@ _advice = "case " + " ".join(
 ) + f" else {say(W.RECOMMENDATION_OTHER, activity='activity_', barrier='failure_')} end"
 
 
-@query("semantic_patterns", sql(f"""
+_PATTERNS = sql(f"""
 select 'PAT-SEM-' || lpad((row_number() over (order by number_of_reports desc, root))::varchar, 3, '0') as pattern_id, number_of_reports, activity_ as common_activity,
   hazard_ as common_hazard, failure_ as common_barrier_failure, {_advice} as recommended_action, representative_text, average_similarity
 from (select root, count(*) as number_of_reports, {_mode('activity', W.COMMON_DEFAULTS['activity'])} as activity_,
     {_mode('hazard', W.COMMON_DEFAULTS['hazard'])} as hazard_, {_mode('failure', W.COMMON_DEFAULTS['barrier'])} as failure_
-  from members m group by root) join cohesion using (root)""", _CLOSE, ("reach",)))
+  from members m group by root) join cohesion using (root)""", _CLOSE, ("reach",))
+_PATTERN_COLUMNS = ("pattern_id", "number_of_reports", "common_activity", "common_hazard", "common_barrier_failure", "recommended_action", "representative_text", "average_similarity")
+
+
+@query("semantic_patterns", _PATTERNS)
 def semantic_patterns(spark, folder):
     patterns, _ = PT.semantic_patterns(_analysed(spark, folder), block_rows=BLOCK)
-    return patterns.select("pattern_id", "number_of_reports", "common_activity", "common_hazard", "common_barrier_failure",
-                           "recommended_action", "representative_text", "average_similarity")
+    return patterns.select(*_PATTERN_COLUMNS)
 
 
 _TREND_SQL = """
@@ -281,3 +286,15 @@ def stream_upserts(spark, folder):
         stream = spark.readStream.schema(first.schema).parquet(f"{base}/in")
         TS.start_upserts(stream, table, f"{base}/progress", once=True).awaitTermination()
     return table.read().select("report_id", "report_text", "location", "report_type", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("stream_patterns", _PATTERNS)
+def stream_patterns(spark, folder):
+    """The recurring patterns of all reports, kept up to date by a stream to which the analysed reports come in groups of all dates."""
+    base, schema = scratch(spark), StructType.fromDDL(PS.ANALYSED)
+    rows = _analysed(spark, folder).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("pos", F.col("pos").cast("long"))
+    landed, tables = stored(rows.select(*schema.names)), PS.PatternTables(spark, f"{base}/patterns", buckets=16, block_rows=BLOCK)
+    for group in range(GROUPS):
+        landed.filter(F.pmod(F.xxhash64("pos"), F.lit(GROUPS)) == group).write.mode("append").parquet(f"{base}/in")
+        PS.start_patterns(spark.readStream.schema(schema).parquet(f"{base}/in"), tables, f"{base}/progress", once=True).awaitTermination()
+    return tables.ranked().select(*_PATTERN_COLUMNS)

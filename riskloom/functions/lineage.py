@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +32,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_scope = threading.local()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables in the shared folder; :func:`release` deletes it."""
-    _made.append(f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A new folder for intermediate tables in the shared folder; :func:`release` or the end of its scope deletes it."""
+    made = getattr(_scope, "made", _made)
+    made.append(f"{shared_folder(spark)}/riskloom-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that this thread makes inside are deleted at the end: for batches of a stream that runs for long."""
+    before, _scope.made = getattr(_scope, "made", _made), []
+    try:
+        yield
+    finally:
+        made, _scope.made = _scope.made, before
+        _delete(spark, made)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables made so far; frames that still read them must not be used any more."""
+    return _delete(spark, _made)
+
+
+def _delete(spark: SparkSession, made: list[str]) -> int:
     deleted, hadoop = 0, spark._jvm.org.apache.hadoop.fs
-    while _made:
-        path = hadoop.Path(_made.pop())
+    while made:
+        path = hadoop.Path(made.pop())
         deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return deleted
 

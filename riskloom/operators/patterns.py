@@ -102,9 +102,11 @@ def cohesion(clustered: DataFrame) -> DataFrame:
 
 def common(rows: DataFrame, column: str, name: str, default: str, order: str = "pos") -> DataFrame:
     """The most frequent value per cluster, the one seen first among equals, or the default."""
-    counts = rows.groupBy("cluster", F.col(column).alias("value")).agg(
-        F.count("*").alias("n"), F.min(order).alias("seen")
-    )
+    return most_common(rows.groupBy("cluster", F.col(column).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("seen")), name, default)
+
+
+def most_common(counts: DataFrame, name: str, default: str) -> DataFrame:
+    """The same from counts (cluster, value, n, seen)."""
     # Null values count for nothing but keep their cluster in the result.
     rank = F.when(F.col("value").isNotNull(), F.struct(F.col("n"), -F.col("seen")))
     return counts.groupBy("cluster").agg(
@@ -119,9 +121,13 @@ def trend(rows: DataFrame, group: str = "cluster", at: str = "created_at") -> Da
     most two rows, or of less than a day, are isolated.
     """
     # Counts per moment, written once: every figure below comes from them and not from the reports.
-    times = checkpointed(
+    return trend_of(checkpointed(
         rows.groupBy(group, F.unix_micros(F.col(at).cast("timestamp")).alias("us")).agg(F.count("*").alias("n"))
-    )
+    ), group)
+
+
+def trend_of(times: DataFrame, group: str = "cluster") -> DataFrame:
+    """The same from a table of counts per moment (group, us, n), which is read several times."""
     dated = times.filter(F.col("us").isNotNull())
     ends = times.groupBy(group).agg(
         F.min("us").alias("lo"), F.max("us").alias("hi"), F.coalesce(F.sum(F.when(F.col("us").isNotNull(), F.col("n"))), F.lit(0)).alias("dated")
@@ -194,31 +200,38 @@ def semantic_patterns(reports: DataFrame, threshold: float = 0.60, min_size: int
     clustered = checkpointed(
         text_clusters(reports, threshold, min_size, embedding=embedding, block_rows=block_rows)
     )
-    failure = F.when(
-        F.col("barrier").isNotNull(),
-        F.concat("barrier", F.lit(" ("), F.coalesce("barrier_status", F.lit(W.COMMON_DEFAULTS["status"])), F.lit(")")),
-    )
     # Written once: the figures below read it several times.
     rows = checkpointed(
         members(reports, clustered)
-        .select("cluster", "report_id", "pos", "created_at", "activity", "hazard", failure.alias("barrier_failure"))
+        .select("cluster", "report_id", "pos", "created_at", "activity", "hazard", barrier_failure().alias("barrier_failure"))
     )
     base = clustered.groupBy("cluster").agg(F.max("size").alias("number_of_reports"), F.min("first").alias("first"))
-    stats = (
-        base.join(cohesion(clustered), "cluster")
-        .join(common(rows, "activity", "common_activity", W.COMMON_DEFAULTS["activity"]), "cluster")
-        .join(common(rows, "hazard", "common_hazard", W.COMMON_DEFAULTS["hazard"]), "cluster")
-        .join(common(rows, "barrier_failure", "common_barrier_failure", W.COMMON_DEFAULTS["barrier"]), "cluster")
-        .join(trend(rows), "cluster")
-        .withColumn(
-            "recommended_action",
-            recommendation(F.col("common_hazard"), F.col("common_barrier_failure"), F.col("common_activity")),
-        )
-    )
+    shared = [common(rows, column, name, W.COMMON_DEFAULTS[kind]) for column, name, kind in COMMON]
+    ranked = ranked_patterns(advised(base, cohesion(clustered), trend(rows), *shared))
+    listed = rows.select("cluster", "report_id").join(ranked.select("cluster", "pattern_id"), "cluster").select("pattern_id", "report_id")
+    return ranked.drop("cluster", "first"), listed
+
+
+#: What is counted of the reports of a pattern, what the most frequent value is called, and the default for it.
+COMMON = (("activity", "common_activity", "activity"), ("hazard", "common_hazard", "hazard"), ("barrier_failure", "common_barrier_failure", "barrier"))
+
+
+def barrier_failure() -> Column:
+    """Barrier and status of an analysed report as one text; null without a barrier."""
+    status = F.coalesce("barrier_status", F.lit(W.COMMON_DEFAULTS["status"]))
+    return F.when(F.col("barrier").isNotNull(), F.concat("barrier", F.lit(" ("), status, F.lit(")")))
+
+
+def advised(base: DataFrame, *figures: DataFrame) -> DataFrame:
+    """A row per cluster with all figures, and the advice that follows from them."""
+    for figure in figures:
+        base = base.join(figure, "cluster")
+    advice = recommendation(F.col("common_hazard"), F.col("common_barrier_failure"), F.col("common_activity"))
+    return base.withColumn("recommended_action", advice)
+
+
+def ranked_patterns(stats: DataFrame) -> DataFrame:
+    """Patterns with an id by their rank: the largest first, of equal ones the one seen first."""
     ranked = numbered(stats, [F.desc("number_of_reports"), F.asc("first")], "pattern_number")
-    patterns = ranked.withColumn(
-        "pattern_id",
-        F.concat(F.lit("PAT-SEM-"), F.lpad(F.col("pattern_number").cast("string"), F.greatest(F.lit(3), F.length(F.col("pattern_number").cast("string"))), F.lit("0"))),
-    )
-    listed = rows.select("cluster", "report_id").join(patterns.select("cluster", "pattern_id"), "cluster").select("pattern_id", "report_id")
-    return patterns.drop("cluster", "first", "pattern_number"), listed
+    number = F.col("pattern_number").cast("string")
+    return ranked.withColumn("pattern_id", F.concat(F.lit("PAT-SEM-"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))).drop("pattern_number")

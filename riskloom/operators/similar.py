@@ -65,42 +65,62 @@ def _far_apart(unit: np.ndarray, wanted: int) -> np.ndarray:
     return unit[chosen]
 
 
-def _paired(vectors: DataFrame, threshold: float, block_rows: int, only: str | None = None) -> DataFrame:
-    """Rows beside all those they can be similar to: tagged with the group in which they meet them.
-
-    A row is ``home`` in the groups of its own block and a column (``beside``) in every group it may be similar to a member of;
-    for each home row the columns of its groups hold all that can reach the threshold, each once. ``only`` names a
-    boolean column: just those rows become columns. Blocks of more than ``block_rows`` rows are cut on both sides.
-    Zero vectors, which are similar to nothing, drop out. The pivots are taken, far apart, from the rows that come first by hash.
-    """
+def reach_of(threshold: float) -> float:
+    """The angle within which vectors can be similar; thresholds are tested after rounding to four decimals."""
     if threshold <= 0:
         raise ValueError("a threshold above 0 is needed to leave pairs out")
-    real = vectors.filter(F.exists("vec", lambda x: x != 0))
-    n = real.count()
-    wanted = min(PIVOTS, max(1, -(-n // block_rows)))
-    pivots = _far_apart(_unit(real.select("vec").orderBy(F.xxhash64("vid")).limit(4 * wanted).toPandas()), wanted)
-    reach = float(np.arccos(min(1.0, threshold - 1e-4))) + SLACK  # thresholds are tested after rounding to four decimals
-    kept = [c for c in ("vid", "vec", "first", only) if c]
-    shape = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
+    return float(np.arccos(min(1.0, threshold - 1e-4))) + SLACK
+
+
+def far_pivots(real: DataFrame, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` and :data:`PIVOTS` unit vectors, far apart, from the rows that come first by hash."""
+    wanted = min(PIVOTS, wanted)
+    return _far_apart(_unit(real.select("vec").orderBy(F.xxhash64("vid")).limit(4 * wanted).toPandas()), wanted)
+
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shape(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add ``block``, the number of the nearest pivot, and ``angle``, how far away it is."""
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 angle = _angles(_unit(pdf), pivots)
                 yield pdf.assign(block=angle.argmin(axis=1).astype("int32"), angle=angle.min(axis=1))
 
-    placed = stored(real.select(*kept).mapInPandas(place, f"{shape}, block int, angle double"))
-    # A row per pivot.
-    sizes = {r["block"]: r for r in placed.groupBy("block").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
-    radius = np.array([sizes[b]["radius"] if b in sizes else -np.inf for b in range(len(pivots))])
+    return rows.mapInPandas(near, f"{_shape(rows)}, block int, angle double")
+
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def visit(rows: DataFrame, pivots: np.ndarray, radius: np.ndarray, reach: float) -> DataFrame:
+    """Add ``visited``, the blocks that can hold a vector within ``reach``; ``radius`` is that of each block, -inf if it is empty."""
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 near = _angles(_unit(pdf), pivots) <= radius + reach + SLACK
                 yield pdf.assign(visited=[np.flatnonzero(row).astype("int32") for row in near])
 
-    met = placed.select(*kept, "block").mapInPandas(visit, f"{shape}, block int, visited array<int>")
+    return rows.mapInPandas(met, f"{_shape(rows)}, visited array<int>")
+
+
+def _paired(vectors: DataFrame, threshold: float, block_rows: int, only: str | None = None) -> DataFrame:
+    """Rows beside all those they can be similar to: tagged with the group in which they meet them.
+
+    A row is ``home`` in the groups of its own block and a column (``beside``) in every group it may be similar to a member of;
+    for each home row the columns of its groups hold all that can reach the threshold, each once. ``only`` names a
+    boolean column: just those rows become columns. Blocks of more than ``block_rows`` rows are cut on both sides.
+    Zero vectors, which are similar to nothing, drop out. The pivots are taken, far apart, from the rows that come first by hash.
+    """
+    reach = reach_of(threshold)
+    real = vectors.filter(F.exists("vec", lambda x: x != 0))
+    pivots = far_pivots(real, max(1, -(-real.count() // block_rows)))
+    kept = [c for c in ("vid", "vec", "first", only) if c]
+    placed = stored(place(real.select(*kept), pivots))
+    # A row per pivot.
+    sizes = {r["block"]: r for r in placed.groupBy("block").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    radius = np.array([sizes[b]["radius"] if b in sizes else -np.inf for b in range(len(pivots))])
+    met = visit(placed.select(*kept, "block"), pivots, radius, reach)
     parts = F.element_at(F.array(*[F.lit(-(-sizes[b]["n"] // block_rows) if b in sizes else 1) for b in range(len(pivots))]), F.col("at") + 1)
     hashed = F.pmod(F.xxhash64("vid"), parts).cast("int")
     every = F.sequence(F.lit(0), parts - 1)
@@ -240,12 +260,8 @@ def rescale(similarity: Column) -> Column:
     )
 
 
-def edges(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges that connect exactly what the pairs with cosine >= threshold connect.
-
-    Each group returns a spanning forest of its own similar pairs: fewer edges than rows, however
-    many pairs there are. The union of the forests has the same components as all pairs together.
-    """
+def _forests(paired: DataFrame, threshold: float) -> DataFrame:
+    """A spanning forest of the similar pairs of each group: fewer edges than rows, however many pairs there are."""
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["home"]], pdf[~pdf["home"]]
@@ -268,5 +284,35 @@ def edges(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) ->
                         group[np.isin(group, joined)] = joined.min()
         return pd.DataFrame(kept, columns=["src", "dst"])
 
-    vid = vectors.schema["vid"].dataType.simpleString()
-    return _paired(vectors, threshold, block_rows).groupBy(*_GROUP).applyInPandas(forest, f"src {vid}, dst {vid}")
+    vid = paired.schema["vid"].dataType.simpleString()
+    return paired.groupBy(*_GROUP).applyInPandas(forest, f"src {vid}, dst {vid}")
+
+
+def edges(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges that connect exactly what the pairs with cosine >= threshold connect.
+
+    Each group returns a spanning forest of its own similar pairs. The union of the forests has the same components as all pairs together.
+    """
+    return _forests(_paired(vectors, threshold, block_rows), threshold)
+
+
+def edges_between(met: DataFrame, known: DataFrame, sizes: dict[int, int], threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges from new vectors to the groups of known ones that have a vector with cosine >= threshold.
+
+    ``met`` has vid, vec and the blocks ``visited``; ``known`` has vid, vec, ``block`` and ``grp``, with ``sizes`` rows a block. What an edge
+    ends in is the group, so a task returns one edge from a vector to a group at most. Large blocks are cut on both sides.
+    """
+    asking = stored(met.select("vid", "vec", F.explode("visited").alias("at")))
+    # A row per block.
+    asked = {r["at"]: r["count"] for r in asking.groupBy("at").count().collect()}
+
+    def cut(counts: dict[int, int], side: str) -> tuple[Column, Column]:
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b, n in counts.items() for x in (b, -(-n // block_rows))]), F.col("at")), F.lit(1)) if counts else F.lit(1)
+        return F.pmod(F.xxhash64("vid"), parts).cast("int").alias(side), F.sequence(F.lit(0), parts - 1)
+
+    row, rows = cut(asked, "row_part")
+    column, columns = cut({b: n for b, n in sizes.items() if b in asked}, "column_part")
+    homes = asking.select("vid", "vec", "at", F.lit(True).alias("home"), row, F.explode(columns).alias("column_part"))
+    beside = known.filter(F.col("block").isin(list(asked))).withColumn("at", F.col("block")).select(
+        F.col("grp").alias("vid"), "vec", "at", F.lit(False).alias("home"), F.explode(rows).alias("row_part"), column)
+    return _forests(homes.unionByName(beside), threshold)
