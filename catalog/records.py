@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog import query
 from catalog import shared as S
@@ -16,6 +17,7 @@ from riskloom.packs import wording as W
 from riskloom.plans import corpus as C
 from riskloom.plans.triage import triage
 from riskloom.sources import readers as RD
+from riskloom.streaming import workflow_stream as WS
 
 _TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -64,21 +66,30 @@ def alert_overview(spark, folder):
     return D.alert_overview(stored(S.alerts(spark, folder))).withColumn("latest", S.joined("latest"))
 
 
-@query("alert_ack", sql("""
+_ACKNOWLEDGED = sql("""
 select alert_id, acknowledged or a.at_step is not null as acknowledged, a.by_whom as acknowledged_by from alerts
 left join (select 'ALT-REP-' || user_id::varchar as alert_id, max(event_id) as at_step,
-    'HSE-' || (max(event_id) % 20)::varchar as by_whom from events where event_type = 'error' group by 1) a using (alert_id)"""))
-def alert_ack(spark, folder):
-    acknowledgements = C.table(spark, folder, "events").filter(F.col("event_type") == "error").select(
+    'HSE-' || (max(event_id) % 20)::varchar as by_whom from events where event_type = 'error' group by 1) a using (alert_id)""")
+
+
+def _acknowledgements(spark, folder):
+    return C.table(spark, folder, "events").filter(F.col("event_type") == "error").select(
         F.concat(F.lit("ALT-REP-"), F.col("user_id").cast("string")).alias("alert_id"),
         F.concat(F.lit("HSE-"), (F.col("event_id") % 20).cast("string")).alias("acknowledged_by"),
         F.col("ts").alias("acknowledged_at"),
     )
-    return WF.acknowledge(S.alerts(spark, folder), acknowledgements).select("alert_id", "acknowledged", "acknowledged_by")
 
 
-@query("workflow_resolved", sql("""
-select report_id, status0 as previous_status, workflow_status, priority = 'HIGH' and decision is null as in_review_queue, final_priority from resolved"""))
+@query("alert_ack", _ACKNOWLEDGED)
+def alert_ack(spark, folder):
+    return WF.acknowledge(S.alerts(spark, folder), _acknowledgements(spark, folder)).select("alert_id", "acknowledged", "acknowledged_by")
+
+
+_RESOLVED = sql("""
+select report_id, status0 as previous_status, workflow_status, priority = 'HIGH' and decision is null as in_review_queue, final_priority from resolved""")
+
+
+@query("workflow_resolved", _RESOLVED)
 def workflow_resolved(spark, folder):
     return S.resolved(spark, folder).select("report_id", "previous_status", "workflow_status", "in_review_queue", "final_priority")
 
@@ -99,10 +110,13 @@ def actions_created(spark, folder):
     return S.actions(spark, folder).select("action_id", "report_id", "title", "priority", "status", "site_location")
 
 
-@query("action_state", sql("""
+_ACTION_STATE = sql("""
 select action_id, coalesce(e.status, a.status) as status, e.assigned_to as assigned_to from actions a left join (
   select action_id, arg_max(status, seq) as status, arg_max(assigned_to, seq) filter (assigned_to is not null) as assigned_to
-  from action_events group by 1) e using (action_id)"""))
+  from action_events group by 1) e using (action_id)""")
+
+
+@query("action_state", _ACTION_STATE)
 def action_state(spark, folder):
     rows = WF.current_state(S.actions(spark, folder), C.action_events(spark, folder), "action_id", "seq", "status", "assigned_to")
     return rows.select("action_id", "status", "assigned_to")
@@ -115,6 +129,52 @@ def actions_list(spark, folder):
     return rows.select("action_id", "status", "priority", "site_location")
 
 
+# ------------------------------------------------------------------ the same from a stream of events
+
+_GROUPS = 3
+
+
+def _workflow(spark, folder):
+    """The tables of a stream in which the events of all kinds come in three groups, those of one report in any of them."""
+    base, schema = scratch(spark), StructType.fromDDL(WS.EVENT)
+    kinds = (
+        WS.analysis_events(S.routed(spark, folder)), WS.review_events(C.reviews(spark, folder)),
+        WS.acknowledgement_events(_acknowledgements(spark, folder)), WS.action_events(C.action_events(spark, folder)),
+    )
+    events = kinds[0]
+    for more in kinds[1:]:
+        events = events.unionByName(more)
+    landed, tables = stored(events.withColumn("landing", F.pmod(F.xxhash64(*schema.names), F.lit(_GROUPS)))), WS.WorkflowTables(spark, f"{base}/tables", 16)
+    for group in range(_GROUPS):
+        landed.filter(F.col("landing") == group).drop("landing").write.mode("append").parquet(f"{base}/in")
+        WS.start_workflow(spark.readStream.schema(schema).parquet(f"{base}/in"), tables, f"{base}/progress", once=True).awaitTermination()
+    return tables
+
+
+@query("stream_workflow", _RESOLVED)
+def stream_workflow(spark, folder):
+    return _workflow(spark, folder).reports().select("report_id", "previous_status", "workflow_status", "in_review_queue", "final_priority")
+
+
+@query("stream_alert_ack", _ACKNOWLEDGED)
+def stream_alert_ack(spark, folder):
+    return _workflow(spark, folder).alerts().select("alert_id", "acknowledged", "acknowledged_by")
+
+
+@query("stream_action_state", _ACTION_STATE)
+def stream_action_state(spark, folder):
+    return _workflow(spark, folder).actions().select("action_id", "status", "assigned_to")
+
+
+@query("stream_unapplied", sql("""
+select distinct report_id, 'review' as kind from reviews where report_id not in (select report_id from reports)
+union all select distinct 'REP-' || user_id::varchar, 'acknowledgement' from events where event_type = 'error' and 'ALT-REP-' || user_id::varchar not in (select alert_id from alerts)
+union all select distinct substring(action_id, 5), 'action' from action_events where action_id not in (select action_id from actions)"""))
+def stream_unapplied(spark, folder):
+    """Events without the report, alert or action that they are about, once a kind and report."""
+    return _workflow(spark, folder).unapplied()
+
+
 _FINAL = """case when v.decision = 'rejected' then 'LOW' when v.decision = 'corrected' then coalesce(v.corrected_priority, d.priority) else d.priority end"""
 
 

@@ -26,8 +26,8 @@ def route(decided: DataFrame, entered_at: str = "created_at") -> DataFrame:
     )
 
 
-def alerts(routed: DataFrame, text: str = "report_text", raised_at: str = "created_at") -> DataFrame:
-    """One open alert per report that was routed to review; its id follows from the report's."""
+def alerts(routed: DataFrame, text: str = "report_text", raised_at: str = "created_at", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One open alert per report that was routed to review; its id follows from the report's. ``keep`` names columns that stay."""
     message = fill(
         W.ALERT_MESSAGE,
         report=F.col("report_id"),
@@ -48,6 +48,7 @@ def alerts(routed: DataFrame, text: str = "report_text", raised_at: str = "creat
         F.lit(None).cast("string").alias("acknowledged_by"),
         F.col(raised_at).alias("created_at"),
         F.substring(text, 1, ALERT_SNIPPET).alias("report_text_snippet"),
+        *keep,
     )
 
 
@@ -98,16 +99,17 @@ def orphans(children: DataFrame, reports: DataFrame, key: str = "report_id") ->
 
 def resolve(routed: DataFrame, reviews: DataFrame) -> DataFrame:
     """Workflow state after the latest review: status by decision, out of the queue; with the state before."""
-    last = latest_reviews(reviews)
+    return after_review(routed.join(latest_reviews(reviews), "report_id", "left"))
+
+
+def after_review(rows: DataFrame) -> DataFrame:
+    """The same for rows that have the columns of their latest review beside them."""
     reviewed = F.col("decision").isNotNull()
     return (
-        routed.join(last, "report_id", "left")
-        .withColumn("previous_status", F.col("workflow_status"))
+        rows.withColumn("previous_status", F.col("workflow_status"))
         .withColumns(
             {
-                "workflow_status": F.when(
-                    reviewed, F.concat(F.lit("REVIEWED_"), F.upper("decision"))
-                ).otherwise(F.col("workflow_status")),
+                "workflow_status": _status_after(),
                 "in_review_queue": F.col("in_review_queue") & ~reviewed,
                 "final_priority": final_priority(F.col("decision"), F.col("corrected_priority"), F.col("priority")),
             }
@@ -116,36 +118,36 @@ def resolve(routed: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def _status_after() -> Column:
+    return F.when(F.col("decision").isNotNull(), F.concat(F.lit("REVIEWED_"), F.upper("decision"))).otherwise(F.col("workflow_status"))
+
+
 def resolve_alerts(alert_rows: DataFrame, reviews: DataFrame) -> DataFrame:
     """A review closes the alerts of its report and leaves its own status on them."""
     last = latest_reviews(reviews).select("report_id", "decision")
-    reviewed = F.col("decision").isNotNull()
-    return (
-        alert_rows.join(last, "report_id", "left")
-        .withColumns(
-            {
-                "workflow_status": F.when(
-                    reviewed, F.concat(F.lit("REVIEWED_"), F.upper("decision"))
-                ).otherwise(F.col("workflow_status")),
-                "acknowledged": F.col("acknowledged") | reviewed,
-            }
-        )
-        .drop("decision")
-    )
+    return alerts_after_review(alert_rows.join(last, "report_id", "left")).drop("decision")
+
+
+def alerts_after_review(rows: DataFrame) -> DataFrame:
+    """The same for alerts that have the ``decision`` beside them."""
+    return rows.withColumns({"workflow_status": _status_after(), "acknowledged": F.col("acknowledged") | F.col("decision").isNotNull()})
+
+
+def action_due() -> Column:
+    return F.col("decision").isin("confirmed", "corrected") & (F.col("final_priority") == "HIGH")
 
 
-def actions(resolved: DataFrame, opened_at: str = "reviewed_at") -> DataFrame:
+def actions(resolved: DataFrame, opened_at: str = "reviewed_at", keep: tuple[str, ...] = ()) -> DataFrame:
     """An open action for every report whose reviewed priority is HIGH and whose review upheld the risk.
 
     The *reviewed* priority decides, so a correction up opens an action and a correction down does not.
     """
-    due = F.col("decision").isin("confirmed", "corrected") & (F.col("final_priority") == "HIGH")
     title = fill(
         W.ACTION_TITLE,
         barrier=F.coalesce("corrected_barrier", "barrier", F.lit("critical controls")),
         hazard=F.coalesce("corrected_hazard", "hazard", F.lit("identified hazard")),
     )
-    return resolved.filter(due).select(
+    return resolved.filter(action_due()).select(
         F.concat(F.lit("ACT-"), "report_id").alias("action_id"),
         "report_id",
         title.alias("title"),
@@ -154,6 +156,7 @@ def actions(resolved: DataFrame, opened_at: str = "reviewed_at") -> DataFrame:
         F.coalesce("location", F.lit("Unknown")).alias("site_location"),
         F.lit(None).cast("string").alias("assigned_to"),
         F.col(opened_at).alias("created_at"),
+        *keep,
     )
 
 
