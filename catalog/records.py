@@ -132,13 +132,16 @@ def actions_list(spark, folder):
 # ------------------------------------------------------------------ the same from a stream of events
 
 _GROUPS = 3
+_ANALYSED = ("report_id", "report_text", "created_at", "priority", "sif_probability", "activity", "hazard", "barrier", "barrier_status", "location")
 
 
 def _workflow(spark, folder):
     """The tables of a stream in which the events of all kinds come in three groups, those of one report in any of them."""
     base, schema = scratch(spark), StructType.fromDDL(WS.EVENT)
+    # Written as it is, so that the columns of the events do not repeat the triage.
+    analysed = stored(S.routed(spark, folder).select(*_ANALYSED))
     kinds = (
-        WS.analysis_events(S.routed(spark, folder)), WS.review_events(C.reviews(spark, folder)),
+        WS.analysis_events(analysed), WS.review_events(C.reviews(spark, folder)),
         WS.acknowledgement_events(_acknowledgements(spark, folder)), WS.action_events(C.action_events(spark, folder)),
     )
     events = kinds[0]
