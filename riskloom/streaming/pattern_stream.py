@@ -137,7 +137,8 @@ class PatternTables:
         """Write what this batch changes, from the tables as they are before it; the batch that gave the pivots."""
         rows = batch.select(*StructType.fromDDL(ANALYSED).names)
         texts = SIM.embedded(SIM.distinct_texts(rows), self.embedding).withColumn("vec", VX.unit(F.col("vec").cast("array<double>")))
-        texts = stored(texts.filter(F.exists("vec", lambda x: x != 0)))
+        # Written before the filter, which would repeat the embedding.
+        texts = stored(texts).filter(F.exists("vec", lambda x: x != 0))
         pivots, given = self._pivots(texts, batch_id)
         if not len(pivots):
             for name, ddl in (("plan", _PLAN), ("moved", "grp string, root string"), ("tallies", _TALLIES)):
